@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.llm import byte_bpe, chat_log, cross_polytope, packing, quality_lm, simhash, token_counts, topk_threshold, url_reputation
+from seabright.llm import byte_bpe, chat_log, cross_polytope, packing, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
 from seabright.llm.common import table
 
 RULES = [
@@ -72,7 +72,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii)}
 
 _PARSED = """
     select page_id, url,
@@ -127,10 +131,10 @@ from ruled join judged using (host)
 """,
     "op2_threshold_top_k": """
 with rows as (
-    select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as v from embeddings
-    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
     from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 )
 select query_id, cast(r as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored) where r <= 5
