@@ -1,23 +1,419 @@
-"""Survey queries over the driver's tables."""
+"""Registered survey queries over the driver's tables, each with the SQL that checks it. Floating results are rounded on both sides."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seabright.functions import acoustics as ac
+from seabright.functions import arrays as ar
+from seabright.functions import geodesy as geo
+from seabright.operators import contacts, mosaic, navigation, pings, planner, rows
+from seabright.plans import views as v
 
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r(c: str | Column, places: int = 6, name: str | None = None) -> Column:
+    out = F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)  # no negative zero
+    return out.alias(name or (c if isinstance(c, str) else "v"))
+
+
+@query(f"""
+with {v.PINGS}, p as (select subsystem, list(struct_pack(f0 := f0, f1 := f1) order by f0, f1) filter (f0 > 0) as l, count(*) as pings from v_pings group by 1)
+select subsystem, pings, l[len(l) // 2 + 1].f0 as f0, l[len(l) // 2 + 1].f1 as f1, l[len(l) // 2 + 1].f1 - l[len(l) // 2 + 1].f0 as bandwidth from p
+""")
 def band_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records, time span and frequency range of each band; ship mode stands in for the subsystem."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy(F.col("l_linenumber").alias("subsystem")).agg(
-        F.count("*").alias("pings"), F.min("l_quantity").alias("f0"), F.max("l_quantity").alias("f1"), F.countDistinct("l_suppkey").alias("files")
-    )
-
-
-QUERIES = {"band_summary": band_summary}
-ORACLE_SQL = {
-    "band_summary": """
-select l_linenumber as subsystem, count(*) as pings, min(l_quantity) as f0, max(l_quantity) as f1, count(distinct l_suppkey) as files
-from lineitem group by 1
-"""
-}
+    return pings.bands(v.pings(spark, sf_dir))
+
+
+@query(f"""
+with {v.PINGS} select dataset, round(min(lat) filter (lat <> 0 or lon <> 0), 6) as south, round(max(lat) filter (lat <> 0 or lon <> 0), 6) as north,
+round(min(lon) filter (lat <> 0 or lon <> 0), 6) as west, round(max(lon) filter (lat <> 0 or lon <> 0), 6) as east, round(min(time), 3) as begins, round(max(time), 3) as ends from v_pings group by 1
+""")
+def bounds_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pings.bounds(v.pings(spark, sf_dir), "dataset")
+    return out.select("dataset", *(r(c) for c in ("south", "north", "west", "east")), r("begins", 3), r("ends", 3))
+
+
+@query(f"with {v.PINGS} select distinct subsystem, channel from v_pings")
+def subsystem_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.pings(spark, sf_dir).select("subsystem", "channel").distinct()
+
+
+@query(f"""
+with {v.PINGS} select rec_id, round(nsamples * interval_ns * 1e-9::double * 1500 / 2, 6) as slant, round(interval_ns * 1e-9::double * 750, 9) as resolution,
+cast(round(nsamples * interval_ns * 1e-9::double * 750 / 0.5::double) as bigint) as bucket from v_pings where (validity & 64) <> 0 and altitude > 0 and subsystem = 20
+""")
+def slant_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pings.select_pings(v.pings(spark, sf_dir), 20).where(ac.altitude_valid(F.col("validity"), F.col("altitude")))
+    slant = ac.slant_range_m(F.col("nsamples"), F.col("interval_ns"))
+    return p.select("rec_id", r(slant, name="slant"), r(ac.resolution_m(F.col("interval_ns")), 9, "resolution"), ac.range_bucket(slant).alias("bucket"))
+
+
+@query(f"""
+with {v.PINGS}, a as (select rec_id, heading - 180 as d, least(abs(altitude), 1000::double) as alt from v_pings)
+select rec_id, round(sign(d) * sqrt(greatest(d * d - alt * alt, 0::double)), 6) + 0 as ground, round(sign(d) * sqrt(d * d + alt * alt), 6) + 0 as slant from a
+""")
+def ground_and_slant_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, alt = F.col("heading") - 180, F.least(F.abs("altitude"), F.lit(1000.0))
+    return v.pings(spark, sf_dir).select("rec_id", r(ac.to_ground(d, alt), name="ground"), r(ac.from_ground(d, alt), name="slant"))
+
+
+@query(f"""
+with {v.PINGS}, c as (select subsystem, channel, count(*) as n from v_pings group by all), k as (select subsystem, channel from c order by n desc, subsystem, channel limit 1),
+g as (select time - lag(time) over (order by time, rec_id) as gap from v_pings join k using (subsystem, channel)), l as (select list(gap order by gap) as l from g where gap > 0)
+select round(coalesce(l[len(l) // 2 + 1], 0.1::double), 6) as interval from l
+""")
+def ping_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pings.ping_interval(v.pings(spark, sf_dir)).select(r("interval"))
+
+
+@query("""
+with recursive e as (select user_id, event_id, epoch_us(ts) / 1e6::double as time, event_id % 4 as place, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (
+    select user_id, n, event_id, time, place, time as kt, place as kp, true as kept from e where n = 1
+    union all
+    select e.user_id, e.n, e.event_id, e.time, e.place, case when e.place <> f.kp and e.time - f.kt >= 0.05::double then e.time else f.kt end, case when e.place <> f.kp and e.time - f.kt >= 0.05::double then e.place else f.kp end,
+        e.place <> f.kp and e.time - f.kt >= 0.05::double
+    from f join e on e.user_id = f.user_id and e.n = f.n + 1
+)
+select user_id as dataset, event_id as rec_id from f where kept
+""")
+def fixes_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.table(spark, sf_dir, "events")
+    p = e.select(F.col("user_id").alias("dataset"), F.col("event_id").alias("rec_id"), (v.micros(F.col("ts")) / 1e6).alias("time"), (F.col("event_id") % 4).cast("double").alias("lat"), F.lit(4.0).alias("lon"))
+    return navigation.fix_track(p).select("dataset", "rec_id")
+
+
+_SCALE = "pi() / 180 * 6378137 * (1 - e2) / ((1 - e2 * sin(radians({m})) ** 2) ** 1.5)", "pi() / 180 * 6378137 * cos(radians({m})) / sqrt(1 - e2 * sin(radians({m})) ** 2)"
+_E2 = "(1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)"
+_N, _E = (x.replace("e2", _E2) for x in _SCALE)
+
+
+def _dist(lat0: str, lon0: str, lat1: str, lon1: str) -> str:
+    m = f"(({lat0} + {lat1}) / 2)"
+    return f"sqrt((({lat1} - {lat0}) * {_N.format(m=m)}) ** 2 + (({lon1} - {lon0}) * {_E.format(m=m)}) ** 2)"
+
+
+_TRACK = f"""{v.FIXES}, t0 as (
+    select *, coalesce(lag(time, 2) over w, first(time) over w) as ta, coalesce(lag(lat, 2) over w, first(lat) over w) as la, coalesce(lag(lon, 2) over w, first(lon) over w) as oa,
+        coalesce(lead(time, 2) over w, last(time) over w2) as tb, coalesce(lead(lat, 2) over w, last(lat) over w2) as lb, coalesce(lead(lon, 2) over w, last(lon) over w2) as ob, lag(lat) over w as pl, lag(lon) over w as po
+    from v_fixes window w as (partition by dataset order by time, seq), w2 as (partition by dataset order by time, seq rows between unbounded preceding and unbounded following)
+), t1 as (
+    select dataset, seq, time, lat, lon, coalesce({_dist('pl', 'po', 'lat', 'lon')}, 0) as step, case when tb > ta then {_dist('la', 'oa', 'lb', 'ob')} / (tb - ta) else 0 end as sog,
+        degrees(atan2((ob - oa) * {_E.format(m='((la + lb) / 2)')}, (lb - la) * {_N.format(m='((la + lb) / 2)')})) as c0 from t0
+), t2 as (select *, c0 - 360 * floor(c0 / 360) as course from t1),
+t3 as (select *, course - lag(course) over (partition by dataset order by time, seq) as dc from t2),
+v_track as (
+    select dataset, seq, time, lat, lon, sog, first(course) over w + sum(coalesce(dc + 180 - 360 * floor((dc + 180) / 360) - 180, 0)) over w as cog, sum(step) over w as dist
+    from t3 window w as (partition by dataset order by time, seq rows between unbounded preceding and current row)
+)"""
+
+
+@query(f"with {_TRACK} select dataset, seq, round(cog, 5) + 0 as cog, round(dist, 4) as dist, round(sog, 6) as sog from v_track")
+def course_speed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return navigation.track(v.fixes(spark, sf_dir)).select("dataset", "seq", r("cog", 5), r("dist", 4), r("sog"))
+
+
+@query(f"with {_TRACK} select dataset, seq, round(avg(cog) over (partition by dataset order by time, seq rows between 3 preceding and 3 following), 5) as smoothed from v_track")
+def smoothed_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("dataset").orderBy("time", "seq")
+    return navigation.track(v.fixes(spark, sf_dir)).select("dataset", "seq", r(navigation.smoothed(F.col("cog"), order, 7), 5, "smoothed"))
+
+
+@query(f"""
+with {v.FIXES}, p as (select dataset, time + 25::double as t, seq from v_fixes), j as (
+    select p.dataset, p.seq, p.t, a.time as x0, a.lat as y0, b.time as x1, b.lat as y1 from p
+    asof join v_fixes a on p.dataset = a.dataset and p.t >= a.time left join v_fixes b on b.dataset = p.dataset and b.seq = a.seq + 1
+) select dataset, seq, round(case when x1 is null then y0 else y0 + (y1 - y0) * (t - x0) / (x1 - x0) end, 7) as lat_at from j
+""")
+def position_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = v.fixes(spark, sf_dir)
+    probes = f.select("dataset", "seq", (F.col("time") + 25).alias("time"))
+    return navigation.interpolate(f.select("dataset", "time", "lat"), probes, "time", ["lat"], "dataset").select("dataset", "seq", r("lat_at", 7))
+
+
+@query()
+def survey_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = navigation.track(v.fixes(spark, sf_dir))
+    return navigation.detect_lines(t.select("dataset", "seq", "time", "cog"), 0.9, 180.0, 3).select("dataset", "kind", "begins", "ends", r("course", 4))
+
+
+@query()
+def towed_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = v.fixes(spark, sf_dir)
+    xy = f.select("dataset", "seq", ((F.col("lon") - 4) * 67000).alias("x"), ((F.col("lat") - 52.5) * 111000).alias("y"))
+    return navigation.pursuit(xy, 44.0, 5.0).select("dataset", "seq", r("fish_x", 4), r("fish_y", 4))
+
+
+@query()
+def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.pair_bands(v.pings(spark, sf_dir), 30.0)
+
+
+@query(f"""
+with {v.PINGS}, q as (select unnest([0, 1, 2]) as probe), p as (select probe, 1.0::double * ((select min(time) from v_pings) + probe * 86400.5::double) as want from q),
+x as (select probe, rec_id, row_number() over (partition by probe order by abs(time - want), rec_id) as n from v_pings, p) select probe, rec_id as row from x where n = 1
+""")
+def row_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = v.pings(spark, sf_dir)
+    start = p.agg(F.min("time").alias("t0"))
+    probes = spark.range(3).select(F.col("id").cast("int").alias("probe")).join(F.broadcast(start)).select("probe", (F.col("t0") + F.col("probe") * 86400.5).alias("at"))
+    return rows.nearest_in_time(p.select(F.col("rec_id").alias("row"), "time"), probes)
+
+
+@query(f"""
+with {v.PINGS}, b as (select * from (values (20, 100000::double), (21, 300000::double), (22, 0::double)) t(subsystem, recorded)), o as (select * from (values (0, 455360::double), (1, 755360::double), (2, 300500::double)) t(place, hz)),
+m as (select subsystem, recorded, place, hz from b left join o on recorded > 0 and hz >= recorded - 25000 and abs(hz - recorded - round((hz - recorded) / 655360) * 655360) <= 25000)
+select subsystem, recorded, coalesce(arg_min(hz, place), recorded) as centre from m group by subsystem, recorded
+""")
+def recovered_band_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = spark.createDataFrame([(20, 100000.0), (21, 300000.0), (22, 0.0)], "subsystem int, recorded double")
+    o = spark.createDataFrame([(0, 455360.0), (1, 755360.0), (2, 300500.0)], "place int, hz double")
+    return pings.recover_band_centres(b, o)
+
+
+@query("""
+with l as (select l_returnflag as side, list(l_extendedprice order by l_extendedprice) as s, quantile_cont(l_extendedprice, 0.6) as p60, quantile_cont(l_extendedprice, 0.5) as median, quantile_cont(l_extendedprice, [0.01, 0.99]) as cut from lineitem group by 1)
+select side, round(p60, 6) as p60, round(median, 6) as median, s[len(s) // 2 + 1] as upper_median, round(cut[1], 6) as low, round(cut[2], 6) as high from l
+""")
+def quantile_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("l_extendedprice")
+    p = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("side")).agg(
+        F.percentile(x, F.array(F.lit(0.6), F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("p"), F.count("*").alias("n"))
+    ranks = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("side"), x.alias("x")).count()
+    upto = F.sum("count").over(Window.partitionBy("side").orderBy("x"))
+    upper = ranks.withColumn("upto", upto).join(p, "side").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("side").agg(F.min("x").alias("upper_median"))
+    at = lambda i: r(F.col("p")[i])
+    return p.join(upper, "side").select("side", at(0).alias("p60"), at(1).alias("median"), "upper_median", at(2).alias("low"), at(3).alias("high"))
+
+
+@query("""
+with c as (select quantile_cont(amp, 0.01) as lo, quantile_cont(amp, 0.99) as hi from (select l_extendedprice as amp from lineitem where l_extendedprice > 0))
+select l_orderkey, l_linenumber, cast(round(least(greatest((l_extendedprice - lo) / greatest(hi - lo, 1e-9::double), 0), 1) ** 0.8::double * 255) as integer) as grey from lineitem, c
+""")
+def stretched_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("amp"))
+    cut = rows_.where("amp > 0").agg(F.percentile("amp", F.array(F.lit(0.01), F.lit(0.99))).alias("c"))
+    return rows_.join(F.broadcast(cut)).select("l_orderkey", "l_linenumber", ac.stretch(F.col("amp"), F.col("c")[0], F.col("c")[1], 0.8).alias("grey"))
+
+
+@query(f"""
+with {v.TRACES} select rec_id, list_transform(range(len(data)), lambda i: round((data[greatest(i - 2, 0) + 1] + data[greatest(i - 1, 0) + 1] + data[i + 1] + data[least(i + 1, len(data) - 1) + 1] + data[least(i + 2, len(data) - 1) + 1]) / 5, 6)) as smooth from v_traces
+""")
+def smoothed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.traces(spark, sf_dir).select("rec_id", F.transform(ar.smooth_clamped(F.col("data"), 5), lambda x: F.round(x, 6)).alias("smooth"))
+
+
+@query(f"""
+with {v.TRACES}, g as (select rec_id, data, sqrt(((len(data) - 1) ** 2)::double - 64) as reach, len(data) as n from v_traces),
+x as (select rec_id, data, n, list_transform(range(32), lambda i: least(sqrt((i * reach / 31) ** 2 + 64), (n - 1)::double)) as xs from g)
+select rec_id, list_transform(xs, lambda x: round(data[cast(floor(x) as integer) + 1] + (coalesce(data[cast(floor(x) as integer) + 2], data[cast(floor(x) as integer) + 1]) - data[cast(floor(x) as integer) + 1]) * (x - floor(x)), 5)) as ground from x
+""")
+def ground_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.traces(spark, sf_dir).select("rec_id", F.transform(ar.slant_to_ground(F.col("data"), F.lit(8.0), 32), lambda x: F.round(x, 5)).alias("ground"))
+
+
+@query(f"""with {v.TRACES} select rec_id, list_transform(range(len(data) // 5), lambda i: round(list_sum(data[i * 5 + 1:i * 5 + 5]) / 5, 6)) as binned from v_traces""")
+def binned_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.traces(spark, sf_dir).select("rec_id", F.transform(ar.bin_columns(F.col("data"), 5), lambda x: F.round(x, 6)).alias("binned"))
+
+
+@query(f"""
+with {v.TRACES}, c as (select rec_id, setting, unnest(data) as x, unnest(range(len(data))) as col from v_traces)
+select setting, col as col, round(quantile_cont(x, 0.5), 6) as level from c group by all
+""")
+def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = v.traces(spark, sf_dir).select("setting", F.posexplode("data").alias("col", "x"))
+    return c.groupBy("setting", F.col("col").cast("long").alias("col")).agg(r(F.percentile("x", F.lit(0.5)), name="level"))
+
+
+@query(f"""
+with {v.TRACES}, c as (select rec_id, unnest(data) as x, unnest(range(len(data))) as i from v_traces), b as (select cast(floor(degrees(atan2(i * 0.5::double, 8::double))) as bigint) as bin, x from c where x > 0)
+select bin, count(*) as n, round(quantile_cont(x, 0.5), 6) as level from b group by 1 having count(*) >= 20
+""")
+def angle_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = v.traces(spark, sf_dir).select(F.posexplode("data").alias("i", "x")).where("x > 0")
+    theta = F.degrees(F.atan2(F.col("i") * 0.5, F.lit(8.0)))
+    return c.groupBy(F.floor(theta).alias("bin")).agg(F.count("*").alias("n"), r(F.percentile("x", F.lit(0.5)), name="level")).where("n >= 20")
+
+
+_PRI = "greatest(case when theta <= 0 then 0.05 when theta < 20 then 0.05 + theta * 0.1 / 20 when theta < 35 then 0.15 + (theta - 20) * 0.35 / 15 when theta < 50 then 0.5 + (theta - 35) * 0.4 / 15 when theta < 65 then 0.9 + (theta - 50) * 0.1 / 15 when theta < 80 then 1 - (theta - 65) * 0.3 / 15 when theta < 90 then 0.7 - (theta - 80) * 0.05 else 0.2 end::double, 0.04::double) ** 8"
+_CELLS = f"{v.SAMPLES}, v_cells as (select gx, gy, sum(amp * {_PRI}) / sum({_PRI}) as value, least(count(*), 255) as cover from v_samples group by all)"
+
+
+@query(f"with {_CELLS} select gx, gy, round(value, 4) as value, cover from v_cells")
+def mosaic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("gx", "gy", r("value", 4), "cover")
+
+
+def _cells(spark: SparkSession, sf_dir: str, db: bool = False) -> DataFrame:
+    s = v.samples(spark, sf_dir).withColumn("pri", mosaic.priority(F.col("theta")))
+    return mosaic.finish(mosaic.accumulate(s), db)
+
+
+@query(f"with {_CELLS} select gx, gy, round(20 * log10(greatest(value, 1e-6::double)), 5) as value, cover from v_cells")
+def mosaic_decibels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, True).select("gx", "gy", r("value", 5), "cover")
+
+
+@query(f"with {_CELLS} select gx // 4 as gx, gy // 4 as gy, round(avg(value), 4) as value, max(cover) as cover from v_cells group by all")
+def mosaic_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mosaic.tile(_cells(spark, sf_dir), 2).select("gx", "gy", r("value", 4), "cover")
+
+
+@query(f"""
+with {_CELLS}, s as (
+    select a.gx, a.gy, a.value, avg(b.value) as m, greatest(avg(b.value * b.value) - avg(b.value) ** 2, 0) as v from v_cells a join v_cells b on abs(a.gx - b.gx) <= 2 and abs(a.gy - b.gy) <= 2 group by a.gx, a.gy, a.value
+), c as (select quantile_cont(sqrt(v) / m, 0.1) as cu from s where m > 0 and v > 0)
+select gx, gy, round(m + case when v > 0 then least(greatest(1 - cu * cu * m * m / v, 0), 1) else 0 end * (value - m), 2) as value from s, c
+""")
+def despeckled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mosaic.despeckle(_cells(spark, sf_dir)).select("gx", "gy", r("value", 2))
+
+
+@query("""
+with s as (select l_orderkey, l_linenumber, least(greatest((l_quantity - 5) / 40, 0), 1)::double as t from lineitem)
+select l_orderkey, l_linenumber, cast(round(case when t < 0.5 then t * 300 else 150 + (t - 0.5) * 210 end) as integer) as red from s
+""")
+def copper_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mosaic.styled(F.col("l_quantity"), 5, 45, ramp="copper")["r"].alias("red"))
+
+
+@query("""
+with o as (select o_custkey as dataset, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as stroke, o_totalprice as level, 100000::double as reference from orders),
+w as (select *, list(level) filter (level > 0) over (partition by dataset order by stroke rows between 20 preceding and 20 following) as near from o), m as (select *, list_sort(near)[len(near) // 2 + 1] as med from w),
+g as (select *, case when len(near) >= 5 then (reference / med) ** 0.5::double end as g from m)
+select dataset, stroke, round(case when g between 0.25 and 4 then g else 1 end, 6) as gain from g
+""")
+def along_track_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    levels = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), F.row_number().over(order).cast("long").alias("stroke"), F.col("o_totalprice").alias("level"), F.lit(100000.0).alias("reference"))
+    return mosaic.equalise(levels, 0.5).select("dataset", "stroke", r("gain"))
+
+
+@query(f"""
+with {v.FIXES}, s as (select dataset, seq, lat, lon, lag(lat) over w as pl, lag(lon) over w as po from v_fixes window w as (partition by dataset order by seq))
+select dataset, count(*) as points, round(coalesce(sum({_dist('pl', 'po', 'lat', 'lon')}), 0), 3) as length_m from s group by 1
+""")
+def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("dataset").orderBy("seq")
+    step = geo.distance_m(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
+    return v.fixes(spark, sf_dir).withColumn("step", step).groupBy("dataset").agg(F.count("*").alias("points"), r(F.coalesce(F.sum("step"), F.lit(0.0)), 3, "length_m"))
+
+
+@query(f"""
+with {v.FIXES} select dataset, seq, round(2 * 6371008.8::double * asin(least(sqrt(sin(radians(lat - 52.5) / 2) ** 2 + cos(radians(52.5)) * cos(radians(lat)) * sin(radians(lon - 4) / 2) ** 2), 1)), 4) as metres,
+round((degrees(atan2(sin(radians(lon - 4)) * cos(radians(lat)), cos(radians(52.5)) * sin(radians(lat)) - sin(radians(52.5)) * cos(radians(lat)) * cos(radians(lon - 4)))) + 360) % 360, 5) as bearing,
+cast(floor((lon + 180) / 6) + 1 as integer) as zone, round((lon + 180) / 360 * 67108864, 4) as px, round((0.5::double - atanh(sin(radians(lat))) / (2 * pi())) * 67108864, 4) as py from v_fixes where lat > 52.50005
+""")
+def geodesy_of_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = F.col("lat"), F.col("lon")
+    px, py = geo.lonlat_to_px(lon, lat, 18)
+    f = v.fixes(spark, sf_dir).where(lat > 52.50005)
+    return f.select("dataset", "seq", r(geo.haversine_m(F.lit(52.5), F.lit(4.0), lat, lon), 4, "metres"), r(geo.initial_bearing(F.lit(52.5), F.lit(4.0), lat, lon), 5, "bearing"), geo.utm_zone(lon).alias("zone"), r(px, 4, "px"), r(py, 4, "py"))
+
+
+@query()
+def projected_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = v.fixes(spark, sf_dir)
+    for epsg in (3857, 32631, 25831, 28992, 3035, 23031):
+        out = geo.with_projected(out, epsg, "lat", "lon", f"x{epsg}", f"y{epsg}")
+    return out.select("dataset", "seq", *(r(c, 4) for c in out.columns if c[0] in "xy"))
+
+
+@query(f"""
+with {v.TARGETS}, az as (select unnest(range(10)) * 10::double as azimuth), u as (select azimuth, radius, x * cos(radians(azimuth)) - y * sin(radians(azimuth)) as u, x * sin(radians(azimuth)) + y * cos(radians(azimuth)) as w from v_targets, az),
+b as (select azimuth, min(u - radius) - 80 as u0, max(u + radius) + 80 as u1, min(w - radius) - 80 as v0, max(w + radius) + 80 as v1 from u group by 1), n as (select *, greatest(ceil((u1 - u0) / 67) + 1, 2) as k from b)
+select azimuth, cast(k + 2 as bigint) as lines, round((u1 - u0) / (k - 1), 5) as gap, round(v1 - v0, 5) as length from n
+""")
+def plan_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = planner.plan_boxes(v.targets(spark, sf_dir), planner.azimuth_steps(spark), planner.Sonar())
+    return boxes.select("azimuth", F.col("lines").cast("long").alias("lines"), r("gap", 5), r(F.col("v1") - F.col("v0"), 5, "length"))
+
+
+@query()
+def plan_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = planner.quadrant(v.targets(spark, sf_dir), planner.azimuth_steps(spark))
+    return plans.select("azimuth", "lines", "verdict", "worst", *(r(c, 5) for c in ("gap", "metres", "hours", "none", "once", "more")))
+
+
+_CLASS = " ".join(
+    f"when {' or '.join([f'contains(t, {t!r})' if ' ' in t else f'list_contains(w, {t!r})' for t in terms])} then '{name}'" for name, terms in contacts.CLASS_GROUPS
+)
+
+
+@query(f"""
+with n as (select p_partkey, trim(regexp_replace(lower(p_name || case p_partkey % 9 when 0 then ' Wrecks' when 1 then ' anchor-chain' when 2 then ' Sand waves' when 3 then ' boulders' else '' end), '[^a-z0-9]+', ' ', 'g')) as t from part),
+w as (select p_partkey, t, list_transform(string_split(t, ' '), lambda x: case when x like '%ies' and len(x) > 4 then x[:-4] || 'y' when x like '%s' and x not like '%ss' and len(x) > 3 then x[:-2] else x end) as w from n)
+select p_partkey, case {_CLASS} end as class_group from w
+""")
+def contact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 9
+    extra = F.when(k == 0, " Wrecks").when(k == 1, " anchor-chain").when(k == 2, " Sand waves").when(k == 3, " boulders").otherwise("")
+    return v.table(spark, sf_dir, "part").select("p_partkey", contacts.class_group(F.concat("p_name", extra)).alias("class_group"))
+
+
+@query("select c_custkey, case when epoch_ms(t) % 1000 = 0 then strftime(t, '%Y-%m-%dT%H:%M:%SZ') else strftime(t, '%Y-%m-%dT%H:%M:%S.%gZ') end as iso, h from (select c_custkey, make_timestamp(1700000000000000 + c_custkey * 1250000) as t, (c_custkey * 37 // 3600) || ':' || lpad(((c_custkey * 37 // 60) % 60)::varchar, 2, '0') || ':' || lpad((c_custkey * 37 % 60)::varchar, 2, '0') as h from customer)")
+def formatted_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return v.table(spark, sf_dir, "customer").select("c_custkey", contacts.iso8601(1700000000 + k * 1.25).alias("iso"), contacts.hms(k * 37).alias("h"))
+
+
+@query("select n_name as name, 'own' as origin from nation where n_regionkey < 3 union all select n_name, 'pool' from nation where n_regionkey >= 2 and n_name not in (select n_name from nation where n_regionkey < 3)")
+def own_and_pool_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = v.table(spark, sf_dir, "nation")
+    named = lambda cond, origin: n.where(cond).select(F.col("n_name").alias("name"), F.lit(origin).alias("origin"))
+    return contacts.own_or_pool(named("n_regionkey < 3", "own"), named("n_regionkey >= 2", "pool"))
+
+
+@query("""
+with c as (select l_partkey % 64 as gx, l_suppkey % 64 as gy, avg(l_extendedprice) as value from lineitem group by all), s as (select min(value) as lo, max(value) as hi from c)
+select gx, gy, cast(round((value - lo) / (hi - lo) * 65534) as integer) as code from c, s
+""")
+def imported_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = v.samples(spark, sf_dir).groupBy("gx", "gy").agg(F.avg("amp").alias("value"))
+    span = cells.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return cells.join(F.broadcast(span)).select("gx", "gy", ac.quantise(F.col("value"), F.col("lo"), F.col("hi")).alias("code"))
+
+
+@query(f"with {v.FIXES} select dataset, seq from v_fixes where seq % 3 = 0")
+def decimated_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = v.fixes(spark, sf_dir).withColumnRenamed("seq", "was")
+    return pings.every_nth(rows_, F.col("was"), 3, "dataset").select("dataset", F.col("seq").cast("long").alias("seq"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, trim(regexp_replace(event_type || ' ' || user_id, '[^A-Za-z0-9._-]+', '_', 'g')) as name from events")
+def json_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), contacts.safe_name(F.concat_ws(" ", "event_type", "user_id")).alias("name"))
+
+
+@query("""
+with b as (select s_suppkey, 3.9::double + (s_suppkey % 50) * 0.01::double as w, 52.4::double + (s_suppkey % 40) * 0.01::double as s from supplier),
+t as (select s_suppkey, cast(floor((w + 180) / 360 * 16384) as bigint) as x0, cast(floor((w + 0.05::double + 180) / 360 * 16384) as bigint) as x1, cast(floor((0.5::double - atanh(sin(radians(s + 0.03::double))) / (2 * pi())) * 16384) as bigint) as y0, cast(floor((0.5::double - atanh(sin(radians(s))) / (2 * pi())) * 16384) as bigint) as y1 from b),
+x as (select s_suppkey, unnest(range(x0, x1 + 1)) as x, y0, y1 from t) select s_suppkey, x, unnest(range(y0, y1 + 1)) as y from x
+""")
+def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    w, s = 3.9 + (k % 50) * 0.01, 52.4 + (k % 40) * 0.01
+    return v.table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(geo.tiles_for(w, s, w + 0.05, s + 0.03, 14)).alias("t")).select("s_suppkey", "t.x", "t.y")
+
+
+@query()
+def sound_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    khz = F.col("p_size") * 20 + 100
+    return v.table(spark, sf_dir, "part").select("p_partkey", r(ac.absorption_db_per_km(khz.cast("double"), 20.0, 34.0, 20.0), 4, "db_per_km"), r(ac.tvg_gain(F.col("p_size").cast("double"), 10.0, 0.1, 0.7), 6, "gain"))
