@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seabright.functions import acoustics as ac
 from seabright.functions import arrays as ar
 from seabright.functions import geodesy as geo
-from seabright.operators import contacts, mosaic, navigation, pings, planner, rows
+from seabright.operators import contacts, mosaic, navigation, pings, planner, rows, waterfall
 from seabright.plans import views as v
 
 QUERIES: dict = {}
@@ -417,3 +417,45 @@ def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sound_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     khz = F.col("p_size") * 20 + 100
     return v.table(spark, sf_dir, "part").select("p_partkey", r(ac.absorption_db_per_km(khz.cast("double"), 20.0, 34.0, 20.0), 4, "db_per_km"), r(ac.tvg_gain(F.col("p_size").cast("double"), 10.0, 0.1, 0.7), 6, "gain"))
+
+
+def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trace as the port side of a row and, turned about, as its starboard side; the label is the recording."""
+    t = v.traces(spark, sf_dir)
+    k = F.col("rec_id")
+    return t.select(
+        F.col("setting").cast("long").alias("dataset"), k.alias("row"), "data", F.reverse("data").alias("stbd"), F.when(k % 5 != 0, 4.0 + k % 3).alias("altitude_m"), (0.4 + (k % 2) * 0.1).alias("resolution_m"),
+        (k * 0.5).alias("x"), (k % 10 * 0.1).alias("y"), (k % 360).cast("double").alias("bearing"),
+    ).withColumnRenamed("data", "port")
+
+
+@query()
+def gain_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 4)).alias(c)
+    return waterfall.gain_model(_image_rows(spark, sf_dir), 32).select("bucket", "pings", r("half_width_m", 4), rounded("port_profile"), rounded("stbd_profile"), r("reference", 4), r("low", 4), r("high", 4))
+
+
+@query()
+def waterfall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _image_rows(spark, sf_dir)
+    return waterfall.render(lines, waterfall.gain_model(lines, 64), 64).select("dataset", "row", r("half_width_m", 4), r("altitude", 4), F.hex("pixels").alias("pixels"))
+
+
+@query()
+def painted_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = waterfall.strokes(_image_rows(spark, sf_dir), 64)
+    return mosaic.finish(mosaic.accumulate(mosaic.splat_line(laid))).select("gx", "gy", r("value", 3), "cover")
+
+
+@query()
+def nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = v.pings(spark, sf_dir).where("lat <> 0").select(F.col("rec_id").alias("row"), "lat", "lon")
+    probes = spark.createDataFrame([(0, 52.501, 4.002), (1, 52.508, 4.009)], "probe int, at_lat double, at_lon double")
+    return rows.nearest_in_place(p, probes)
+
+
+@query()
+def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = v.pings(spark, sf_dir).where("lat <> 0").select(F.col("rec_id").alias("row"), "lat", "lon", F.col("heading").alias("bearing"), F.lit(8.0).alias("altitude"), F.lit(120.0).alias("half_width_m"))
+    points = spark.createDataFrame([(0, 52.501, 4.002), (1, 52.508, 4.009)], "point int, at_lat double, at_lon double")
+    return rows.world_to_pixel(p, points, 1024).select("point", r("x", 4), "y")

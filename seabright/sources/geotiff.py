@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from seabright.sources.common import rows_of_files
+
 # Bytes and letter of each field type.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 
@@ -84,7 +86,7 @@ class GeoTiff:
             raise ValueError("separate planes are not supported")
         if self.photometric in (5, 6):
             raise ValueError("CMYK and YCbCr are not supported")
-        self.dtype = np.dtype(f"{self.order}{ {1: 'u', 2: 'i', 3: 'f'}[kind]}{bits[0] // 8}".replace(" ", ""))
+        self.dtype = np.dtype(f"{self.order}{'?uif'[kind]}{bits[0] // 8}")
         self.compression, self.predictor = one(259, 1), one(317, 1)
         if self.compression not in (1, 5, 8, 32946, 32773):
             raise ValueError(f"compression {self.compression} is not supported")
@@ -172,19 +174,18 @@ class GeoTiff:
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     """path, col, row, x, y, bands of every pixel that holds data (in one band, differs from the no-data value; finite)."""
 
-    def run(batches):
-        for files in batches:
-            for name, raw in zip(files["path"], files["content"], strict=True):
-                tiff = GeoTiff(bytes(raw))
-                for number in range(len(tiff.offsets)):
-                    col, row, values = tiff.block(number)
-                    j, i = (a.ravel() for a in np.indices(values.shape[:2]))
-                    flat = values.reshape(-1, tiff.bands).astype(np.float64)
-                    keep = np.isfinite(flat).all(axis=1)
-                    if tiff.nodata is not None and tiff.bands == 1:
-                        keep &= np.abs(flat[:, 0] - tiff.nodata) > 1e-9 * max(1.0, abs(tiff.nodata))
-                    x, y = tiff.pixel_to_model(i + col, j + row) if tiff.affine else (np.full(len(i), np.nan),) * 2
-                    yield pd.DataFrame({"path": name, "col": i[keep] + col, "row": j[keep] + row, "x": x[keep], "y": y[keep], "bands": list(flat[keep])})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, col long, row long, x double, y double, bands array<double>")
+    return rows_of_files(spark, path, "path string, col long, row long, x double, y double, bands array<double>", _pixels, 20_000)
+
+
+def _pixels(name: str, raw: bytes) -> Iterator[dict]:
+    tiff = GeoTiff(raw)
+    for number in range(len(tiff.offsets)):
+        col, row, values = tiff.block(number)
+        flat = values.reshape(-1, tiff.bands).astype(np.float64)
+        keep = np.isfinite(flat).all(axis=1)
+        if tiff.nodata is not None and tiff.bands == 1:
+            keep &= np.abs(flat[:, 0] - tiff.nodata) > 1e-9 * max(1.0, abs(tiff.nodata))
+        for k in np.flatnonzero(keep).tolist():
+            j, i = divmod(k, values.shape[1])
+            x, y = tiff.pixel_to_model(col + i, row + j) if tiff.affine else (None, None)
+            yield {"path": name, "col": col + i, "row": row + j, "x": x, "y": y, "bands": flat[k]}

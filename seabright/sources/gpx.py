@@ -8,12 +8,12 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seabright.sources.common import rows_of_files
+
 SCHEMA = "path string, kind string, line int, line_name string, seq int, lat double, lon double, ele double, time string, name string"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(",")]
 TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 POINTS = {"trkpt": "track", "rtept": "route", "wpt": "waypoint"}
@@ -67,12 +67,7 @@ def parse(text: str) -> list[dict]:
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """Points of all documents at ``path``; a document without a gpx element fails the read."""
 
-    def run(batches):
-        for files in batches:
-            for name, raw in zip(files["path"], files["content"], strict=True):
-                yield pd.DataFrame([{"path": name} | p for p in parse(bytes(raw).decode("utf-8", "replace"))], columns=COLUMNS).astype({"line": "Int32", "seq": "Int32"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return rows_of_files(spark, path, SCHEMA, lambda name, raw: ({"path": name} | p for p in parse(raw.decode("utf-8", "replace"))))
 
 
 def escaped(text: Column) -> Column:

@@ -10,10 +10,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seabright.sources.common import rows_of_files
+
 MARKER = 0x1601
 SONAR, NMEA = 80, 2002
 HEADER = struct.Struct("<HBBHBBBBHi")
@@ -25,7 +26,6 @@ SUBSYSTEM_NAMES = {0: "sub-bottom", 20: "low frequency side-scan", 21: "high fre
 SCHEMA = """path string, offset long, subsystem int, channel int, time double, ping long, validity int, lat double, lon double,
     nsamples int, interval_ns long, f0 double, f1 double, pressure_psi double, depth double, altitude double, sound_speed double, weight int, fmt int,
     heading double, pitch double, roll double, course double, speed double, software string, data array<float>, sentence string, warning string"""
-COLUMNS = [c.split()[0] for c in SCHEMA.replace("\n", " ").split(",")]
 
 
 def messages(raw: bytes) -> Iterator[tuple[int, int, int, int, memoryview]]:
@@ -93,20 +93,7 @@ def file_rows(path: str, raw: bytes, traces: bool = True) -> Iterator[dict]:
 def read_jsf(spark: SparkSession, path: str, traces: bool = True) -> DataFrame:
     """All messages of the recordings at ``path`` (a file, folder or glob)."""
 
-    def parse(batches):
-        for files in batches:
-            for name, raw in zip(files["path"], files["content"], strict=True):
-                held: list[dict] = []
-                for row in file_rows(name, raw, traces):
-                    held.append(row)
-                    if len(held) == 500:
-                        yield pd.DataFrame(held, columns=COLUMNS)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=COLUMNS)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(parse, SCHEMA)
+    return rows_of_files(spark, path, SCHEMA, lambda name, raw: file_rows(name, raw, traces))
 
 
 def ping_index(rows: DataFrame) -> DataFrame:

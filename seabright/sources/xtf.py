@@ -11,12 +11,12 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from seabright.sources.common import rows_of_files
+
 MAGIC = b"\xce\xfa"
 SCHEMA = "path string, offset long, subsystem int, channel int, time double, ping long, lat double, lon double, nsamples int, slant_range double, interval_ns long, frequency_hz double, heading double, pitch double, roll double, depth double, altitude double, validity int, name string, data array<float>"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(",")]
 C_RECORDED = 1500.0
 
 
@@ -78,17 +78,4 @@ def _packet(path: str, raw: bytes, at: int, size: int, count: int, info: list[di
 def read_xtf(spark: SparkSession, path: str) -> DataFrame:
     """All sonar channels of the recordings at ``path`` (a file, folder or glob)."""
 
-    def parse(batches):
-        for files in batches:
-            for name, raw in zip(files["path"], files["content"], strict=True):
-                held: list[dict] = []
-                for row in file_rows(name, raw):
-                    held.append(row)
-                    if len(held) == 500:
-                        yield pd.DataFrame(held, columns=COLUMNS)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=COLUMNS)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(parse, SCHEMA)
+    return rows_of_files(spark, path, SCHEMA, file_rows)
