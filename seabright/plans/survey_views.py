@@ -194,12 +194,10 @@ select side, round(p60, 6) as p60, round(median, 6) as median, s[len(s) // 2 + 1
 def quantile_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_extendedprice")
     p = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("side")).agg(
-        F.percentile(x, F.array(F.lit(0.6), F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("p"), F.count("*").alias("n"))
-    ranks = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("side"), x.alias("x")).count()
-    upto = F.sum("count").over(Window.partitionBy("side").orderBy("x"))
-    upper = ranks.withColumn("upto", upto).join(p, "side").where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("side").agg(F.min("x").alias("upper_median"))
+        F.percentile(x, F.array(F.lit(0.6), F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("p"), pings.upper_median_of("l_extendedprice").alias("upper_median")
+    )
     at = lambda i: r(F.col("p")[i])
-    return p.join(upper, "side").select("side", at(0).alias("p60"), at(1).alias("median"), "upper_median", at(2).alias("low"), at(3).alias("high"))
+    return p.select("side", at(0).alias("p60"), at(1).alias("median"), "upper_median", at(2).alias("low"), at(3).alias("high"))
 
 
 @query("""
