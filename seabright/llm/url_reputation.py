@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seabright.llm.common import materialize
+
 #: Suffixes of more than one label under which names are registered. Fixed values; pass a longer list as needed.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in")
 
@@ -106,6 +108,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.64485362
         .agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
+    hosts = materialize(hosts, "hosts")  # counts of each host, read for every level
     sums = [F.sum("good").alias("good"), F.sum("total").alias("total")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
