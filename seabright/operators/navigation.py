@@ -133,3 +133,43 @@ def detect_lines(courses: DataFrame, rate: float, min_seconds: float, smooth: in
     fresh = F.when((F.col("kind") == "turn") & (F.lag("kind").over(by_run) == "turn"), 0).otherwise(1)
     merged = spans.withColumn("fresh", fresh).withColumn("segment", F.sum("fresh").over(by_run.rowsBetween(Window.unboundedPreceding, 0)))
     return merged.groupBy("dataset", "segment").agg(F.first("kind").alias("kind"), F.min("begins").alias("begins"), F.max("ends").alias("ends"), F.min_by("course", "run").alias("course")).drop("segment")
+
+
+def astern(track: DataFrame, metres: float) -> DataFrame:
+    """Fixes with the place ``metres`` behind along the course."""
+    from seabright.functions.geodesy import offset_m
+
+    lat, lon = offset_m(F.col("lat"), F.col("lon"), F.col("cog") + 180, F.lit(metres))
+    return track.withColumns({"fish_lat": lat, "fish_lon": lon})
+
+
+def trailing(track: DataFrame, metres: float) -> DataFrame:
+    """Fixes with the place on the track ``metres`` of run behind, the start before that."""
+    back = track.select("dataset", "seq", (F.col("dist") - metres).alias("dist"))
+    steps = track.groupBy("dataset", "dist").agg(F.max_by("lat", "seq").alias("lat"), F.max_by("lon", "seq").alias("lon"))  # one row where the ship lay still
+    there = interpolate(steps, back, "dist", ["lat", "lon"], "dataset").select("dataset", "seq", F.col("lat_at").alias("fish_lat"), F.col("lon_at").alias("fish_lon"))
+    return track.join(there, ["dataset", "seq"])
+
+
+def model_spread(track: DataFrame, metres: float, step: int = 101) -> DataFrame:
+    """dataset, middle, most: distance between the two models at every ``step``th fix, the upper median and the 95th percentile."""
+    a = astern(track, metres).where(F.col("seq") % step == 0).select("dataset", "seq", F.col("fish_lat").alias("a_lat"), F.col("fish_lon").alias("a_lon"))
+    b = trailing(track, metres).select("dataset", "seq", "fish_lat", "fish_lon")
+    apart = a.join(b, ["dataset", "seq"]).withColumn("apart", distance_m(F.col("a_lat"), F.col("a_lon"), F.col("fish_lat"), F.col("fish_lon")))
+    rank = lambda p, way="": F.expr(f"percentile_disc({p}) within group (order by apart {way})")
+    return apart.groupBy("dataset").agg(rank(0.5, "desc").alias("middle"), rank(0.95).alias("most"))
+
+
+def advance(rows: DataFrame) -> DataFrame:
+    """Rows with the distance from the row before, zero for a recording's first."""
+    order = Window.partitionBy("dataset").orderBy("row")
+    step = distance_m(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
+    return rows.withColumn("advance_m", F.coalesce(step, F.lit(0.0)))
+
+
+def compass(headings: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """dataset, time, heading: unwrapped and averaged over ``seconds`` each way; the first of equal times counts."""
+    first = headings.groupBy("dataset", "time").agg(F.min_by("heading", "rec_id").alias("heading"))
+    order = Window.partitionBy("dataset").orderBy((F.col("time") * 1e6).cast("long"))
+    reach = round(seconds * 1e6)
+    return first.withColumn("heading", unwrapped(F.col("heading"), order)).withColumn("heading", F.avg("heading").over(order.rangeBetween(-reach, reach)))

@@ -128,3 +128,32 @@ def test_pings(spark):
     got = {r.subsystem: (r.pings, r.f0, r.f1) for r in pings.bands(df).collect()}
     assert got == {20: (3, 30.0, 40.0), 21: (1, None, None)}
     assert pings.ping_interval(df).first().interval == 0.5
+
+
+def test_layers(spark):
+    from seabright.functions import geodesy as geo
+    from seabright.operators import layers
+
+    assert layers.zoom_for(1.0, 0.0) == 18
+    x, y = 447504.0, 6891041.0
+    pixels = spark.createDataFrame([(x + i, y - j, [float(i + j)]) for i in range(20) for j in range(20)], "x double, y double, bands array<double>")
+    cells = layers.import_grid(pixels, 3857, 18, 1.0, 1.0).cache()
+    assert cells.count() > 300 and layers.statistics(cells).first().filled == cells.count()
+    assert {r.code for r in layers.codes(cells).collect()} >= {0, 65534}
+    flat = spark.createDataFrame([(i, j, float(i)) for i in range(5) for j in range(5)], "gx long, gy long, value double")
+    shade = {(r.gx, r.gy): r.shade for r in layers.relief(flat, 1.0).collect()}
+    assert len(shade) == 25 and shade[0, 0] == 1.0 and abs(shade[2, 2] - shade[1, 2]) < 1e-12 and shade[2, 2] > 0
+    assert abs(geo.MERCATOR_RADIUS - 6378137) < 1
+
+
+def test_tow_models(spark):
+    df = spark.createDataFrame([("d", i, float(i), 52.5 + i * 2e-5, 4.0) for i in range(300)], "dataset string, seq long, time double, lat double, lon double")
+    track = navigation.track(df).cache()
+    last = navigation.trailing(track, 44.0).orderBy(F.desc("seq")).first()
+    assert abs((last.lat - last.fish_lat) * 111_260 - 44) < 0.1 and abs(last.fish_lon - 4) < 1e-9
+    assert navigation.model_spread(track, 44.0, 50).first().middle < 0.01
+    steps = [r.advance_m for r in navigation.advance(df.withColumnRenamed("seq", "row")).orderBy("row").collect()]
+    assert steps[0] == 0 and abs(steps[1] - 2.2252) < 0.001
+    turn = spark.createDataFrame([("d", i, float(i), (350.0 + 5 * i) % 360) for i in range(6)] + [("d", 9, 0.0, 99.0)], "dataset string, rec_id long, time double, heading double")
+    got = [r.heading for r in navigation.compass(turn, 1.0).orderBy("time").collect()]
+    assert got == [352.5, 355.0, 360.0, 365.0, 370.0, 372.5]
