@@ -18,6 +18,8 @@ returned. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,29 +34,34 @@ from seabright.llm.components import connected_components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
-    """Hashes of the runs of ``words`` words, repeats included; of the whole sequence if it is shorter."""
-    found = text.encode().translate(LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    begins = [0, *(gaps[: len(found) - words] + 1).tolist()]
-    ends = [*gaps[words - 1 :].tolist(), len(joined)]
+SPACES = re.compile(rb"[\x20\x09-\x0d]+")
+
+
+def shingle_hashes(text: str, words: int, seed: int, at_once: int = 65_536) -> Iterator[np.ndarray]:
+    """Hashes of the runs of ``words`` words, repeats included, some at a time; of the whole sequence if it is shorter."""
+    joined = SPACES.sub(b" ", text.encode().translate(LOWER)) if len(text) > 1_000_000 else b" ".join(text.encode().translate(LOWER).split())
+    joined = joined.strip(b" ")
+    if not joined:
+        return
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    if len(gaps) < words:
+        yield np.array([digest(joined, seed)], np.uint64)
+        return
+    begins = np.append(0, gaps[: len(gaps) - words + 2] + 1)[: len(gaps) - words + 2]
+    ends = np.append(gaps[words - 1 :], len(joined))
+    for i in range(0, len(begins), at_once):
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(begins[i : i + at_once].tolist(), ends[i : i + at_once].tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
+def majority(parts: Iterable[np.ndarray]) -> int:
     """The bits that are set in over half the hashes."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 32_768):
-        part = hashes[at : at + 32_768]
+    counts, n = np.zeros(64, np.int64), 0
+    for part in parts:
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+        n += len(part)
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
