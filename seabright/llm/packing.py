@@ -28,7 +28,11 @@ from seabright.llm.common import TwoGenerations
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Stands alone between chunks that are encoded together.
 MARK = "\x01"
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The blanks between chunks, and the words of chunks as the tokenizer splits them.
+WORDS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: No token's id: stands for a blank while ids of many chunks are joined.
+BETWEEN = b"\xff\xff\xff\xff"
+#: Characters that are split by the pattern above; chunks with others are left to the library.
 PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
 
@@ -73,17 +77,24 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        cut = {c: words_of(c) for c in chunks if "<|" not in c and MARK not in c}
-        needed = {w for ws in cut.values() for w in ws}
-        unknown = self.words.unknown(needed)
-        ids = self._learn_words(list(unknown))
+        whole = {c for c in chunks if "<|" in c or MARK in c}
+        plain = [c for c in chunks if PLAIN.fullmatch(c) and c not in whole]
+        other = chunks.difference(whole, plain)  # each is a word to the library
+        tokens = WORDS.findall(" ".join(plain))
+        needed = other.union(tokens)
+        needed.discard(" ")
         words = self.words
-        got = {w: words[w] for w in needed - unknown} | ids
-        for w, v in ids.items():
+        unknown = words.unknown(needed)
+        got = {w: words[w] for w in needed - unknown}
+        for w, v in self._learn_words(list(unknown)).items():
+            got[w] = v
             words.put(w, v)
-        for c in chunks:
-            ws = cut.get(c)
-            self.known[c] = (self._library(c) if ws is None else got[ws[0]] if len(ws) == 1 else b"".join([got[w] for w in ws]))
+        got[" "] = BETWEEN
+        raw = b"".join(map(got.__getitem__, tokens))
+        ends = [*(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(BETWEEN, "<u4")[0])).tolist(), len(raw)]
+        self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=False))
+        self.known.update((c, got[c]) for c in other)
+        self.known.update((c, self._library(c)) for c in whole)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the caller passes about as much text as may be split at once."""
@@ -98,16 +109,6 @@ class ChunkEncoder:
         return [self._library(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
-def words_of(chunk: str) -> list[str]:
-    """A chunk's words as the tokenizer splits them; characters beyond the common Latin ones are left to the library."""
-    if chunk.isascii():
-        if chunk.isalpha():
-            return [chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-            return [chunk[:-1], chunk[-1]]
-    return WORDS.findall(chunk) if PLAIN.fullmatch(chunk) else [chunk]
-
-
 def _lower(text: str) -> str:
     """Lower case where that is what the tokenizer does first anyway: one character for one, composed already."""
     try:
