@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most bytes of an Arrow batch sent to Python, where the session does not say otherwise: 10 000 long texts would fill hundreds of MB.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8000000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any Hadoop-compatible path works."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

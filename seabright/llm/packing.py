@@ -118,9 +118,9 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
-def text_slices(batch: pa.RecordBatch, most_bytes: int = 8_000_000):
+def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8_000_000):
     """Runs of rows of about ``most_bytes`` of text each, so that memory does not follow the batch size."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     begin, total = 0, np.cumsum(sizes)
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most_bytes, "right")))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from seabright.llm.common import materialize
 from seabright.llm.components import connected_components
+from seabright.llm.packing import text_slices
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -68,9 +69,9 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fingerprint (a signed long) of every document."""
 
     def run(batches):
-        for batch in batches:
-            got = np.fromiter((majority(shingle_hashes(t or "", words, seed)) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+        for part in (p for batch in batches for p in text_slices(batch)):
+            got = np.fromiter((majority(shingle_hashes(t or "", words, seed)) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
