@@ -54,11 +54,17 @@ class ChunkEncoder:
 
     @classmethod
     def at(cls, path: str) -> ChunkEncoder:
-        """One encoder a process: workers that run several tasks keep what they know."""
+        """One encoder a process: workers that run several tasks load the tokenizer once."""
         if path not in cls._of:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds no more than the tokenizer."""
+        for cache in (self.known, self.words):
+            cache.clear()
+            cache.old = {}
+
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
@@ -139,25 +145,28 @@ def _pieces(path: str, most: int, end_id: int, with_ids: bool):
 
     def run(batches):
         encoder = ChunkEncoder.at(path)
-        for batch in batches:
-            for part in text_slices(batch):
-                columns = [[] for _ in range(5 + with_ids)]
-                encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for row, raw in enumerate(encoded):
-                    raw += end
-                    n, start = len(raw) // 4, 0
-                    for length in binary_lengths(n, most):
-                        ids = raw[4 * start : 4 * (start + length)]
-                        for c, v in zip(columns, (row, start, length, zlib.crc32(ids), n, ids), strict=False):
-                            c.append(v)
-                        start += length
-                rows, *rest = columns
-                arrays = [part.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in rest[:4])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in rest[4]], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        try:
+            for batch in batches:
+                for part in text_slices(batch):
+                    columns = [[] for _ in range(5 + with_ids)]
+                    encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                    for row, raw in enumerate(encoded):
+                        raw += end
+                        n, start = len(raw) // 4, 0
+                        for length in binary_lengths(n, most):
+                            ids = raw[4 * start : 4 * (start + length)]
+                            for c, v in zip(columns, (row, start, length, zlib.crc32(ids), n, ids), strict=False):
+                                c.append(v)
+                            start += length
+                    rows, *rest = columns
+                    arrays = [part.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in rest[:4])]
+                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                    if with_ids:
+                        arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in rest[4]], pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+        finally:
+            encoder.forget()
 
     return run
 
