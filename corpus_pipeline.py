@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seabright.llm import packing, pii, quality_lm, queries, simhash
+from seabright.llm import near_copies, packing, pii, quality_lm, queries
 from seabright.llm.common import materialize, table
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of runs of five words."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,15 +169,17 @@ def spanning_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.n
     return fp[linked], fp[label[linked]]
 
 
-def _compare(radius: int, at_once: int = 200_000):
+def in_cells(find, at_once: int = 200_000):
+    """For mapInArrow over rows sorted by (key, cell): the links (u, v) that ``find`` makes of whole groups and their numbers."""
+
     def run(batches):
         held: list[pa.Table] = []
         rows = 0
 
         def links(t: pa.Table):
-            key, cell, fp = (t[c].to_numpy() for c in ("key", "cell", "fp"))
+            key, cell = t["key"].to_numpy(), t["cell"].to_numpy()
             new = np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
-            u, v = spanning_links(np.cumsum(new), fp.view(np.uint64), radius)
+            u, v = find(t, np.cumsum(new))
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
@@ -196,6 +198,10 @@ def _compare(radius: int, at_once: int = 200_000):
     return run
 
 
+def _compare(radius: int):
+    return in_cells(lambda t, group: spanning_links(group, t["fp"].to_numpy().view(np.uint64), radius))
+
+
 def near_links(prints: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
     """(u, v): a forest that spans the links among distinct fingerprints (fp)."""
     runs = radius + 2
