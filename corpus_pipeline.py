@@ -28,8 +28,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of powers of two tokens."""
-    return packing.pack_powers_of_two(docs, queries.tokenizer_path("word_bpe_49k.json"))
+    """Sequences of powers of two tokens, with their token ids; those of one length are a bucket."""
+    return packing.pack_powers_of_two(docs, queries.tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]

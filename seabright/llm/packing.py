@@ -32,6 +32,8 @@ MARK = "\x01"
 WORDS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: No token's id: stands for a blank while ids of many chunks are joined.
 BETWEEN = b"\xff\xff\xff\xff"
+#: Most bytes of ids in a batch of pieces, but for a single longer document.
+MOST_IDS = 8_000_000
 #: Characters that are split by the pattern above; chunks with others are left to the library.
 PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
@@ -143,28 +145,38 @@ def binary_lengths(n: int, most: int) -> list[int]:
 def _pieces(path: str, most: int, end_id: int, with_ids: bool):
     end = int(end_id).to_bytes(4, "little")
 
+    def cut(doc_id: pa.Array, first: int, encoded: list[bytes]) -> pa.RecordBatch:
+        columns = [[] for _ in range(5)]
+        for row, raw in enumerate(encoded, first):
+            raw += end
+            n, start = len(raw) // 4, 0
+            for length in binary_lengths(n, most):
+                for c, v in zip(columns, (row, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n), strict=True):
+                    c.append(v)
+                start += length
+        rows, *rest = columns
+        arrays = [doc_id.take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        if with_ids:  # pieces follow one another as the ids do
+            ids = np.frombuffer(b"".join(x for raw in encoded for x in (raw, end)), "<i4")
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rest[1])), pa.int32()), pa.array(ids)))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names)
+
     def run(batches):
         encoder = ChunkEncoder.at(path)
         try:
             for batch in batches:
                 for part in text_slices(batch):
-                    columns = [[] for _ in range(5 + with_ids)]
                     encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                    for row, raw in enumerate(encoded):
-                        raw += end
-                        n, start = len(raw) // 4, 0
-                        for length in binary_lengths(n, most):
-                            ids = raw[4 * start : 4 * (start + length)]
-                            for c, v in zip(columns, (row, start, length, zlib.crc32(ids), n, ids), strict=False):
-                                c.append(v)
-                            start += length
-                    rows, *rest = columns
-                    arrays = [part.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in rest[:4])]
-                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                    if with_ids:
-                        arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in rest[4]], pa.list_(pa.int32())))
-                        names.append("ids")
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+                    begin = 0
+                    while begin < len(encoded):  # as many rows at once as hold about MOST_IDS bytes of ids
+                        rows, size = begin, 0
+                        while rows < len(encoded) and (rows == begin or size + len(encoded[rows]) <= MOST_IDS):
+                            size += len(encoded[rows])
+                            rows += 1
+                        yield cut(part.column("doc_id"), begin, encoded[begin:rows])
+                        begin = rows
         finally:
             encoder.forget()
 
