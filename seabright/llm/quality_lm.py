@@ -259,7 +259,7 @@ def _score_ids(docs: DataFrame, models: np.ndarray) -> DataFrame:
     return materialize(perplexities(named, models, ["doc_id", "lang"]), "perplexities")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = 0.999, lower: float = 0.001, margin: float = 0.15, spread: float = 2.0) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = 0.999, lower: float = 0.001, margin: float = 0.02, spread: float = 2.0) -> DataFrame:
     """doc_id, lang, length, perplexity, low, high, keep of every document.
 
     A mean over few characters scatters, so a document of n characters gets the benefit of a factor exp(spread / sqrt(n)) both ways;
@@ -271,7 +271,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = 0.999, lowe
     return judged.select("doc_id", "lang", *(F.col(f"seabright_{c}").alias(c) for c in ("length", "perplexity", "low", "high", "keep")))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, upper: float = 0.999, lower: float = 0.001, margin: float = 0.15, spread: float = 2.0) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, upper: float = 0.999, lower: float = 0.001, margin: float = 0.02, spread: float = 2.0) -> DataFrame:
     """The rows of ``docs`` that are kept; texts are scored again where they are read, so none is shuffled."""
     trusted = trusted_ids(labels)
     models = train(docs, trusted)
