@@ -106,6 +106,20 @@ def _across(least: float):
     return links
 
 
+def _sets(docs: DataFrame, marked: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(node, shingles) of the nodes in ``pairs``, from one text each."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    chosen = materialize(marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("doc_id")), "chosen")
+
+    def run(batches):
+        for part in (p for batch in batches for p in text_slices(batch)):
+            sets = [shingle_set(t or "", words, seed).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = texts_of(docs.select(row_key(docs).alias("doc_id"), "text"), chosen.select("doc_id")).dropDuplicates(["doc_id"])
+    return materialize(texts.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, shingles binary"), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, block: int = 2000) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are similar enough."""
     fan = F.broadcast(materialize(pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > block).select("u", F.ceil(F.col("n") / block).alias("parts")), "fans"))
@@ -132,17 +146,7 @@ def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least:
     met = materialize(met.where("n > 1").select("key", "node", "size", "n", F.col("first.node").alias("first"), F.col("first.size").alias("first_size")), "meetings")
     alike = F.least("size", "first_size") >= least * F.greatest("size", "first_size") - SLACK
     star = materialize(met.where((F.col("node") != F.col("first")) & alike).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    # texts of the nodes that meet any other, once each
-    chosen = materialize(marked.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("doc_id")), "chosen")
-
-    def run(batches):
-        for part in (p for batch in batches for p in text_slices(batch)):
-            sets = [shingle_set(t or "", words, seed).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-    texts = texts_of(docs.select(row_key(docs).alias("doc_id"), "text"), chosen.select("doc_id"))
-    sets = materialize(texts.mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("node", "shingles"), "sets")
-    links = materialize(_verified(star, sets, least), "links")
+    links = materialize(_verified(star, _sets(docs, marked, star, words, seed), least), "links")
     rooted = met.join(connected_components(links), "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted-meetings")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
@@ -152,7 +156,8 @@ def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least:
     cells = cells.select("key", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("cell"), "node", "size", "root")
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
     rest = dealt.mapInArrow(in_cells(_across(least)), "u long, v long").distinct().join(star, ["u", "v"], "left_anti")
-    links = links.unionByName(_verified(materialize(rest, "pairs"), sets, least))
+    rest = materialize(rest, "pairs")
+    links = links.unionByName(_verified(rest, _sets(docs, marked, rest, words, seed), least))
     roots = connected_components(links)
     return marked.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("component"))
 
