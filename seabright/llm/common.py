@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,16 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system, so that reused Python workers do not keep the most they ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps the memory for later tasks
+        pass
+
+
 def finite_vector(vector: Column) -> Column:
     """True for arrays without null, NaN or infinite components; null arrays give false."""
     return F.coalesce(

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seabright.llm.common import TwoGenerations
+from seabright.llm.common import TwoGenerations, release_memory
 
 #: White space for str.split() but ordinary characters for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -33,7 +33,9 @@ WORDS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: No token's id: stands for a blank while ids of many chunks are joined.
 BETWEEN = b"\xff\xff\xff\xff"
 #: Most bytes of ids in a batch of pieces, but for a single longer document.
-MOST_IDS = 8_000_000
+MOST_IDS = 4_000_000
+#: Bytes of text that are split at once: each chunk is a Python string of some 60 bytes meanwhile.
+AT_ONCE = 2_000_000
 #: Characters that are split by the pattern above; chunks with others are left to the library.
 PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
@@ -47,7 +49,7 @@ class ChunkEncoder:
 
     _of: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,6 +68,7 @@ class ChunkEncoder:
         for cache in (self.known, self.words):
             cache.clear()
             cache.old = {}
+        release_memory()
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -88,7 +91,7 @@ class ChunkEncoder:
         whole = {c for c in chunks if "<|" in c or MARK in c}
         plain = [c for c in chunks if PLAIN.fullmatch(c) and c not in whole]
         other = chunks.difference(whole, plain)  # each is a word to the library
-        tokens = WORDS.findall(" ".join(plain))
+        tokens = WORDS.findall(" ".join(plain).lower())  # lower case is one character for one here
         needed = other.union(tokens)
         needed.discard(" ")
         words = self.words
@@ -118,7 +121,10 @@ class ChunkEncoder:
 
 
 def _lower(text: str) -> str:
-    """Lower case where that is what the tokenizer does first anyway: one character for one, composed already."""
+    """Lower case, so that more chunks are equal, where the tokenizer does that first: no special strings, which it cuts out
+    before; one character for one, composed already."""
+    if "<|" in text:
+        return text
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -167,7 +173,7 @@ def _pieces(path: str, most: int, end_id: int, with_ids: bool):
         encoder = ChunkEncoder.at(path)
         try:
             for batch in batches:
-                for part in text_slices(batch):
+                for part in text_slices(batch, most_bytes=AT_ONCE):
                     encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                     begin = 0
                     while begin < len(encoded):  # as many rows at once as hold about MOST_IDS bytes of ids

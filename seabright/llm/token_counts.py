@@ -123,7 +123,7 @@ class MergeCounter:
 
     def count(self, text: str) -> int:
         """White space ends words and is dropped, so a text's count is the sum over its chunks."""
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or self.special is not None and self.special.search(text):  # in their exact spelling only
             return self.whole(text)
         known = self.known
         chunks = (text.lower() if text.isascii() else text).split()
@@ -135,7 +135,7 @@ class MergeCounter:
                     c = chunks[at]
                     if (n := known.get(c)) is None:
                         if (n := old.get(c)) is None:
-                            n = self.whole(c) if "<" in c else self._plain(c)
+                            n = self._plain(c)
                         if len(c) <= 64:
                             known.put(c, n)
                             old = known.old

@@ -10,13 +10,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seabright.llm import byte_bpe, packing, token_counts
+from seabright.llm import byte_bpe, packing, queries, token_counts
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(WORD)
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE, "rb"))}
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-PARTS = ["a", "the ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'re", "don't", "É", "e\u0301", "ß", "\u0130", "\u03a3", "12", "½", "_", "<|endoftext|>", "<|", "!", "!!", "\x1c", "\x01", "\x00", "\xa0", "\u2009", "日本", "🙂", "word", "Word.", ", "]
+PARTS = ["a", "the ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'re", "don't", "É", "e\u0301", "ß", "\u0130", "\u03a3", "12", "½", "_", "<|endoftext|>", "<|", "!", "!!", "\x1c", "\x01", "\x00", "\xa0", "\u2009", "日本", "🙂", "word", "Word.", ", ", "DON'T ", "'S", "'LL", "’", "“", "—", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>"]
 TEXT = st.lists(st.sampled_from(PARTS), max_size=25).map("".join) | st.text(st.characters(codec="utf-8", max_codepoint=0x24F), max_size=40)
 
 
@@ -30,6 +30,26 @@ def test_chunk_encoder_is_the_library(text):
     assert np.frombuffer(packing.ChunkEncoder.at(WORD).encode([text])[0], "<u4").tolist() == ids(text)
 
 
+@pytest.mark.parametrize("text", ["DON'T panic “ok”", "IT'S 日本", "<|ENDOFTEXT|>", "x <|EndOfText|> y", "a<|endoftext|>B'S", "İ'S Σ'LL"])
+def test_exact_spelling_and_contractions(text):
+    assert np.frombuffer(packing.ChunkEncoder.at(WORD).encode([text])[0], "<u4").tolist() == ids(text)
+    assert token_counts.MergeCounter.at(WORD).count(text) == len(ids(text))
+
+
+def test_whole_table_is_the_library(spark, sf_dir):
+    """The contract queries over every document of the smallest tables."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {d: ids(t) for d, t in texts.items()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op4_count_tokens(spark, sf_dir).collect()}
+    assert got == {d: (len(texts[d].encode()), len(i), len(i) > 2048) for d, i in want.items()}
+    seen = {}
+    for r in queries.op3_pack_powers_of_two(spark, sf_dir).collect():
+        whole = [*want[r.doc_id], 2]
+        assert r.doc_tokens == len(whole) and r.ids_crc32 == zlib.crc32(np.asarray(whole[r.start : r.start + r.length], "<u4").tobytes())
+        seen.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+    assert {d: sorted(x) for d, x in seen.items()} == {d: list(range(len(i) + 1)) for d, i in want.items()}
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_heap_count_is_the_library(text):
