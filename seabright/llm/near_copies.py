@@ -1,15 +1,18 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints and the exact Jaccard similarity of word shingles.
 
 A document is the set of its runs of ``words`` words. Two documents are linked if their sets' Jaccard similarity is ``least`` or more.
 Two such sets share an element among the first n - ceil(least * n) + 1 of each, in any order that is the same for all (prefix
-filter), so only documents that meet there are compared: no linked pair is missed. A SimHash radius could not promise that.
+filter), so only documents that meet there are compared: first by their SimHash fingerprints of 128 bits, bit-sliced, 64 pairs a word; and those within ``RADIUS`` bits
+by their sets. Two sets at the least similarity of 0.8 differ in 19 bits on average (the bits of sets at an angle a differ with chance a / pi), so more than 44 has a chance
+under 1e-6; sets of fewer than ``SMALL`` shingles, for which that does not hold, go without the fingerprints.
 
 Scaling: equal sets are one node before any comparison. Shingles that are frequent in a sample come last in the order, so a passage in
 many documents is no meeting point. First every node is compared with the least node of each of its meeting points; what that links is
 one component, and only pairs across components are compared then, so a large group of near copies does not
-make all its pairs. Crowded meeting points are cut into tiles, and nodes with many comparisons are salted.
+make all its pairs. Crowded meeting points are cut into tiles, and nodes with many comparisons are salted. Texts move only for pairs that the fingerprints leave, compressed.
 
-Edge cases: null texts are empty; texts without words have empty sets and are one component. Shorter texts are one shingle.
+Edge cases: null texts are empty; texts without words have empty sets and are one component. Shorter texts are one shingle. Repeated rows are one component. Null ids
+are compared like others and come last where one row of a component is kept. Very long texts are hashed in runs. Extra columns, whatever their names, are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seabright.llm.common import materialize
+from seabright.llm.common import materialize, release_memory
 from seabright.llm.components import connected_components
 from seabright.llm.packing import text_slices
-from seabright.llm.quality_lm import texts_of
-from seabright.llm.simhash import in_cells, shingle_hashes
+from seabright.llm.quality_lm import MOST_IDS, texts_of
+from seabright.llm.simhash import BitPlanes, in_cells, majority, shingle_hashes
 
 SLACK = 1e-9
+RADIUS, SMALL = 44, 32
+AT_ONCE = 4_000_000
 
 
 def shingle_set(text: str, words: int, seed: int) -> np.ndarray:
@@ -42,6 +47,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def prints(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits: the majorities of the hashes, and of the hashes mixed once more."""
+    mixed = shingles ^ shingles >> np.uint64(31)
+    mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+    return majority([shingles]), majority([mixed ^ mixed >> np.uint64(29)])
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """What two linked sets must share an element of; shingles in ``common`` (sorted) come last."""
     n = len(shingles)
@@ -62,7 +74,7 @@ def common_shingles(docs: DataFrame, words: int, seed: int, sample: int = 8000,
     part = docs.where(F.pmod(F.xxhash64(F.lit(seed), row_key(docs)), F.lit(max(1, total // sample))) == 0).select(F.col("text").cast("string").alias("text")).distinct()
 
     def run(batches):
-        for rows in (p for batch in batches for p in text_slices(batch)):
+        for rows in (p for batch in batches for p in text_slices(batch, most_bytes=AT_ONCE)):
             for t in rows.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or "", words, seed).view(np.int64))], ["key"])
 
@@ -71,19 +83,35 @@ def common_shingles(docs: DataFrame, words: int, seed: int, sample: int = 8000,
 
 
 def _marked(docs: DataFrame, common: np.ndarray, words: int, seed: int, least: float) -> DataFrame:
-    """row, doc_id, node (one for each distinct set), size and prefix of every document."""
+    """row, doc_id, node (one for each distinct set), size, the two words of the fingerprint, and prefix of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        for part in (p for batch in batches for p in text_slices(batch)):
-            sets = [shingle_set(t or "", words, seed) for t in part.column("text").to_pylist()]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets), np.uint64, len(sets))
-            heads = [prefix(s, shared.value, least).view(np.int64) for s in sets]
-            columns = [part.column("row"), part.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "size", "prefix"])
+        for part in (p for batch in batches for p in text_slices(batch, most_bytes=AT_ONCE)):
+            nodes, sizes, left, right, heads = [], [], [], [], []
+            for t in part.column("text").to_pylist():
+                s = shingle_set(t or "", words, seed)
+                a, b = prints(s)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
+                sizes.append(len(s))
+                left.append(a)
+                right.append(b)
+                heads.append(prefix(s, shared.value, least).view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, left, right)]
+            columns = [part.column("row"), part.column("doc_id"), signed[0], pa.array(sizes, pa.int64()), *signed[1:], pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "size", "left", "right", "prefix"])
+        release_memory()
 
     rows = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, node long, size long, prefix array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, node long, size long, left long, right long, prefix array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sizes and fingerprints let them be similar enough."""
+    rows = pairs.join(nodes.toDF("u", "size_u", "left_u", "right_u"), "u").join(nodes.toDF("v", "size_v", "left_v", "right_v"), "v")
+    sizes = F.least("size_u", "size_v") >= least * F.greatest("size_u", "size_v") - SLACK
+    differ = F.bit_count(F.col("left_u").bitwiseXOR(F.col("left_v"))) + F.bit_count(F.col("right_u").bitwiseXOR(F.col("right_v")))
+    return rows.where(sizes & ((F.least("size_u", "size_v") < SMALL) | (differ <= RADIUS))).select("u", "v")
 
 
 def _across(least: float):
@@ -92,47 +120,60 @@ def _across(least: float):
         edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(edge, len(group)))
         ahead = np.repeat(edge + sizes, sizes) - np.arange(len(group)) - 1
-        us, vs, shift = [node[:0]], [node[:0]], 1
-        at = np.flatnonzero(ahead >= shift)
-        while len(at):
+        planes = BitPlanes(np.stack([t["left"].to_numpy(), t["right"].to_numpy()], axis=1).view(np.uint64))
+        us, vs, small = [node[:0]], [node[:0]], size < SMALL
+        for shift in range(1, int(sizes.max(initial=1))):
+            at = np.flatnonzero(ahead >= shift)
             to = at + shift
-            met = (root[at] != root[to]) & (np.minimum(size[at], size[to]) >= least * np.maximum(size[at], size[to]) - SLACK)
-            us.append(np.minimum(node[at[met]], node[to[met]]))
-            vs.append(np.maximum(node[at[met]], node[to[met]]))
-            shift += 1
-            at = at[ahead[at] >= shift]
+            fits = (root[at] != root[to]) & (np.minimum(size[at], size[to]) >= least * np.maximum(size[at], size[to]) - SLACK)
+            at, to = at[fits], to[fits]
+            tiny = small[at] | small[to]
+            ask = np.zeros(len(node), bool)
+            ask[at[~tiny]] = True
+            at = np.concatenate([at[tiny], planes.near(shift, ask, RADIUS)])
+            us.append(np.minimum(node[at], node[at + shift]))
+            vs.append(np.maximum(node[at], node[at + shift]))
         return np.concatenate(us), np.concatenate(vs)
 
     return links
 
 
-def _sets(docs: DataFrame, marked: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(node, shingles) of the nodes in ``pairs``, from one text each."""
+def _texts(docs: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, length, packed) of the nodes in ``pairs``: one compressed text each."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    chosen = materialize(marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("doc_id")), "chosen")
+    chosen = materialize(marked.select("node", "row").join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("doc_id")), "chosen")
 
     def run(batches):
-        for part in (p for batch in batches for p in text_slices(batch)):
-            sets = [shingle_set(t or "", words, seed).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+        codec = pa.Codec("zstd")
+        for part in (p for batch in batches for p in text_slices(batch, most_bytes=AT_ONCE)):
+            raw = [t.encode() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], ["doc_id", "length", "packed"])
+        release_memory()
 
-    texts = texts_of(docs.select(row_key(docs).alias("doc_id"), "text"), chosen.select("doc_id")).dropDuplicates(["doc_id"])
-    return materialize(texts.join(chosen, "doc_id").select("node", "text").mapInArrow(run, "node long, shingles binary"), "sets")
+    texts = texts_of(docs.select(row_key(docs).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")), chosen.select("doc_id"))
+    packed = texts.mapInArrow(run, "doc_id long, length long, packed binary").dropDuplicates(["doc_id"])
+    return materialize(packed.join(chosen, "doc_id").select("node", "length", "packed"), "texts")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float, block: int = 2000) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, seed: int, least: float, block: int = 2000) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are similar enough."""
     fan = F.broadcast(materialize(pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > block).select("u", F.ceil(F.col("n") / block).alias("parts")), "fans"))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     left = pairs.join(fan, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), parts).alias("part"))
-    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).join(fan, "u", "left").select("u", "a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    first = texts.select(F.col("node").alias("u"), F.struct("length", "packed").alias("a")).join(fan, "u", "left").select("u", "a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    second = texts.select(F.col("node").alias("v"), F.struct("length", "packed").alias("b"))
 
     def run(batches):
+        codec, last, mine = pa.Codec("zstd"), None, None
+        unpack = lambda t: shingle_set(codec.decompress(t["packed"], t["length"], asbytes=True).decode(), words, seed)
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            near = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least - SLACK for x, y in zip(a, b, strict=True)]
+            near = []
+            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                if u != last:
+                    last, mine = u, unpack(a.as_py())
+                near.append(jaccard(mine, unpack(b.as_py())) >= least - SLACK)
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+        release_memory()
 
     return left.join(second, "v").join(first, ["u", "part"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
@@ -140,32 +181,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, block: int = 2000
 def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least: float = 0.8, tile: int = 4096) -> DataFrame:
     """row, doc_id, component of every document: components of the links of Jaccard similarity ``least`` or more."""
     marked = materialize(_marked(docs, common_shingles(docs, words, seed), words, seed, least), "shingle-sets")
-    nodes = marked.select("node", "size", "prefix").dropDuplicates(["node"])
+    nodes = materialize(marked.select("node", "size", "left", "right").dropDuplicates(["node"]), "nodes")
+    heads = marked.select("node", "prefix").dropDuplicates(["node"])
     meeting = Window.partitionBy("key")
-    met = nodes.select("node", "size", F.explode("prefix").alias("key")).withColumns({"n": F.count("*").over(meeting), "first": F.min(F.struct("node", "size")).over(meeting)})
-    met = materialize(met.where("n > 1").select("key", "node", "size", "n", F.col("first.node").alias("first"), F.col("first.size").alias("first_size")), "meetings")
-    alike = F.least("size", "first_size") >= least * F.greatest("size", "first_size") - SLACK
-    star = materialize(met.where((F.col("node") != F.col("first")) & alike).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    links = materialize(_verified(star, _sets(docs, marked, star, words, seed), least), "links")
-    rooted = met.join(connected_components(links), "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+    met = heads.select("node", F.explode("prefix").alias("key")).withColumns({"n": F.count("*").over(meeting), "first": F.min("node").over(meeting)})
+    met = materialize(met.where("n > 1"), "meetings")
+    star = met.where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    star = materialize(_alike(star, nodes, least), "pairs")
+    links = materialize(_verified(star, _texts(docs, marked, star), words, seed, least), "links")
+    rooted = met.join(connected_components(links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted-meetings")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    tiles = F.ceil(F.col("n") / tile)
     own, other = F.pmod(F.xxhash64("node"), F.col("tiles")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    cells = rooted.join(mixed, "key", "left_semi").withColumn("tiles", tiles).select("key", "node", "size", "root", "tiles", own.alias("own"), other.alias("other"))
-    cells = cells.select("key", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("cell"), "node", "size", "root")
+    cells = rooted.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("tiles", F.ceil(F.col("n") / tile))
+    cells = cells.select("key", "node", "size", "left", "right", "root", "tiles", own.alias("own"), other.alias("other"))
+    cells = cells.select("key", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("cell"), "node", "size", "left", "right", "root")
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
     rest = dealt.mapInArrow(in_cells(_across(least)), "u long, v long").distinct().join(star, ["u", "v"], "left_anti")
     rest = materialize(rest, "pairs")
-    links = links.unionByName(_verified(rest, _sets(docs, marked, rest, words, seed), least))
+    links = links.unionByName(_verified(rest, _texts(docs, marked, rest), words, seed, least))
     roots = connected_components(links)
     return marked.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the least id, null ids last."""
-    found = near_copy_components(docs, words, seed, least)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("seabright_row"))
-    order = Window.partitionBy("seabright_row").orderBy("text")
-    rows = docs.withColumn("seabright_row", row_key(docs)).join(kept, "seabright_row", "left_semi")
-    return rows.withColumn("seabright_nth", F.row_number().over(order)).where("seabright_nth = 1").select(*docs.columns)
+    found = materialize(near_copy_components(docs, words, seed, least), "components")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    kept = materialize(kept.join(found.groupBy("row").agg(F.count("*").alias("times")), "row"), "kept")
+    few = kept.count() <= MOST_IDS
+    chosen = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row")).join(F.broadcast(kept) if few else kept, "row")
+    once = chosen.where("times = 1").select("doc.*")
+    order = Window.partitionBy("row").orderBy("doc.text")
+    repeated = chosen.where("times > 1").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("doc.*")
+    return once.unionByName(repeated)

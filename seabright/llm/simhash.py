@@ -81,57 +81,54 @@ class BitPlanes:
     """Fingerprints stood on end: plane b holds bit b of all of them, 64 to a word."""
 
     def __init__(self, fp: np.ndarray):
-        n = len(fp)
+        fp = fp.astype("<u8").reshape(len(fp), -1)  # one or more words of 64 bits each
+        n, bits = len(fp), 64 * fp.shape[1]
         words = n // 64 + 2
-        bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-        tall = np.zeros((64, words * 64), np.uint8)
-        tall[:, :n] = bits.T
+        tall = np.zeros((bits, words * 64), np.uint8)
+        tall[:, :n] = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").T
         self.planes = np.packbits(tall, axis=1, bitorder="little").view("<u8")
         self.words = words
 
     def near(self, shift: int, ask: np.ndarray, radius: int, run: int = 8) -> np.ndarray:
-        """Positions i for which ``ask`` holds and fingerprints i and i + shift differ in at most ``radius`` (under 8) bits."""
+        """Positions i for which ``ask`` holds and fingerprints i and i + shift differ in at most ``radius`` bits."""
         asked = np.zeros(self.words * 64, np.uint8)
         asked[: len(ask)] = ask
         alive = np.packbits(asked, bitorder="little").view("<u8")
         at = np.flatnonzero(alive)
         alive = alive[at]
-        ones, twos, fours = (np.zeros(len(at), np.uint64) for _ in range(3))
+        counter = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]  # bit k of the differences of 64 pairs a word
         step, bit = shift // 64, np.uint64(shift % 64)
-        for begin in range(0, 64, run):
+        for begin in range(0, len(self.planes), run):
+            if not len(at):
+                break
             here = self.planes[begin : begin + run]
             there = here[:, np.minimum(at + step, self.words - 1)]
             if bit:
                 there = there >> bit | here[:, np.minimum(at + step + 1, self.words - 1)] << (np.uint64(64) - bit)
             over = np.zeros(len(at), np.uint64)
-            for differ in here[:, at] ^ there:
-                carry = ones & differ
-                ones ^= differ
-                more = twos & carry
-                twos ^= carry
-                over |= fours & more
-                fours ^= more
-            alive &= ~(over | _more_than(radius, ones, twos, fours))
+            for carry in here[:, at] ^ there:
+                for k, digit in enumerate(counter):
+                    counter[k], carry = digit ^ carry, digit & carry
+                over |= carry
+            alive &= ~(over | _more_than(radius, counter))
             keep = np.flatnonzero(alive)
             if len(keep) < len(at):
-                at, alive, ones, twos, fours = at[keep], alive[keep], ones[keep], twos[keep], fours[keep]
-            if not len(at):
-                break
+                at, alive, counter = at[keep], alive[keep], [digit[keep] for digit in counter]
         bits = np.unpackbits(np.ascontiguousarray(alive, "<u8").view(np.uint8).reshape(len(at), 8), axis=1, bitorder="little")
         row, col = np.nonzero(bits)
         return at[row] * 64 + col
 
 
-def _more_than(radius: int, ones: np.ndarray, twos: np.ndarray, fours: np.ndarray) -> np.ndarray:
-    """Where the three-bit counters exceed the radius."""
-    out = np.zeros_like(ones)
+def _more_than(radius: int, counter: list[np.ndarray]) -> np.ndarray:
+    """Where the counters exceed the radius."""
+    out = np.zeros_like(counter[0])
     equal = ~out
-    for plane, bit in ((fours, radius >> 2 & 1), (twos, radius >> 1 & 1), (ones, radius & 1)):
-        if bit:
-            equal &= plane
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            equal = equal & counter[k]
         else:
-            out |= equal & plane
-            equal &= ~plane
+            out |= equal & counter[k]
+            equal = equal & ~counter[k]
     return out
 
 
