@@ -4,10 +4,9 @@ A log holds events (conv_id, seq, kind, message_id, role, text). Kinds: ``messag
 ``edit`` (replaces the text), ``regenerate`` (starts the text anew and drops messages begun after this one
 and before it). Events of a conversation are ordered by sequence and folded into final messages, and those are
 rendered with a template that marks turns. Texts and roles are escaped reversibly: a backslash is doubled, and ``<|``
-becomes ``<\\|``, so no text can hold a control string. A rendered conversation is an array of segments with a loss
-flag; the joined segments are the formatted string, and the flagged ones are exactly the assistants' texts.
+becomes ``<\\|``, so no text can hold a control string. A rendered conversation is one string and a loss mask: for each turn, the stretch that counts.
 
-Scaling: one shuffle by conversation (two with message events). A conversation is one output string, so its rows
+Scaling: one shuffle, by conversation; the fold of each message, the effect of regenerations and the rendering all use it. A conversation is one output string, so its rows
 must meet; nothing else is gathered.
 
 Edge cases: null texts and roles are empty; null conversation ids form one conversation; null sequences come first. Ties in sequence are
@@ -32,49 +31,53 @@ def unescape(text: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, seq, role, text of the messages that stand at the end of the log; seq is where a message began."""
-    whole = events.where("message_id is null").select("conv_id", "seq", "role", "text")
-    parts = events.where("message_id is not null")
-    key = ["conv_id", "message_id"]
+    alone = F.col("message_id").isNull()
+    kind = F.when(alone, F.lit("message")).otherwise(F.col("kind"))
+    named = events.select("conv_id", "seq", kind.alias("kind"), "message_id", F.when(alone, F.monotonically_increasing_id()).alias("row"), "role", F.coalesce("text", F.lit("")).alias("text"))
     resets = F.col("kind").isin("message", "edit", "regenerate")
-    log = F.array_sort(F.collect_list(F.struct("seq", resets.alias("resets"), "kind", "role", F.coalesce("text", F.lit("")).alias("text"))))
-    told = parts.groupBy(*key).agg(log.alias("log"), F.max(F.when(resets, F.col("seq"))).alias("from_seq"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
+    log = F.array_sort(F.collect_list(F.struct("seq", resets.alias("resets"), "kind", "role", "text")))
+    told = named.repartition("conv_id").groupBy("conv_id", "message_id", "row").agg(log.alias("log"), F.max(F.when(resets, F.col("seq"))).alias("from_seq"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
     last = F.filter("log", lambda e: F.col("from_seq").isNull() | (e["seq"] > F.col("from_seq")) | ((e["seq"] == F.col("from_seq")) & e["resets"]))
-    role = F.element_at(F.filter(F.col("log"), lambda e: e["role"].isNotNull()), 1)["role"]
-    messages = told.select("conv_id", F.element_at("log", 1)["seq"].alias("seq"), "again", F.when(F.exists("log", lambda e: e["role"].isNotNull()), role).alias("role"), F.array_join(F.transform(last, lambda e: e["text"]), "").alias("text"))
+    role = F.get(F.filter(F.col("log"), lambda e: e["role"].isNotNull()), F.lit(0))["role"]
+    messages = told.select("conv_id", F.element_at("log", 1)["seq"].alias("seq"), "again", role.alias("role"), F.array_join(F.transform(last, lambda e: e["text"]), "").alias("text"))
     earlier = Window.partitionBy("conv_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    superseded = F.max("again").over(earlier)
-    messages = messages.withColumn("superseded", superseded).where(F.coalesce(F.col("superseded") <= F.col("seq"), F.lit(True)))
-    return whole.unionByName(messages.select("conv_id", "seq", "role", "text"))
-
-
-def segments_of(role: Column, text: Column) -> Column:
-    """A turn as segments (text, loss)."""
-    piece = lambda t, loss: F.struct(t.alias("text"), F.lit(loss).alias("loss"))
-    head, said = F.concat(F.lit(START), escape(role), F.lit(MIDDLE)), escape(text)
-    return F.when(role == "assistant", F.array(piece(head, False), piece(said, True), piece(F.lit(END), False))).otherwise(F.array(piece(F.concat(head, said, F.lit(END)), False)))
+    stands = F.coalesce(F.max("again").over(earlier) <= F.col("seq"), F.lit(True))
+    return messages.withColumn("stands", stands).where("stands").select("conv_id", "seq", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """conv_id, segments (array of text and loss flag), formatted."""
+    """conv_id, formatted, and loss: for each turn (first, length) of the characters that count, from the end of its start mark; null where none do."""
     turn = F.struct("seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    made = turns.select("conv_id", F.flatten(F.transform("turns", lambda t: segments_of(t["role"], t["text"]))).alias("segments"))
-    return made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    line = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(END))
+    first = lambda t: F.char_length(escape(t["role"])) + len(MIDDLE)
+    counts = lambda t: F.when(t["role"] == "assistant", F.struct(first(t).alias("first"), F.char_length(escape(t["text"])).alias("length")))
+    return turns.select("conv_id", F.array_join(F.transform("turns", line), "").alias("formatted"), F.transform("turns", counts).alias("loss"))
+
+
+def turns_of(formatted: Column) -> Column:
+    """The stretches of a formatted string between start marks."""
+    parts = F.split(formatted, r"<\|im_start\|>")
+    return F.slice(parts, 2, F.size(parts) - 1)
 
 
 def read_back(formatted: Column) -> Column:
     """The turns (role, text) of a formatted string."""
-    body = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda t: t != "")
-    return F.transform(body, lambda t: F.struct(
+    return F.transform(turns_of(formatted), lambda t: F.struct(
         unescape(F.substring_index(t, MIDDLE, 1)).alias("role"),
         unescape(F.element_at(F.split(F.substring_index(t, END, 1), r"<\|im_sep\|>", 2), 2)).alias("text"),
     ))
 
 
+def loss_text(formatted: Column, loss: Column) -> Column:
+    """All text of a formatted string under its loss mask, unescaped."""
+    parts = F.zip_with(turns_of(formatted), loss, lambda t, m: F.coalesce(F.substring(t, m["first"] + 1, m["length"]), F.lit("")))
+    return F.array_join(F.transform(parts, unescape), "")
+
+
 def digests(rendered: DataFrame) -> DataFrame:
-    """What a rendered conversation says, read back from it."""
-    said = unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""))
-    read = rendered.select("conv_id", read_back(F.col("formatted")).alias("turns"), said.alias("said"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    """What a rendered conversation says, read back from its string and mask."""
+    read = rendered.select("conv_id", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("said"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -55,15 +55,30 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def conversation_log(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as the log of events that ends in them: each begins, and its text is streamed in two
+    deltas, or begun and then edited, or drafted and regenerated, by turns."""
+    text, cut = F.coalesce("text", F.lit("")), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    left, right = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.char_length(text))
+    event = lambda step, kind, said, role=None: F.struct((F.col("turn") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), said.alias("text"))
+    begun = event(0, "message", F.lit(""), F.col("role"))
+    streamed = F.array(begun, event(1, "delta", left), event(2, "delta", right))
+    edited = F.array(begun, event(1, "delta", left), event(2, "edit", text))
+    again = F.array(begun, event(1, "delta", F.lit("draft")), event(2, "regenerate", F.lit("")), event(3, "delta", left), event(4, "delta", right))
+    way = F.pmod("turn", F.lit(3))
+    log = F.when(way == 1, edited).when(way == 2, again).otherwise(streamed)
+    named = turns.withColumn("message_id", F.monotonically_increasing_id().cast("string"))  # before the events part
+    return named.select("conv_id", "message_id", F.explode(log).alias("e")).select("conv_id", "message_id", "e.*")
+
+
 def op8_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(1).select(F.explode(F.array(*(
         F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
         for turn, role in enumerate(("user", "assistant"))
     ))).alias("r")).select("r.*")
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message_id"), "role", "text")
-    return chat_log.digests(chat_log.render(chat_log.fold_events(events)))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**59))).alias("turn"), "role", "text").unionByName(extra)
+    return chat_log.digests(chat_log.render(chat_log.fold_events(conversation_log(turns))))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
