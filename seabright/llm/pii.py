@@ -1,19 +1,22 @@
 """Personal data: fixed patterns, and spans added by a BiLSTM-CRF tagger.
 
-The patterns find e-mail addresses, IPv4 addresses, payment cards and international telephone numbers. The tagger reads overlapping windows
-around every character without which there is no such datum (a digit, an ``@``, a bracketed "at"). A position covered by two windows takes its tag from the
+The patterns find e-mail addresses, IPv4 addresses, payment cards and international telephone numbers. The tagger reads the whole of every text in
+overlapping windows. A position covered by two windows takes its tag from the
 one whose middle is nearer; spans are then formed over the whole text, checked by kind, and added where they touch no pattern's span.
 
-Scaling: no shuffle; a document is one row in, one row out. The tagger (a few thousand weights) is trained on the driver from made examples and broadcast.
+Scaling: no shuffle; a document is one row in, one row out. The tagger (a few thousand weights) is trained on the driver from made examples, kept in the shared folder for later
+queries, and broadcast.
 
-Edge cases: null and empty texts have no spans. Repeated rows and null ids give a row each. An empty table gives no rows. Patterns run in
-time linear in the text, however long its runs of digits or letters.
+Edge cases: null and empty texts have no spans. Repeated rows and null ids give a row each. Very long texts are read in windows like others, and patterns run in
+time linear in the text, however long its runs of digits or letters. Extra columns, whatever their names, are ignored by ``find_personal_data`` and kept by ``redact``. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seabright.llm.packing import text_slices
-from seabright.llm.pii_tagger import KINDS, Tagger, classes_of, fitted, luhn
+from seabright.llm.pii_tagger import KINDS, Tagger, classes_of, kept, luhn
+from seabright.llm.common import release_memory
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -34,7 +38,11 @@ DATE = re.compile(r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 DIGITS = re.compile(r"[0-9]+")
 
-WIDTH, STRIDE = 96, 48
+#: Bytes of text that are read at once.
+AT_ONCE = 4_000_000
+WIDTH, STRIDE = 192, 168
+#: Of the characters that two windows share, each has the half nearer to its middle.
+MARGIN = (WIDTH - STRIDE) // 2
 
 
 def _emails(text: str) -> list[Span]:
@@ -71,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 WRITTEN = (
-    re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+"),
+    re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[\w-]+)+"),
     re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\])[0-9]{1,3}){3}"),
     re.compile(r"[0-9]+(?:[ ./-][0-9]+)*"),
     re.compile(r"(?:\+|\()?[0-9][0-9 ().-]*[0-9]"),
@@ -87,27 +95,20 @@ def plausible(kind: int, text: str) -> bool:
         return all(int(p) <= 255 for p in DIGITS.findall(text))
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return kind == 0 or 9 <= len(digits) <= 15 and not DATE.search(text)
+    return kind == 0 or 10 <= len(digits) <= 15 and not DATE.search(text)
 
 
-def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a trigger, from a grid on which each position lies in two windows."""
-    cells = {m.start() // STRIDE for m in TRIGGER.finditer(text)}
-    return sorted({c for x in cells for c in (x - 1, x) if c >= 0 or x == 0 and c == 0})
+def windows_of(length: int) -> int:
+    """The number of windows, STRIDE apart, that cover a text."""
+    return 0 if not length else 1 + max(0, -(-(length - WIDTH) // STRIDE))
 
 
-def reconcile(length: int, cells: list[int], tags: np.ndarray) -> np.ndarray:
-    """One tag for each position of a text from its windows' tags."""
-    out = np.zeros(length, np.int8)
-    best = np.full(length, WIDTH, np.int16)
-    middle = np.abs(2 * np.arange(WIDTH) - WIDTH + 1).astype(np.int16)
-    for cell, row in zip(cells, tags, strict=True):
-        a = cell * STRIDE
-        n = min(WIDTH, length - a)
-        nearer = middle[:n] < best[a : a + n]
-        out[a : a + n][nearer] = row[:n][nearer]
-        best[a : a + n][nearer] = middle[:n][nearer]
-    return out
+def reconcile(length: int, tags: np.ndarray) -> np.ndarray:
+    """One tag for each position of a text from the tags of all its windows."""
+    if len(tags) == 1:
+        return tags[0, :length]
+    middle = tags[1:-1, MARGIN : MARGIN + STRIDE].ravel()
+    return np.concatenate([tags[0, : MARGIN + STRIDE], middle, tags[-1, MARGIN:]])[:length]
 
 
 def tagged_spans(text: str, tags: np.ndarray) -> list[Span]:
@@ -138,63 +139,66 @@ def _cut_short(text: str, start: int, end: int) -> bool:
 def merge(base: list[Span], added: list[Span]) -> list[Span]:
     """Base spans, and the added ones that overlap neither them nor an earlier added one; by kind and then start."""
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out, floor = list(base), 0
     for kind, a, b in sorted(added, key=lambda s: (s[1], -s[2])):
-        if a >= floor and not any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)  # base spans that begin before this one ends
+        if a >= floor and not (before and reach[before - 1] > a):
             out.append((kind, a, b))
             floor = b
     return sorted(out)
 
 
-def find_spans(texts: list[str], tagger: Tagger, at_once: int = 256) -> list[tuple[list[Span], list[Span]]]:
+def find_spans(texts: list[str], tagger: Tagger, at_once: int = 768) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
-    cells = [windows_of(t) for t in texts]
     out = [(b, b) for b in base]
-    pending: list[tuple[int, np.ndarray]] = []
-
-    def cut(row: int) -> np.ndarray:
-        codes = classes_of(texts[row])
-        padded = np.zeros(len(codes) + 2 * WIDTH, np.uint8)
-        padded[: len(codes)] = codes
-        return padded[(np.array(cells[row]) * STRIDE)[:, None] + np.arange(WIDTH)]
-
-    def flush() -> None:
-        x = np.concatenate([w for _, w in pending])
-        tags = np.concatenate([tagger.decode(x[i : i + at_once]) for i in range(0, len(x), at_once)])
-        begin = 0
-        for row, w in pending:
-            mine = tags[begin : begin + len(w)]
-            begin += len(w)
-            if mine.any():
-                text = texts[row]
-                out[row] = base[row], merge(base[row], tagged_spans(text, reconcile(len(text), cells[row], mine)))
-        pending.clear()
-
-    for row in (i for i, c in enumerate(cells) if c):
-        pending.append((row, cut(row)))
-        if sum(len(w) for _, w in pending) >= 4 * at_once:
-            flush()
-    if pending:
-        flush()
-    return out
+    first: dict[str, int] = {}
+    rows = [row for row, t in enumerate(texts) if t and first.setdefault(t, row) == row]  # equal texts are read once
+    counts = np.array([windows_of(len(texts[row])) for row in rows], np.int64)
+    if not len(rows):
+        return out
+    codes = [classes_of(texts[row]) for row in rows]
+    room = (counts - 1) * STRIDE + WIDTH
+    begins = np.cumsum(room) - room
+    flat = np.zeros(int(room.sum()), np.uint8)
+    for at, c in zip(begins.tolist(), codes, strict=True):
+        flat[at : at + len(c)] = c
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(rows)), counts)
+    starts = begins[owner] + (np.arange(len(owner)) - (ends - counts)[owner]) * STRIDE
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for at in range(0, len(starts), at_once):
+        part = starts[at : at + at_once]
+        tags = tagger.decode(flat[part[:, None] + np.arange(WIDTH)])
+        for i in np.flatnonzero(tags.any(axis=1)).tolist():
+            found.setdefault(int(owner[at + i]), []).append((at + i, tags[i]))
+    for which, windows in found.items():
+        mine = np.zeros((int(counts[which]), WIDTH), np.int8)
+        for window, tags in windows:
+            mine[window - int(ends[which] - counts[which])] = tags
+        row = rows[which]
+        text = texts[row]
+        out[row] = base[row], merge(base[row], tagged_spans(text, reconcile(len(text), mine)))
+    return [out[first[t]] if t else o for t, o in zip(texts, out, strict=True)]
 
 
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal_data(docs: DataFrame, training_windows: int = 12800) -> DataFrame:
+def find_personal_data(docs: DataFrame, training_windows: int = 25600) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(training_windows))
+    shared = docs.sparkSession.sparkContext.broadcast(kept(docs.sparkSession, training_windows))
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most_bytes=AT_ONCE):
                 found = find_spans([t or "" for t in part.column("text").to_pylist()], shared.value)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(4)]
                 digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, digest, pa.array([listed(s) for _, s in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -210,18 +214,19 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[floor:]
 
 
-def redact(docs: DataFrame, training_windows: int = 12800) -> DataFrame:
+def redact(docs: DataFrame, training_windows: int = 25600) -> DataFrame:
     """``docs`` with all spans replaced in text, and n_chars counted anew where there is such a column."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(training_windows))
+    shared = docs.sparkSession.sparkContext.broadcast(kept(docs.sparkSession, training_windows))
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most_bytes=AT_ONCE):
                 texts = part.column("text").to_pylist()
                 found = find_spans([t or "" for t in texts], shared.value)
                 clean = pa.array([t if t is None or not s else redacted(t, s) for t, (_, s) in zip(texts, found, strict=True)], part.schema.field("text").type)
                 yield part.set_column(at, "text", clean)
+        release_memory()
 
     clean = docs.mapInArrow(run, docs.schema)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean

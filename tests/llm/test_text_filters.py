@@ -343,14 +343,91 @@ def test_tagger_adds_what_patterns_miss():
     assert hit / total > 0.5 and false <= 0.1 * hit
 
 
-def test_windows_reconcile():
-    text = "x" * 500 + "7" + "y" * 500
-    cells = pii.windows_of(text)
-    assert all(any(c * pii.STRIDE <= i < c * pii.STRIDE + pii.WIDTH for c in cells) for i in range(480, 520))
-    tags = np.zeros((2, pii.WIDTH), np.int8)
-    tags[0], tags[1] = 1, 3
-    out = pii.reconcile(150, [0, 1], tags)
-    assert out[:72].tolist() == [1] * 72 and out[72:144].tolist() == [3] * 72
+WRITTEN_BY_HAND = {
+    0: ["anna.schmidt (at) firma (dot) de", "bob at example dot com", "j.doe[at]company[dot]org", "sales at shop dot net", "marie_curie (at) labo.fr", "info [at] museum [dot] org", "paul (at) hotel (dot) com", "peter at school dot org"],
+    1: ["10[.]20[.]30[.]40", "192.168[.]1[.]1", "8[.]8[.]4[.]4", "172.16.5[.]9"],
+    2: ["4111.1111.1111.1111", "5500/0000/0000/0004", "4012.8888.8888.1881", "6011/0009/9013/9424"],
+    3: ["(212) 555-0187", "312-555-0143", "415.555.0126", "(646) 555-0199", "0049 30 1234567", "202-555-0171"],
+}
+PROSE = "please write or call before the end of the week and we will send you the details about our new offer because many people have asked for it since the spring sale at the market was over in 1998 with 25 prizes on page 12 of the 300 copies v2.1 cost 19.99 dated 2021-05-03 room 42 at noon dot com boom 123-45-6789".split()
+
+
+def test_tagger_on_text_of_another_kind():
+    """English sentences with data written by hand, none from the training generator: what the tagger adds to the patterns."""
+    rng, tagger = random.Random(77), pii_tagger.fitted()
+    hit = total = false = 0
+    for _ in range(300):
+        text, spans = "", set()
+        for _ in range(6):
+            text += " ".join(rng.choice(PROSE) for _ in range(rng.randint(5, 25))) + " "
+            if rng.random() < 0.4:
+                kind = rng.randrange(4)
+                made = rng.choice(WRITTEN_BY_HAND[kind])
+                spans.add((kind, len(text), len(text) + len(made)))
+                text += made + rng.choice((" ", ". ", ", "))
+        ((base, found),) = pii.find_spans([text], tagger)
+        spans -= {s for s in spans if any(s[1] < b and a < s[2] for _, a, b in base)}
+        total += len(spans)
+        hit += len(spans & set(found))
+        false += len(set(found) - set(base) - spans)
+    print(f"precision {hit / (hit + false):.2f}, recall {hit / total:.2f}")
+    assert hit / total >= 0.4 and hit / (hit + false) >= 0.85
+
+
+def test_tagger_is_kept_in_the_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(pii_tagger, "_FITTED", {})
+    first = pii_tagger.kept(spark, 640)
+    monkeypatch.setattr(pii_tagger, "_FITTED", {})
+    monkeypatch.setattr(pii_tagger, "fitted", None)  # not called again
+    second = pii_tagger.kept(spark, 640)
+    assert all(np.array_equal(a, second.p[k]) for k, a in first.p.items())
+
+
+def test_windows_cover_whole_texts():
+    W, S, M = pii.WIDTH, pii.STRIDE, pii.MARGIN
+    for n in (0, 1, W - 1, W, W + 1, W + S, W + S + 1, 5000):
+        count = pii.windows_of(n)
+        assert (count - 1) * S + W >= n and (count < 2 or (count - 2) * S + W < n)
+        if n:
+            tags = np.arange(1, count + 1, dtype=np.int8)[:, None].repeat(W, 1)
+            out = pii.reconcile(n, tags).tolist()
+            middle = lambda w, i: abs(2 * (i - w * S) - W + 1)
+            for i, tag in enumerate(out):
+                near = [w for w in range(count) if w * S <= i < w * S + W]
+                assert middle(tag - 1, i) == min(middle(w, i) for w in near)
+
+
+def test_decoding_leaves_out_only_windows_without_spans():
+    tagger = pii_tagger.fitted()
+    examples = pii_tagger.Examples(5)
+    x = np.stack([examples.window(64)[0] for _ in range(200)])
+    e, step = tagger.emissions(x), tagger.fast["t"]
+    score, back = e[0], []
+    for t in range(1, len(e)):
+        ways = score[:, :, None] + step[None]
+        back.append(ways.argmax(axis=1))
+        score = ways.max(axis=1) + e[t]
+    now, rows, plain = score.argmax(axis=1), np.arange(len(x)), np.zeros(x.shape, np.int8)
+    for t in range(len(e) - 1, -1, -1):
+        plain[:, t] = now
+        if t:
+            now = back[t - 1][rows, now]
+    assert np.array_equal(tagger.decode(x), plain)
+    out = tagger._run(x)[1]
+    assert np.allclose(e, tagger._features(out) @ tagger.p["o"] + tagger.p["ob"], atol=1e-3)
+
+
+def test_merge_is_the_plain_rule():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = lambda n: [(rng.randrange(4), a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(n))]
+        base, added = spans(rng.randint(0, 6)), spans(rng.randint(0, 8))
+        out, floor = list(base), 0
+        for kind, a, b in sorted(added, key=lambda s: (s[1], -s[2])):
+            if a >= floor and not any(x < b and a < y for _, x, y in base):
+                out.append((kind, a, b))
+                floor = b
+        assert pii.merge(base, added) == sorted(out)
 
 
 def test_redaction(spark, documents, nothing):
