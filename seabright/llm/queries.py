@@ -103,16 +103,21 @@ ORACLE_SQL = {
 with parsed as (
     select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from ({_PARSED})
+), sited as (
+    select *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') as site from parsed
 ), named as (
-    select *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as pair from parsed
+    select *, string_split(site, '.') as labels, regexp_matches(site, '^([0-9]+(\\.[0-9]+){{3}}|\\[.*\\])$') as address from sited
+), shaped as (
+    select *, len(labels) > 1 and labels[-2] in ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gouv', 'gov', 'gv', 'ltd', 'me', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'plc', 'sch') and regexp_matches(labels[-1], '^[a-z][a-z]$') as two from named
 ), placed as (
-    select *, case when pair in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in') then array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') else pair end as domain,
-        case when pair in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in') then pair else string_split(host, '.')[-1] end as suffix from named
+    select page_id, host, path, site,
+        case when address then site when two then array_to_string(list_slice(labels, -3, -1), '.') else array_to_string(list_slice(labels, -2, -1), '.') end as domain,
+        case when address then '' when two then array_to_string(list_slice(labels, -2, -1), '.') else labels[-1] end as suffix from shaped
 ), outcomes as (
     select doc_id as page_id, sum(case when quality = 1 and coalesce(toxic, 0) <> 1 then 1 else 0 end) as good, count(*) as total
     from labels where doc_id is not null and quality is not null group by 1
 ), hosts as (
-    select host, domain, suffix, cast(coalesce(sum(good), 0) as double) as good, cast(coalesce(sum(total), 0) as double) as total
+    select site, domain, suffix, cast(coalesce(sum(good), 0) as double) as good, cast(coalesce(sum(total), 0) as double) as total
     from placed left join outcomes using (page_id) group by all
 ), domains as (select domain, suffix, sum(good) as good, sum(total) as total from hosts group by all),
 suffixes as (select suffix, sum(good) as good, sum(total) as total from domains group by all),
@@ -126,14 +131,14 @@ k1 as (
     select coalesce(1 / greatest(0.001, least(0.5, (sum(total * (good / total - m) ** 2) - sum(m * (1 - m))) / nullif(sum((total - 1) * m * (1 - m)), 0))) - 1, 1) as k
     from d0 where total > 0
 ), d1 as (select domain, (m * k + good) / (k + total) as m from d0, k1),
-h0 as (select host, good, total, m from hosts join d1 using (domain)),
+h0 as (select site, good, total, m from hosts join d1 using (domain)),
 k2 as (
     select coalesce(1 / greatest(0.001, least(0.5, (sum(total * (good / total - m) ** 2) - sum(m * (1 - m))) / nullif(sum((total - 1) * m * (1 - m)), 0))) - 1, 1) as k
     from h0 where total > 0
-), h1 as (select host, (m * k + good) / (k + total) as m, total, k from h0, k2),
-judged as (select host, case when m - 1.6448536269514722 * sqrt(m * (1 - m) / (total + k + 1)) >= 0.6 then 'allow' else 'block' end as verdict from h1),
+), h1 as (select site, (m * k + good) / (k + total) as m, total, k from h0, k2),
+judged as (select site, case when m - 1.6448536269514722 * sqrt(m * (1 - m) / (total + k + 1)) >= 0.6 then 'allow' else 'block' end as verdict from h1),
 ruled as (
-    select page_id, host, path, case
+    select page_id, host, path, site, case
         when ('.' || host) like '%.example.org' and path like '/en/1%' then 'example.org/en/1'
         when ('.' || host) like '%.example.org' and path like '/es/%' then 'example.org/es/'
         when ('.' || host) like '%.com' and path like '/fr/%' then 'com/fr/'
@@ -142,7 +147,7 @@ ruled as (
     from placed
 )
 select page_id, host, path, rule, case rule when 'org/' then 'allow' when 'com/fr/' then 'allow' when 'example.org/es/' then 'block' when 'example.org/en/1' then 'block' when 'com/de/' then 'block' else verdict end as verdict
-from ruled join judged using (host)
+from ruled join judged using (site)
 """,
     "op2_threshold_top_k": """
 with rows as (

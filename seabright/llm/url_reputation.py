@@ -10,8 +10,10 @@ Scaling: only counts are shuffled before the last join. Hosts are pre-aggregated
 so a host with a third of all pages costs one partial row a task; the last join on the host is a plain
 equi-join that adaptive execution splits when one host dominates.
 
+The hierarchy leaves out user names, ports and final dots; an IP address is its own domain and shares only the overall prior.
+
 Edge cases: a null url, or one without ``://``, has empty host and path and is judged by the overall prior
-like any other unseen host. Null page ids are kept. Repeated label rows of one id each count.
+like any other unseen host. Null page ids are kept. Repeated label rows of one id each count, and so do the labels of an id on each of its repeated page rows. Extra columns are ignored. Very long urls are read like others.
 Hosts with no labels inherit their domain's (then suffix's) posterior. An empty table gives no rows.
 """
 
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from seabright.llm.common import materialize
 
-#: Suffixes of more than one label under which names are registered. Fixed values; pass a longer list as needed.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in")
+#: Under a country's two letters, labels that make a suffix with it (co.uk, com.au). Fixed values.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: Other suffixes of two labels; pass a longer list as needed.
+TWO_LABEL_SUFFIXES: tuple[str, ...] = ()
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,15 +63,31 @@ def _after_scheme(url: Column) -> Column:
     return F.substring(url, F.locate("://", url) + F.lit(3), F.length(url))
 
 
-def suffix_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
-    pair = F.substring_index(host, ".", -2)
-    return F.when(pair.isin(*two_label), pair).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The name that has a reputation: a host without user name, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+
+
+def is_address(site: Column) -> Column:
+    """Whether a site is an IP address, which has no suffix and is its own domain."""
+    return site.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
+def _ends_in_pair(site: Column, two_label: Sequence[str]) -> Column:
+    pair = F.substring_index(site, ".", -2)
+    country = F.substring_index(pair, ".", 1).isin(*SECOND_LABELS) & F.substring_index(pair, ".", -1).rlike("^[a-z][a-z]$") & (F.locate(".", pair) > 0)
+    return country | pair.isin(*two_label) if two_label else country
+
+
+def suffix_of(site: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    plain = F.when(_ends_in_pair(site, two_label), F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1))
+    return F.when(is_address(site), F.lit("")).otherwise(plain)
 
 
-def domain_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+def domain_of(site: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The registered domain: one label more than the suffix."""
-    pair = F.substring_index(host, ".", -2)
-    return F.when(pair.isin(*two_label), F.substring_index(host, ".", -3)).otherwise(pair)
+    plain = F.when(_ends_in_pair(site, two_label), F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
+    return F.when(is_address(site), site).otherwise(plain)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -97,16 +117,16 @@ def _posterior(mean: Column, strength: float) -> Column:
     return (mean * strength + F.col("good")) / (F.lit(strength) + F.col("total"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.6448536269514722, min_good: float = 0.6) -> DataFrame:
-    """(host, posterior mean, lower bound) of every host of ``pages`` (page_id, host).
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.6448536269514722, min_good: float = 0.6, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(site, posterior mean, lower bound) of every site of ``pages`` (page_id, site).
 
     ``outcomes``: (page_id, good, total), unique by page_id.
     """
     hosts = (
         pages.join(outcomes, "page_id", "left")
-        .groupBy("host")
+        .groupBy("site")
         .agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        .withColumns({"domain": domain_of(F.col("site"), two_label), "suffix": suffix_of(F.col("site"), two_label)})
     )
     hosts = materialize(hosts, "hosts")  # counts of each host, read for every level
     sums = [F.sum("good").alias("good"), F.sum("total").alias("total")]
@@ -124,27 +144,27 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.64485362
     k2 = _strength(hosts, "mean2")
     mean = _posterior(F.col("mean2"), k2)
     spread = F.sqrt(mean * (1 - mean) / (F.col("total") + F.lit(k2 + 1)))
-    return hosts.select("host", mean.alias("reputation"), (mean - F.lit(z) * spread).alias("lower_bound")).withColumn(
+    return hosts.select("site", mean.alias("reputation"), (mean - F.lit(z) * spread).alias("lower_bound")).withColumn(
         "verdict", F.when(F.col("lower_bound") >= min_good, "allow").otherwise("block")
     )
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], z: float = 1.6448536269514722, min_good: float = 0.6) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], z: float = 1.6448536269514722, min_good: float = 0.6, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url).
 
     ``labels`` (doc_id, quality, toxic) judge the page of the same id; a page is good when quality is 1 and toxic is not 1.
     """
-    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("site", site_of(F.col("host")))
     good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
     outcomes = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").alias("page_id"))
         .agg(F.sum(good.cast("long")).alias("good"), F.count("*").alias("total"))
     )
-    reputation = host_reputation(parsed.select("page_id", "host"), outcomes, z, min_good)
+    reputation = host_reputation(parsed.select("page_id", "site"), outcomes, z, min_good, two_label)
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     return (
         parsed.withColumns({"rule": rule, "action": action})
-        .join(reputation.select("host", F.col("verdict").alias("by_host")), "host")
+        .join(reputation.select("site", F.col("verdict").alias("by_host")), "site")
         .select("page_id", "host", "path", "rule", F.coalesce("action", "by_host").alias("verdict"))
     )

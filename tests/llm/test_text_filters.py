@@ -27,6 +27,10 @@ def test_domains(spark):
     got = spark.createDataFrame([("a.b.example.com",), ("x.y.co.uk",), ("co.uk",), ("host",), ("",)], "h string")
     got = got.select(url_reputation.domain_of(F.col("h")).alias("d"), url_reputation.suffix_of(F.col("h")).alias("s")).collect()
     assert [tuple(r) for r in got] == [("example.com", "com"), ("y.co.uk", "co.uk"), ("co.uk", "co.uk"), ("host", "host"), ("", "")]
+    hosts = ["a.com:8080", "joe:x@a.com", "a.com.", "10.0.0.1:80", "[::1]:80", "b.gov.au", "x.co.museum", "q.b.blog.io"]
+    site = url_reputation.site_of(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(site, url_reputation.domain_of(site, ["blog.io"]), url_reputation.suffix_of(site, ["blog.io"])).collect()
+    assert [tuple(r) for r in got] == [("a.com", "a.com", "com")] * 3 + [("10.0.0.1", "10.0.0.1", ""), ("[::1]", "[::1]", ""), ("b.gov.au", "b.gov.au", "gov.au"), ("x.co.museum", "co.museum", "museum"), ("q.b.blog.io", "b.blog.io", "blog.io")]
 
 
 def test_rules_and_shrinkage(spark):
