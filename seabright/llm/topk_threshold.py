@@ -1,15 +1,18 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm.
 
 Candidates are hashed into blocks of about ``block_rows``; a block keeps, per dimension, its rows sorted by that
-component. A query walks the lists of its non-zero components from their better end (the largest values
+component, once for all queries. A query walks the lists of its non-zero components from their better end (the largest values
 for a positive weight, the smallest for a negative one), scores each row on first sight, and stops as soon as
-the sum of the list frontiers, the best any unseen row could score, is below its kth score. Queries meet
-blocks in a grid of (candidate block, query block) cells; each cell returns k rows a query, so that no task
-holds more than one block of either side whatever the data look like.
+the sum of the list frontiers, the best any unseen row could score, is below its kth score. All queries go through one block first; the kth score
+they find there is their floor in all others, which may stop at once.
+
+Scaling: rows are shuffled once; only queries are sent to every block, and each block returns k rows a query. A task holds one block and streams queries past it, so no task
+holds more than ``block_rows`` rows whatever the data look like. An exact search has to compare every query with every block; on vectors of many like dimensions the frontiers
+fall slowly, and most rows of a block are scored (all of them on the uniform vectors of the test tables).
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do null ids. Shorter vectors
 count as padded with zeros. Repeated ids count once, with their best score. Ties go to the smaller id.
-Fewer than k candidates: all are returned. An empty table gives no rows.
+Fewer than k candidates: all are returned. Components beyond 2**62 / width / the largest component would overflow and are an error. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seabright.llm.common import finite_vector
+from seabright.llm.common import finite_vector, materialize
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -52,8 +55,8 @@ class SortedLists:
         self.order = np.argsort(rows, axis=0, kind="stable").T.copy()  # dimension x rank, ascending
         self.values = np.take_along_axis(rows, self.order.T, axis=0).T.copy()
 
-    def top(self, query: np.ndarray, own: int, k: int, first_depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best rows, best first, ties to the smaller id; and never ``own``."""
+    def top(self, query: np.ndarray, own: int, k: int, first_depth: int = 64, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best rows, best first, ties to the smaller id; and never ``own``. Rows below ``floor`` need not be found."""
         n = len(self.ids)
         scores, ids = np.empty(0), np.empty(0, np.int64)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
@@ -62,6 +65,8 @@ class SortedLists:
             ids = np.unique(self.ids[self.ids != own])[:k]
             return np.zeros(len(ids)), ids
         depth, step = 0, first_depth
+        if self.values[up, n - 1] @ query[up] + self.values[down, 0] @ query[down] < floor:
+            return scores, ids
         while depth < n:
             reach = min(n, depth + step)
             met = np.zeros(n, bool)
@@ -76,7 +81,7 @@ class SortedLists:
             new = self.ids[fresh]
             scores, ids = _best(np.concatenate([scores, got[new != own]]), np.concatenate([ids, new[new != own]]), k)
             bound = self.values[up, n - reach] @ query[up] + self.values[down, reach - 1] @ query[down]
-            if len(scores) == k and scores[-1] > bound:
+            if bound < floor or len(scores) == k and scores[-1] > bound:
                 break
             depth, step = reach, step * 2
         return scores, ids
@@ -96,28 +101,54 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def exact_dtype(width: int, *parts: np.ndarray):
     """The cheapest type in which inner products of these integers are exact."""
-    most = width * math.prod(float(np.abs(p).max(initial=0)) for p in parts)
+    most = width * math.prod(max(-int(p.min(initial=0)), int(p.max(initial=0))) for p in parts)
+    if most >= 2**63:
+        raise OverflowError("inner products of such components do not fit 64 bits")
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def _cell(k: int):
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        if not queries.num_rows or not rows.num_rows:
-            return empty
-        width = max(1, width_of(queries["vec"], rows["vec"]))
-        q, x = matrix(queries["vec"], width, np.int64), matrix(rows["vec"], width, np.int64)
-        kind = exact_dtype(width, q, x)
-        q = q.astype(kind)
-        lists = SortedLists(x.astype(kind), np.asarray(rows["id"]))
-        out = [(own, *lists.top(v, own, k)) for own, v in zip(queries["id"].to_pylist(), q, strict=True)]
-        return pa.table({
-            "query_id": pa.array(np.repeat([o for o, _, _ in out], [len(i) for _, _, i in out]), pa.int64()),
-            "vec_id": pa.array(np.concatenate([i for _, _, i in out]), pa.int64()),
-            "score": pa.array(np.concatenate([s for _, s, _ in out]).astype(np.int64), pa.int64()),
-        })
-
-    return search
+def _blocks(k: int, at_once: int = 4096):
+    """For mapInArrow over rows sorted by block and then candidates before queries: the k best of each block for each of its queries."""
+
+    def searched(rows: np.ndarray, ids: np.ndarray, lists: dict, queries: pa.Table):
+        width = max(1, rows.shape[1], width_of(queries["vec"]))
+        q = matrix(queries["vec"], width, np.int64)
+        kind = exact_dtype(width, q, rows)
+        if lists.get("kind") != (kind, width):
+            wide = np.zeros((len(rows), width), kind)
+            wide[:, : rows.shape[1]] = rows
+            lists.update(kind=(kind, width), lists=SortedLists(wide, ids))
+        floors = [-math.inf if f is None else f for f in queries["floor"].to_pylist()]
+        out = [(own, *lists["lists"].top(v, own, k, floor=f)) for own, v, f in zip(queries["id"].to_pylist(), q.astype(kind), floors, strict=True)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.repeat([o for o, _, _ in out], [len(i) for _, _, i in out]), pa.int64()),
+            pa.array(np.concatenate([i for _, _, i in out]), pa.int64()),
+            pa.array(np.concatenate([s for _, s, _ in out]).astype(np.int64), pa.int64()),
+        ], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        block, held, rows, ids, lists = None, [], None, None, {}
+        for batch in batches:
+            names = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if names[a] != block:
+                    block, held, rows, lists = names[a], [], None, {}
+                asks = int(np.searchsorted(part.column("asks").to_numpy(zero_copy_only=False), True))
+                if asks:
+                    held.append(part.slice(0, asks).select(["id", "vec"]))
+                if asks < part.num_rows and held:
+                    if rows is None:
+                        t = pa.Table.from_batches(held)
+                        rows, ids, held = matrix(t["vec"], max(1, width_of(t["vec"])), np.int64), t["id"].to_numpy(), [None]
+                    queries = pa.Table.from_batches([part.slice(asks)])
+                    for at in range(0, queries.num_rows, at_once):
+                        yield searched(rows, ids, lists, queries.slice(at, at_once))
+
+    return run
 
 
 def rank_found(found: DataFrame, k: int) -> DataFrame:
@@ -127,15 +158,23 @@ def rank_found(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def threshold_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def threshold_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(scale * x) for each row where ``is_query`` holds."""
     valid = vectors.where(F.col(id_col).isNotNull() & finite_vector(F.col(vector_col)))
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(scale)))
     rows = valid.select(F.col(id_col).cast("long").alias("id"), whole.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    blocks, query_blocks = max(1, math.ceil(counts["n"] / block_rows)), max(1, math.ceil(counts["q"] / query_rows))
-    spread = F.xxhash64("id")
-    left = rows.where("is_query").select("id", "vec", F.pmod(spread, F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cb"))
-    right = rows.select("id", "vec", F.pmod(spread, F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(_cell(k), FOUND)
-    return rank_found(found, k)
+    blocks = max(1, math.ceil(rows.count() / block_rows))
+    stored = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("floor"))
+
+    def search(queries: DataFrame, kept: DataFrame) -> DataFrame:
+        both = kept.unionByName(queries.select("id", "vec", "block", F.lit(True).alias("asks"), "floor"))
+        return both.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(_blocks(k), FOUND)
+
+    asked = rows.where("is_query").select("id", "vec")
+    first = search(asked.withColumns({"block": F.lit(0).cast("long"), "floor": F.lit(None).cast("long")}), stored.where("block = 0"))
+    if blocks == 1:
+        return rank_found(first, k)
+    first = materialize(rank_found(first, k), "first-block")
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    others = asked.join(floors, "id", "left").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return rank_found(first.select("query_id", "vec_id", "score").unionByName(search(others, stored.where("block > 0"))), k)
