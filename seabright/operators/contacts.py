@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ordered groups of the words that name them; the first group that fits wins.
+# Groups with their colours, and the words and phrases that name them, in the order in which they are asked. What is not a mine
+# comes before what is like one, and that before ordnance, so that neither is taken for ordnance.
 CLASS_GROUPS = [
-    ("wreck", ["wreck", "shipwreck", "hull", "vessel"]),
-    ("anchor", ["anchor", "chain", "mooring"]),
-    ("pipe", ["pipe", "pipeline", "cable"]),
-    ("rock", ["rock", "boulder", "stone"]),
-    ("debris", ["debris", "scrap", "tyre", "drum", "container"]),
-    ("mine", ["mine", "bomb", "ordnance", "unexploded ordnance"]),
-    ("fish", ["fish", "shoal", "school of fish"]),
-    ("sand", ["sand wave", "ripple", "dune"]),
+    ("cleared", "#78889a", ["nombo", "non mine", "nonmine", "not a mine", "no contact", "nothing", "cleared", "clear", "false", "discounted", "rejected", "noise", "artefact"]),
+    ("suspect", "#ff7a1a", ["mine like", "minelike", "milco", "milec", "mine echo", "suspect", "suspected", "possible", "probable", "contact of interest", "poi", "unknown"]),
+    ("ordnance", "#ff3b30", ["mine", "uxo", "ordnance", "munition", "shell", "bomb", "torpedo", "depth charge", "explosive", "eod", "projectile"]),
+    ("wreck", "#c77dff", ["wreck", "hull", "vessel", "aircraft", "plane", "barge", "boat"]),
+    ("utility", "#3ec8ff", ["pipe", "pipeline", "cable", "chain", "rope", "net", "netting", "mooring", "anchor", "umbilical", "wire"]),
+    ("debris", "#f0b429", ["debris", "scrap", "junk", "rubbish", "litter", "tyre", "tire", "drum", "container", "trolley", "metal", "object"]),
+    ("geology", "#9fb0bf", ["boulder", "rock", "rocky", "stone", "outcrop", "reef", "cobble"]),
+    ("seabed", "#b3814d", ["scour", "sand", "sandwave", "sand wave", "ripple", "sediment", "mud", "clay", "gravel", "trawl", "trawl mark", "depression", "pockmark", "dredge", "seabed feature", "feature"]),
+    ("biology", "#5fd38d", ["weed", "seaweed", "kelp", "vegetation", "fish", "shoal", "coral", "biological", "biology"]),
+    ("area", "#7aa7ff", ["area", "area of interest", "aoi", "box", "zone", "datum", "search"]),
 ]
-# Colours of groups, and of the rest in turn.
-PALETTE = ["#d62728", "#1f77b4", "#ff7f0e", "#8c564b", "#7f7f7f", "#e377c2", "#17becf", "#bcbd22", "#2ca02c", "#9467bd"]
+# The colour of no class, and those of classes outside every group.
+UNCLASSED = "#f0b429"
+FALLBACK = ["#4fa3e8", "#8f7ae0", "#35b8a6", "#7cc45a", "#c9a227", "#5ec8c0"]
 
 
 def normalised(text: Column) -> Column:
@@ -25,8 +29,8 @@ def normalised(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A word without its plural ending."""
-    return F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(word.substr(F.lit(1), F.length(word) - 3), F.lit("y"))).when(word.endswith("s") & ~word.endswith("ss") & (F.length(word) > 3), word.substr(F.lit(1), F.length(word) - 1)).otherwise(word)
+    """A word of more than three letters without one final s."""
+    return F.when((F.length(word) > 3) & word.endswith("s"), word.substr(F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
 def class_group(text: Column) -> Column:
@@ -34,15 +38,35 @@ def class_group(text: Column) -> Column:
     plain = normalised(text)
     words = F.transform(F.split(plain, " "), stem)
     out = F.lit(None).cast("string")
-    for name, terms in reversed(CLASS_GROUPS):
-        hits = [F.contains(plain, F.lit(t)) if " " in t else F.array_contains(words, t) for t in terms]
-        fits = hits[0]
-        for h in hits[1:]:
-            fits = fits | h
+    for name, _, terms in reversed(CLASS_GROUPS):
+        single = [t[:-1] if len(t) > 3 and t.endswith("s") else t for t in terms if " " not in t]
+        fits = F.arrays_overlap(words, F.array(*map(F.lit, single)))
+        for phrase in (t for t in terms if " " in t):
+            fits = fits | F.contains(plain, F.lit(phrase))
         out = F.when(fits, name).otherwise(out)
     return out
 
 
+def word_hash(text: Column) -> Column:
+    """FNV-1a of 32 bits over the characters of a normalised text, all of one byte."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
+def class_colour(text: Column) -> Column:
+    """The colour of a class: its group's, one of a few by the hash of an unknown word, or that of no class."""
+    plain, group = normalised(text), class_group(text)
+    out = F.when(plain == "", UNCLASSED).otherwise(F.element_at(F.array(*map(F.lit, FALLBACK)), (word_hash(plain) % len(FALLBACK) + 1).cast("int")))
+    for name, colour, _ in CLASS_GROUPS:
+        out = F.when(group == name, colour).otherwise(out)
+    return out
+
+
+def contact_colour(text: Column, own: Column) -> Column:
+    """A classified contact has its class's colour, any other its own."""
+    return F.when(normalised(text) != "", class_colour(text)).otherwise(F.coalesce(F.when(own != "", own), F.lit(UNCLASSED)))
+
+
 def next_id(contacts: DataFrame) -> DataFrame:
     """One row: the id after the largest C-number, C001 for none."""
     number = F.expr("try_cast(substr(id, 2) as int)")
@@ -68,23 +92,16 @@ def targets_from(contacts: DataFrame, ids: list[str] | None = None) -> DataFrame
     return F.broadcast(chosen).join(contacts, "id").select("place", "id", *named, "lat", "lon")
 
 
-def visible(layers: DataFrame, most_depth: int = 16) -> DataFrame:
-    """Layers (id, parent, shown) all of whose ancestors are shown. The tree is a project's layer list."""
+def visible(layers: DataFrame) -> DataFrame:
+    """Layers (id, parent, shown) all of whose ancestors are shown, however deep. The tree is a project's layer list; a cycle is an error."""
     out = layers.select("id", "parent", "shown", F.col("parent").alias("up"), F.col("shown").alias("all_shown"))
     above = layers.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("shown").alias("up_shown"))
-    for _ in range(most_depth):
+    most = layers.count()
+    for _ in range(most + 1):
+        if out.where("up is not null").isEmpty():
+            return out.where("all_shown").select("id", "parent", "shown")
         out = out.join(above, "up", "left").withColumn("all_shown", F.col("all_shown") & F.coalesce("up_shown", F.lit(True))).withColumn("up", F.col("next")).drop("next", "up_shown")
-        if not out.where("up is not null").take(1):
-            break
-    return out.where("all_shown").select("id", "parent", "shown")
-
-
-def colour_of(group: Column) -> Column:
-    names = [n for n, _ in CLASS_GROUPS]
-    out = F.lit(PALETTE[-1])
-    for n, c in zip(names, PALETTE, strict=False):
-        out = F.when(group == n, c).otherwise(out)
-    return out
+    raise ValueError("layers form a cycle")
 
 
 def band_name(subsystem: Column, centre: Column, *by: str) -> Column:

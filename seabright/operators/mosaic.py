@@ -12,16 +12,21 @@ from seabright.functions.arrays import upper_median
 
 # Priority by angle from nadir, in degrees.
 PRIORITY = {
-    "outer": [(0.0, 0.05), (20.0, 0.15), (35.0, 0.5), (50.0, 0.9), (65.0, 1.0), (80.0, 0.7), (90.0, 0.2)],
-    "nadir": [(0.0, 1.0), (30.0, 0.9), (60.0, 0.4), (90.0, 0.1)],
-    "flat": [(0.0, 1.0), (90.0, 1.0)],
+    "outer": [(0.0, 0.0), (12.0, 0.0), (22.0, 0.30), (35.0, 0.80), (50.0, 1.0), (65.0, 1.0), (75.0, 0.85), (82.0, 0.55), (90.0, 0.30)],
+    "nadir": [(0.0, 1.0), (20.0, 1.0), (40.0, 0.70), (60.0, 0.35), (80.0, 0.10), (90.0, 0.05)],
+    "flat": [(0.0, 0.0), (12.0, 0.0), (20.0, 1.0), (90.0, 1.0)],
 }
 
 # Colour stops (share, red, green, blue).
 RAMPS = {
-    "grey": [(0.0, 0, 0, 0), (1.0, 255, 255, 255)],
-    "copper": [(0.0, 0, 0, 0), (0.5, 150, 92, 46), (1.0, 255, 222, 170)],
-    "depth": [(0.0, 20, 30, 90), (0.5, 40, 160, 160), (1.0, 250, 240, 170)],
+    "grey": [(0.0, 16, 16, 18), (1.0, 244, 246, 248)],
+    "depth": [(0.0, 8, 20, 60), (0.2, 12, 56, 120), (0.4, 22, 104, 168), (0.6, 64, 158, 190), (0.8, 140, 205, 205), (1.0, 222, 240, 226)],
+    "terrain": [(0.0, 22, 60, 100), (0.35, 70, 140, 170), (0.5, 214, 214, 170), (0.65, 120, 160, 90), (0.85, 150, 120, 80), (1.0, 250, 250, 250)],
+    "viridis": [(0.0, 68, 1, 84), (0.25, 59, 82, 139), (0.5, 33, 145, 140), (0.75, 94, 201, 98), (1.0, 253, 231, 37)],
+    "magma": [(0.0, 0, 0, 4), (0.25, 81, 18, 124), (0.5, 183, 55, 121), (0.75, 252, 137, 97), (1.0, 252, 253, 191)],
+    "turbo": [(0.0, 48, 18, 59), (0.2, 40, 130, 220), (0.4, 50, 200, 160), (0.6, 180, 222, 44), (0.8, 250, 140, 40), (1.0, 122, 4, 3)],
+    "ice": [(0.0, 8, 12, 30), (0.5, 58, 118, 158), (1.0, 232, 246, 252)],
+    "amber": [(0.0, 12, 8, 4), (0.5, 168, 96, 26), (1.0, 255, 236, 190)],
 }
 
 

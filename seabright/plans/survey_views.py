@@ -250,7 +250,8 @@ def angle_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.floor(theta).alias("bin")).agg(F.count("*").alias("n"), r(F.percentile("x", F.lit(0.5)), name="level")).where("n >= 20")
 
 
-_PRI = "greatest(case when theta <= 0 then 0.05 when theta < 20 then 0.05 + theta * 0.1 / 20 when theta < 35 then 0.15 + (theta - 20) * 0.35 / 15 when theta < 50 then 0.5 + (theta - 35) * 0.4 / 15 when theta < 65 then 0.9 + (theta - 50) * 0.1 / 15 when theta < 80 then 1 - (theta - 65) * 0.3 / 15 when theta < 90 then 0.7 - (theta - 80) * 0.05 else 0.2 end::double, 0.04::double) ** 8"
+_PRI = """greatest(case when theta <= 12 then 0 when theta < 22 then (theta - 12) * 0.30 / 10 when theta < 35 then 0.30 + (theta - 22) * 0.50 / 13 when theta < 50 then 0.80 + (theta - 35) * 0.20 / 15
+    when theta < 65 then 1 when theta < 75 then 1 - (theta - 65) * 0.15 / 10 when theta < 82 then 0.85 - (theta - 75) * 0.30 / 7 when theta < 90 then 0.55 - (theta - 82) * 0.25 / 8 else 0.30 end::double, 0.04::double) ** 8"""
 _CELLS = f"{v.SAMPLES}, v_cells as (select gx, gy, sum(amp * {_PRI}) / sum({_PRI}) as value, least(count(*), 255) as cover from v_samples group by all)"
 
 
@@ -284,12 +285,26 @@ def despeckled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic.despeckle(_cells(spark, sf_dir)).select("gx", "gy", r("value", 2))
 
 
-@query("""
-with s as (select l_orderkey, l_linenumber, least(greatest((l_quantity - 5) / 40, 0), 1)::double as t from lineitem)
-select l_orderkey, l_linenumber, cast(round(case when t < 0.5 then t * 300 else 150 + (t - 0.5) * 210 end) as integer) as red from s
+_STOPS = """(values
+    ('grey', 0.00, 16, 16, 18), ('grey', 1.00, 244, 246, 248), ('depth', 0.00, 8, 20, 60), ('depth', 0.20, 12, 56, 120), ('depth', 0.40, 22, 104, 168), ('depth', 0.60, 64, 158, 190), ('depth', 0.80, 140, 205, 205), ('depth', 1.00, 222, 240, 226),
+    ('terrain', 0.00, 22, 60, 100), ('terrain', 0.35, 70, 140, 170), ('terrain', 0.50, 214, 214, 170), ('terrain', 0.65, 120, 160, 90), ('terrain', 0.85, 150, 120, 80), ('terrain', 1.00, 250, 250, 250),
+    ('viridis', 0.00, 68, 1, 84), ('viridis', 0.25, 59, 82, 139), ('viridis', 0.50, 33, 145, 140), ('viridis', 0.75, 94, 201, 98), ('viridis', 1.00, 253, 231, 37),
+    ('magma', 0.00, 0, 0, 4), ('magma', 0.25, 81, 18, 124), ('magma', 0.50, 183, 55, 121), ('magma', 0.75, 252, 137, 97), ('magma', 1.00, 252, 253, 191),
+    ('turbo', 0.00, 48, 18, 59), ('turbo', 0.20, 40, 130, 220), ('turbo', 0.40, 50, 200, 160), ('turbo', 0.60, 180, 222, 44), ('turbo', 0.80, 250, 140, 40), ('turbo', 1.00, 122, 4, 3),
+    ('ice', 0.00, 8, 12, 30), ('ice', 0.50, 58, 118, 158), ('ice', 1.00, 232, 246, 252), ('amber', 0.00, 12, 8, 4), ('amber', 0.50, 168, 96, 26), ('amber', 1.00, 255, 236, 190)
+) t(ramp, stop, r, g, b)"""
+
+
+@query(f"""
+with stops as (select ramp, stop::double as s0, r as r0, g as g0, b as b0, lead(stop::double) over w as s1, lead(r) over w as r1, lead(g) over w as g1, lead(b) over w as b1 from {_STOPS} window w as (partition by ramp order by stop)),
+shares as (select grey, least(greatest((grey - 17) / 206::double, 0), 1) as t from (select unnest(range(256)) as grey))
+select ramp, cast(grey as integer) as grey, cast(round(r0 + (r1 - r0) * (t - s0) / (s1 - s0)) as integer) as r, cast(round(g0 + (g1 - g0) * (t - s0) / (s1 - s0)) as integer) as g, cast(round(b0 + (b1 - b0) * (t - s0) / (s1 - s0)) as integer) as b
+from shares join stops on s1 is not null and (t > s0 or t = 0 and s0 = 0) and t <= s1
 """)
-def copper_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mosaic.styled(F.col("l_quantity"), 5, 45, ramp="copper")["r"].alias("red"))
+def colour_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grey = spark.range(256).select(F.col("id").cast("int").alias("grey"))
+    ramps = F.explode(F.array(*(F.struct(F.lit(n).alias("ramp"), mosaic.styled(F.col("grey"), 17, 223, ramp=n).alias("c")) for n in mosaic.RAMPS)))
+    return grey.select("grey", ramps.alias("x")).select("x.ramp", "grey", "x.c.r", "x.c.g", "x.c.b")
 
 
 @query("""
@@ -315,15 +330,15 @@ def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {v.FIXES} select dataset, seq, round(2 * 6371008.8::double * asin(least(sqrt(sin(radians(lat - 52.5) / 2) ** 2 + cos(radians(52.5)) * cos(radians(lat)) * sin(radians(lon - 4) / 2) ** 2), 1)), 4) as metres,
-round((degrees(atan2(sin(radians(lon - 4)) * cos(radians(lat)), cos(radians(52.5)) * sin(radians(lat)) - sin(radians(52.5)) * cos(radians(lat)) * cos(radians(lon - 4)))) + 360) % 360, 5) as bearing,
-cast(floor((lon + 180) / 6) + 1 as integer) as zone, round((lon + 180) / 360 * 67108864, 4) as px, round((0.5::double - atanh(sin(radians(lat))) / (2 * pi())) * 67108864, 4) as py from v_fixes where lat > 52.50005
+with {v.FIXES} select dataset, seq, round(2 * 6371008.8::double * asin(least(sqrt(sin(radians(lat - 52.4) / 2) ** 2 + cos(radians(52.4)) * cos(radians(lat)) * sin(radians(lon - 3.9) / 2) ** 2), 1)), 4) as metres,
+round((degrees(atan2(sin(radians(lon - 3.9)) * cos(radians(lat)), cos(radians(52.4)) * sin(radians(lat)) - sin(radians(52.4)) * cos(radians(lat)) * cos(radians(lon - 3.9)))) + 360) % 360, 5) as bearing,
+cast(floor((lon + 180) / 6) + 1 as integer) as zone, round((lon + 180) / 360 * 67108864, 4) as px, round((0.5::double - atanh(sin(radians(lat))) / (2 * pi())) * 67108864, 4) as py from v_fixes
 """)
 def geodesy_of_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lon = F.col("lat"), F.col("lon")
     px, py = geo.lonlat_to_px(lon, lat, 18)
-    f = v.fixes(spark, sf_dir).where(lat > 52.50005)
-    return f.select("dataset", "seq", r(geo.haversine_m(F.lit(52.5), F.lit(4.0), lat, lon), 4, "metres"), r(geo.initial_bearing(F.lit(52.5), F.lit(4.0), lat, lon), 5, "bearing"), geo.utm_zone(lon).alias("zone"), r(px, 4, "px"), r(py, 4, "py"))
+    f = v.fixes(spark, sf_dir)
+    return f.select("dataset", "seq", r(geo.haversine_m(F.lit(52.4), F.lit(3.9), lat, lon), 4, "metres"), r(geo.initial_bearing(F.lit(52.4), F.lit(3.9), lat, lon), 5, "bearing"), geo.utm_zone(lon).alias("zone"), r(px, 4, "px"), r(py, 4, "py"))
 
 
 @query()
@@ -350,20 +365,33 @@ def plan_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.select("azimuth", "lines", "verdict", "worst", *(r(c, 5) for c in ("gap", "metres", "hours", "none", "once", "more")))
 
 
-_CLASS = " ".join(
-    f"when {' or '.join([f'contains(t, {t!r})' if ' ' in t else f'list_contains(w, {t!r})' for t in terms])} then '{name}'" for name, terms in contacts.CLASS_GROUPS
-)
+_CLASSES = """(values
+    (1, 'cleared', '#78889a', ['nombo', 'non mine', 'nonmine', 'not a mine', 'no contact', 'nothing', 'cleared', 'clear', 'false', 'discounted', 'rejected', 'noise', 'artefact']),
+    (2, 'suspect', '#ff7a1a', ['mine like', 'minelike', 'milco', 'milec', 'mine echo', 'suspect', 'suspected', 'possible', 'probable', 'contact of interest', 'poi', 'unknown']),
+    (3, 'ordnance', '#ff3b30', ['mine', 'uxo', 'ordnance', 'munition', 'shell', 'bomb', 'torpedo', 'depth charge', 'explosive', 'eod', 'projectile']),
+    (4, 'wreck', '#c77dff', ['wreck', 'hull', 'vessel', 'aircraft', 'plane', 'barge', 'boat']),
+    (5, 'utility', '#3ec8ff', ['pipe', 'pipeline', 'cable', 'chain', 'rope', 'net', 'netting', 'mooring', 'anchor', 'umbilical', 'wire']),
+    (6, 'debris', '#f0b429', ['debris', 'scrap', 'junk', 'rubbish', 'litter', 'tyre', 'tire', 'drum', 'container', 'trolley', 'metal', 'object']),
+    (7, 'geology', '#9fb0bf', ['boulder', 'rock', 'rocky', 'stone', 'outcrop', 'reef', 'cobble']),
+    (8, 'seabed', '#b3814d', ['scour', 'sand', 'sandwave', 'sand wave', 'ripple', 'sediment', 'mud', 'clay', 'gravel', 'trawl', 'trawl mark', 'depression', 'pockmark', 'dredge', 'seabed feature', 'feature']),
+    (9, 'biology', '#5fd38d', ['weed', 'seaweed', 'kelp', 'vegetation', 'fish', 'shoal', 'coral', 'biological', 'biology']),
+    (10, 'area', '#7aa7ff', ['area', 'area of interest', 'aoi', 'box', 'zone', 'datum', 'search'])
+) t(place, name, colour, words)"""
+_CALLED = ["Wrecks", "anchor-chain", "Sand waves", "boulders", "mine-like (MILCO)", "NOMBO", "Mines", "magnetic anomaly", "Netting", "fish shoals", "glass", "Non-mine", "tyres", "lost gear", "", "AOI"]
+_CALLED_SQL = f"list_extract({_CALLED!r}, cast(p_partkey % {len(_CALLED)} + 1 as integer))"
 
 
 @query(f"""
-with n as (select p_partkey, trim(regexp_replace(lower(p_name || case p_partkey % 9 when 0 then ' Wrecks' when 1 then ' anchor-chain' when 2 then ' Sand waves' when 3 then ' boulders' else '' end), '[^a-z0-9]+', ' ', 'g')) as t from part),
-w as (select p_partkey, t, list_transform(string_split(t, ' '), lambda x: case when x like '%ies' and len(x) > 4 then x[:-4] || 'y' when x like '%s' and x not like '%ss' and len(x) > 3 then x[:-2] else x end) as w from n)
-select p_partkey, case {_CLASS} end as class_group from w
+with n as (select p_partkey, trim(regexp_replace(lower({_CALLED_SQL}), '[^a-z0-9]+', ' ', 'g')) as t from part),
+w as (select place, name, colour, unnest(words) as word from {_CLASSES}), d as (select distinct t from n),
+m as (select t, place, name, colour from d join w on case when contains(word, ' ') then contains(t, word) else len(list_filter(string_split(t, ' '), lambda x: case when len(x) > 3 and x like '%s' then x[:-2] else x end = case when len(word) > 3 and word like '%s' then word[:-2] else word end)) > 0 end),
+g as (select t, arg_min(name, place) as name, arg_min(colour, place) as colour from m group by t),
+h as (select t, list_reduce(list_concat([2166136261::ubigint], list_transform(string_split(t, ''), lambda c: ascii(c)::ubigint)), lambda a, b: (xor(a, b) * 16777619::ubigint) % 4294967296::ubigint) as h from d where t <> '')
+select p_partkey, name as class_group, coalesce(colour, case when t = '' then '#f0b429' else list_extract(['#4fa3e8', '#8f7ae0', '#35b8a6', '#7cc45a', '#c9a227', '#5ec8c0'], cast(h % 6 + 1 as integer)) end) as colour from n left join g using (t) left join h using (t)
 """)
 def contact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 9
-    extra = F.when(k == 0, " Wrecks").when(k == 1, " anchor-chain").when(k == 2, " Sand waves").when(k == 3, " boulders").otherwise("")
-    return v.table(spark, sf_dir, "part").select("p_partkey", contacts.class_group(F.concat("p_name", extra)).alias("class_group"))
+    called = F.element_at(F.array(*map(F.lit, _CALLED)), (F.col("p_partkey") % len(_CALLED) + 1).cast("int"))
+    return v.table(spark, sf_dir, "part").select("p_partkey", contacts.class_group(called).alias("class_group"), contacts.class_colour(called).alias("colour"))
 
 
 @query("select c_custkey, case when epoch_ms(t) % 1000 = 0 then strftime(t, '%Y-%m-%dT%H:%M:%SZ') else strftime(t, '%Y-%m-%dT%H:%M:%S.%gZ') end as iso, h from (select c_custkey, make_timestamp(1700000000000000 + c_custkey * 1250000) as t, (c_custkey * 37 // 3600) || ':' || lpad(((c_custkey * 37 // 60) % 60)::varchar, 2, '0') || ':' || lpad((c_custkey * 37 % 60)::varchar, 2, '0') as h from customer)")

@@ -19,9 +19,18 @@ MARKER = 0x1601
 SONAR, NMEA = 80, 2002
 HEADER = struct.Struct("<HBBHBBBBHi")
 
-# Names of message types and subsystems.
-MESSAGE_NAMES = {80: "sonar data", 82: "side-scan data", 182: "system information", 426: "file timestamp", 428: "file padding", 2002: "NMEA string", 2020: "pitch roll", 2040: "miscellaneous analog", 2060: "pressure", 2080: "Doppler velocity log", 2090: "situation"}
-SUBSYSTEM_NAMES = {0: "sub-bottom", 20: "low frequency side-scan", 21: "high frequency side-scan", 22: "very high frequency side-scan", 40: "bathymetric low", 41: "bathymetric high", 100: "raw serial", 101: "parsed serial"}
+# Names of message types and subsystems; any other is "unknown".
+MESSAGE_NAMES = {
+    40: "raw serial", 80: "sonar data", 82: "sonar data (compressed)", 86: "sonar data 2", 181: "system information (old)", 182: "system information", 426: "file timestamp", 428: "file padding",
+    2002: "NMEA string", 2020: "pressure sensor", 2040: "miscellaneous analog", 2060: "pipe echo detect", 2080: "container timestamp", 2101: "situation", 2111: "cable counter",
+}
+SUBSYSTEM_NAMES = {0: "sub-bottom", 20: "sidescan (set 1)", 21: "sidescan (set 2)", 100: "NMEA/nav", 101: "pressure", 102: "analog"}
+
+
+def named(code, names: dict[int, str]):
+    """Column of the name of a code."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code.cast("int")), F.lit("unknown"))
+
 
 SCHEMA = """path string, offset long, subsystem int, channel int, time double, ping long, validity int, lat double, lon double,
     nsamples int, interval_ns long, f0 double, f1 double, pressure_psi double, depth double, altitude double, sound_speed double, weight int, fmt int,

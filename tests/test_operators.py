@@ -113,8 +113,8 @@ def test_plan(spark):
 
 
 def test_contacts(spark):
-    df = spark.createDataFrame([("Two wrecks!",), ("Sand waves",), ("minefield",), (None,), ("Unexploded ordnance",)], "t string")
-    assert [r.g for r in df.select(contacts.class_group(F.col("t")).alias("g")).collect()] == ["wreck", "sand", None, None, "mine"]
+    df = spark.createDataFrame([("Two wrecks!",), ("Sand waves",), ("minefield",), (None,), ("Unexploded ordnance",), ("Non-mines",), ("MILCO",)], "t string")
+    assert [r.g for r in df.select(contacts.class_group(F.col("t")).alias("g")).collect()] == ["wreck", "seabed", None, None, "ordnance", "cleared", "suspect"]
     ids = spark.createDataFrame([("C001", 1), ("C010", 2), ("X999", 3), ("Cfoo", 4)], "id string, k int")
     assert contacts.next_id(ids).first().id == "C011" and contacts.next_id(ids.limit(0)).first().id == "C001"
     assert sorted((r.id, r.k) for r in contacts.upsert(ids, spark.createDataFrame([("C010", 9)], "id string, k int")).collect())[1] == ("C010", 9)
