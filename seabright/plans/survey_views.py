@@ -359,10 +359,63 @@ def plan_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("azimuth", F.col("lines").cast("long").alias("lines"), r("gap", 5), r(F.col("v1") - F.col("v0"), 5, "length"))
 
 
+_PLAN = f"""{v.TARGETS}, az as (select unnest(range(10)) * 10::double as azimuth),
+p_u as (select azimuth, target, radius, x * cos(radians(azimuth)) - y * sin(radians(azimuth)) as u, x * sin(radians(azimuth)) + y * cos(radians(azimuth)) as w from v_targets, az),
+p_box as (select azimuth, min(u - radius) - 80 as u0, max(u + radius) + 80 as u1, min(w - radius) - 80 as v0, max(w + radius) + 80 as v1 from p_u group by 1),
+p_n as (select *, greatest(cast(ceil((u1 - u0) / 67) as bigint) + 1, 2) as k, greatest(u1 - u0, 67) as span from p_box),
+p_lines as (select azimuth, v0, v1, unnest(range(k + 2)) as line, k, span, (u0 + u1) / 2 - span / 2 as x0 from p_n),
+v_lines as (select azimuth, v0, v1, line, x0 + (line - 1) * span / (k - 1) as u from p_lines)"""
+
+
+@query(f"""
+with {_PLAN}, s as (select azimuth, unnest(range(1400)) as i, u0, u1 from p_box), c as (select s.azimuth, i, count(*) filter (abs(u0 + i * (u1 - u0) / 1399 - u) between 8 and 75) as looks from s join v_lines using (azimuth) group by all)
+select azimuth, round(avg((looks = 0)::double), 5) as none, round(avg((looks >= 1)::double), 5) as once, round(avg((looks >= 2)::double), 5) as twice, min(looks) as worst from c group by 1
+""")
+def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = planner.plan_boxes(v.targets(spark, sf_dir), planner.azimuth_steps(spark), planner.Sonar())
+    return planner.coverage(boxes, planner.plan_lines(boxes), planner.Sonar()).select("azimuth", *(r(c, 5) for c in ("none", "once", "twice")), "worst")
+
+
+@query(f"""
+with {_PLAN}, s as (select azimuth, target, u as middle, radius, unnest(range(21)) as i from p_u), d as (select s.azimuth, target, i, v_lines.u - (middle - radius + 2 * radius * i / 20) as d, abs(v_lines.u - middle) as near from s join v_lines using (azimuth)),
+c as (select azimuth, target, i, count(*) filter (abs(d) between 8 and 75) as looks, count(*) filter (abs(d) between 11.25 and 67.5) as good, count(*) filter (abs(d) between 8 and 75 and d > 0) as pos, min(near) as near from d group by all),
+w as (select azimuth, target, min(looks) as looks, min(good) as good, bool_and(pos > 0 and pos < looks) as both, min(near) as near from c group by all)
+select azimuth, target, looks, good, "both" as both_sides, round(near, 5) as nearest, case when looks = 0 then 'missed' when looks >= 2 and "both" and good >= 1 then 'good' else 'thin' end as verdict from w
+""")
+def plan_target_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets, azimuths = v.targets(spark, sf_dir), planner.azimuth_steps(spark)
+    lines = planner.plan_lines(planner.plan_boxes(targets, azimuths, planner.Sonar()))
+    return planner.target_looks(targets, azimuths, lines, planner.Sonar()).select("azimuth", "target", "looks", "good", F.col("both").alias("both_sides"), r("nearest", 5), "verdict")
+
+
+@query(f"""
+with {_PLAN}, r as (select *, row_number() over (partition by azimuth order by line) as run from v_lines), d as (select *, case when run % 2 = 1 then 1 else -1 end as dir from r)
+select azimuth, line, run, round(u, 5) as u, dir::double as dir, round(case when dir > 0 then v0 - 150 else v1 + 150 end, 5) as starts, round(case when dir > 0 then v0 + 54 else v1 - 54 end, 5) as on_m,
+round(case when dir > 0 then v1 + 54 else v0 - 54 end, 5) as off_m, round(case when dir > 0 then v1 + 60 else v0 - 60 end, 5) as ends, case when dir > 0 then azimuth else azimuth + 180 end as heading, round(v1 - v0 + 210, 5) as length from d
+""")
+def plan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = planner.plan_boxes(v.targets(spark, sf_dir), planner.azimuth_steps(spark), planner.Sonar())
+    runs = planner.plan_runs(planner.plan_lines(boxes, spread=False))
+    return runs.select("azimuth", "line", F.col("run").cast("long").alias("run"), r("u", 5), "dir", r("starts", 5), r("on", 5, "on_m"), r("off", 5, "off_m"), r("ends", 5), "heading", r("length", 5))
+
+
+@query(f"""
+with {_PLAN}, wide as (select azimuth, u0, u1, cast(ceil((u1 - u0) / 150) as bigint) + 1 as k, (u0 + u1) / 2 as mid, greatest(u1 - u0, 150) as span from p_box),
+l as (select azimuth, k, mid, span, unnest(range(greatest(k, 2))) as line from wide), lines as (select azimuth, mid - span / 2 + line * span / (greatest(k, 2) - 1) as u from l),
+s as (select azimuth, unnest(range(500)) as i, u0, u1 from wide), c as (select s.azimuth, i, u0 + i * (u1 - u0) / 499 as at, count(*) filter (abs(u0 + i * (u1 - u0) / 499 - u) between 8 and 75) as looks from s join lines using (azimuth) group by all),
+g as (select *, i - row_number() over (partition by azimuth order by i) as island from c where looks = 0)
+select azimuth, round(min(at), 5) as u_from, round(max(at), 5) as u_to from g group by azimuth, island
+""")
+def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sonar = planner.Sonar(mode="custom", spacing_m=150.0)
+    boxes = planner.plan_boxes(v.targets(spark, sf_dir), planner.azimuth_steps(spark), sonar)
+    return planner.gaps(boxes, planner.plan_lines(boxes), sonar).select("azimuth", r("u_from", 5), r("u_to", 5))
+
+
 @query()
 def plan_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = planner.quadrant(v.targets(spark, sf_dir), planner.azimuth_steps(spark))
-    return plans.select("azimuth", "lines", "verdict", "worst", *(r(c, 5) for c in ("gap", "metres", "hours", "none", "once", "more")))
+    return plans.select("azimuth", "lines", "verdict", "worst", "teardrops", *(r(c, 5) for c in ("gap", "line_m", "turn_m", "metres", "seconds", "none", "once", "twice")))
 
 
 _CLASSES = """(values

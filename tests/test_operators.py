@@ -108,7 +108,26 @@ def test_plan(spark):
     assert (sonar.nadir_m, sonar.spacing) == (8, 67)
     targets = spark.createDataFrame([(0, 0.0, 0.0, 60.0), (1, 200.0, 300.0, 45.0)], "target int, x double, y double, radius double")
     got = planner.quadrant(targets, planner.azimuth_steps(spark, 45.0)).orderBy("azimuth").collect()
-    assert [r.azimuth for r in got] == [0, 45, 90] and all(r.verdict != "missed" and abs(r.none + r.once + r.more - 1) < 1e-9 and r.none == 0 for r in got)
+    assert [r.azimuth for r in got] == [0, 45, 90] and all(r.verdict != "missed" and abs(r.none + r.once - 1) < 1e-9 and r.none == 0 and r.twice == 1 for r in got)  # double keeps its promise to the edge
+    for mode, least in (("recon", 0), ("full", 1), ("double", 2)):
+        assert all(r.worst >= least for r in planner.quadrant(targets, planner.azimuth_steps(spark, 45.0), planner.Sonar(mode=mode)).collect())
+    boxes = planner.plan_boxes(targets, planner.azimuth_steps(spark, 45.0), sonar)
+    runs = planner.plan_runs(planner.plan_lines(boxes), planner.Rig())
+    one = runs.where("azimuth = 0").orderBy("run").collect()
+    assert [x.heading for x in one[:3]] == [0, 180, 0] and all(abs(abs(x.ends - x.starts) - x.length) < 1e-9 and x.on == (x.starts + x.dir * (150 + 54)) for x in one)
+    assert planner.fish_short(planner.Rig()) == 0 and planner.fish_short(planner.Rig(run_out_m=10.0)) == 44
+    bent = planner.plan_turns(runs).where("azimuth = 0").orderBy("run").collect()
+    assert len(bent) == len(one) - 1
+    for t, a, b in zip(bent, one, one[1:]):
+        assert t.points[0] == [a.ends, a.u] and math.dist(t.points[-1], (b.starts, b.u)) < 1e-6 and t.length >= math.dist((a.ends, a.u), (b.starts, b.u))
+    back = planner.plan_turns(planner.plan_runs(planner.plan_lines(boxes), planner.Rig(), one_way=True)).where("azimuth = 0").collect()
+    assert min(t.length for t in back) > max(x.length for x in one)
+    kinds = {r.kind for r in planner.plan_features(boxes, runs, 52.5, 4.0).collect()}
+    assert kinds == {"box", "runin", "line", "runout"}
+    wide = planner.Sonar(mode="custom", spacing_m=150.0)
+    assert not wide.twice and planner.Sonar(mode="custom", spacing_m=60.0).twice
+    open_boxes = planner.plan_boxes(targets, planner.azimuth_steps(spark, 45.0), wide)
+    assert planner.gaps(open_boxes, planner.plan_lines(open_boxes), wide).count() > 0 and planner.gaps(boxes, planner.plan_lines(boxes), sonar).count() == 0
     assert planner.simplify([(0, 0), (1, 0.1), (2, 0), (3, 5), (4, 0)]) == [(0, 0), (2, 0), (3, 5), (4, 0)]
 
 
