@@ -8,8 +8,9 @@ under 1e-6; sets of fewer than ``SMALL`` shingles, for which that does not hold,
 
 Scaling: equal sets are one node before any comparison. Shingles that are frequent in a sample come last in the order, so a passage in
 many documents is no meeting point. First every node is compared with the least node of each of its meeting points; what that links is
-one component, and only pairs across components are compared then, so a large group of near copies does not
-make all its pairs. Crowded meeting points are cut into tiles, and nodes with many comparisons are salted. Texts move only for pairs that the fingerprints leave, compressed.
+one component (root). Roots that meet with fingerprints near enough are a family, found by a forest of each meeting point, not by its pairs; within a family the sets of
+different roots are compared exactly in tiles of nodes, each by one product of matrices. Crowded meeting points are cut into tiles, and nodes with many comparisons are salted. Texts
+move only for nodes that the fingerprints leave, compressed, once for each tile that theirs is compared with.
 
 Edge cases: null texts are empty; texts without words have empty sets and are one component. Shorter texts are one shingle. Repeated rows are one component. Null ids
 are compared like others and come last where one row of a component is kept. Very long texts are hashed in runs. Extra columns, whatever their names, are kept. An empty table gives no rows.
@@ -114,33 +115,125 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return rows.where(sizes & ((F.least("size_u", "size_v") < SMALL) | (differ <= RADIUS))).select("u", "v")
 
 
-def _across(least: float):
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) that join labels still apart, a forest; ``label`` is brought up to date."""
+    a, b = label[i], label[j]
+    apart = np.flatnonzero(a != b)
+    used, parent = [], np.arange(int(label.max(initial=0)) + 1)
+    pairs, places = np.unique(np.stack([a[apart], b[apart]]), axis=1, return_index=True)
+    for x, y, at in zip(*pairs.tolist(), places.tolist(), strict=True):
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            used.append(at)
+    while (up := parent[parent]).tobytes() != parent.tobytes():
+        parent = up
+    label[:] = parent[label]
+    return apart[np.array(used, np.int64)]
+
+
+def _kin(least: float):
+    """For ``in_cells``: pairs of roots that may be linked, a forest in each cell; fingerprints are compared bit-sliced."""
+
     def links(t: pa.Table, group: np.ndarray):
-        node, size, root = (t[c].to_numpy() for c in ("node", "size", "root"))
+        size, root = t["size"].to_numpy(), t["root"].to_numpy()
         edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(edge, len(group)))
+        begin = np.cumsum(sizes) - sizes
         ahead = np.repeat(edge + sizes, sizes) - np.arange(len(group)) - 1
         planes = BitPlanes(np.stack([t["left"].to_numpy(), t["right"].to_numpy()], axis=1).view(np.uint64))
-        us, vs, small = [node[:0]], [node[:0]], size < SMALL
-        for shift in range(1, int(sizes.max(initial=1))):
+        _, label = np.unique(np.stack([group, root]), axis=1, return_inverse=True)
+        label = label.ravel()
+        us, vs, small, shift = [root[:0]], [root[:0]], size < SMALL, 1
+        while True:
+            whole = np.maximum.reduceat(label, begin) == np.minimum.reduceat(label, begin)
+            ahead[np.repeat(whole, sizes)] = 0  # such cells are one family already
             at = np.flatnonzero(ahead >= shift)
+            if not len(at):
+                return np.concatenate(us), np.concatenate(vs)
             to = at + shift
-            fits = (root[at] != root[to]) & (np.minimum(size[at], size[to]) >= least * np.maximum(size[at], size[to]) - SLACK)
+            fits = (label[at] != label[to]) & (np.minimum(size[at], size[to]) >= least * np.maximum(size[at], size[to]) - SLACK)
             at, to = at[fits], to[fits]
             tiny = small[at] | small[to]
-            ask = np.zeros(len(node), bool)
+            ask = np.zeros(len(root), bool)
             ask[at[~tiny]] = True
             at = np.concatenate([at[tiny], planes.near(shift, ask, RADIUS)])
-            us.append(np.minimum(node[at], node[at + shift]))
-            vs.append(np.maximum(node[at], node[at + shift]))
-        return np.concatenate(us), np.concatenate(vs)
+            at = at[_merge(label, at, at + shift)]
+            us.append(root[at])
+            vs.append(root[at + shift])
+            shift += 1
 
     return links
 
 
-def _texts(docs: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, length, packed) of the nodes in ``pairs``: one compressed text each."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _linked(words: int, seed: int, least: float, columns: int = 4096):
+    """Links that join the roots of two tiles of nodes (or of one): all sets of one are compared with all of the other exactly, by products of their membership matrices."""
+
+    def run(t: pa.Table) -> pa.Table:
+        codec = pa.Codec("zstd")
+        node, root, second = t["node"].to_numpy(), t["root"].to_numpy(), t["second"].to_numpy()
+        sets = [shingle_set(codec.decompress(x.as_py(), n, asbytes=True).decode(), words, seed) for x, n in zip(t["packed"], t["length"].to_pylist(), strict=True)]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)  # the others are in no intersection
+        rank = np.full(len(value), -1)
+        rank[shared] = np.arange(len(shared))
+        place = rank[place]
+        row, place = row[place >= 0], place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        one = np.flatnonzero(second == 0)
+        two = np.flatnonzero(second == 1) if second.any() else one
+        mine, theirs = (np.full(len(sets), -1) for _ in range(2))
+        mine[one], theirs[two] = np.arange(len(one)), np.arange(len(two))
+        both = np.zeros((len(one), len(two)), np.float32)
+        for begin in range(0, len(shared), columns):
+            a, b = np.searchsorted(place, [begin, begin + columns])
+            r, c = row[a:b], place[a:b] - begin
+            left, right = (np.zeros((len(x), columns), np.float32) for x in (one, two))
+            inside = mine[r] >= 0
+            left[mine[r[inside]], c[inside]] = 1
+            inside = theirs[r] >= 0
+            right[theirs[r[inside]], c[inside]] = 1
+            both += left @ right.T
+        total = size[one][:, None] + size[two][None, :] - both
+        i, j = np.nonzero((both >= (least - SLACK) * total) & (root[one][:, None] != root[two][None, :]))
+        _, label = np.unique(root, return_inverse=True)
+        kept = _merge(label, one[i], two[j])
+        u, v = node[one[i[kept]]], node[two[j[kept]]]
+        release_memory()
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    return run
+
+
+def _across_roots(docs: DataFrame, marked: DataFrame, rooted: DataFrame, kin: DataFrame, words: int, seed: int, least: float, tile: int) -> DataFrame:
+    """(u, v): links that join roots of a family, a family being roots that ``kin`` joins. Tiles hold up to about ``tile`` nodes, of one large root or of several small ones."""
+    family = connected_components(kin).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    members = materialize(rooted.select("node", "root").distinct().join(family, "root"), "families")
+    counts = members.groupBy("family", "root").agg(F.count("*").alias("n"))
+    small = F.when(F.col("n") <= tile, F.col("n")).otherwise(0)
+    counts = counts.withColumn("rest", F.sum(small).over(Window.partitionBy("family")))
+    counts = counts.select("root", F.col("n") > tile, F.ceil(F.greatest(F.when(F.col("n") > tile, F.col("n")).otherwise(F.col("rest")), F.lit(1)) / tile)).toDF("root", "large", "tiles")
+    cut = F.when(F.col("large"), F.xxhash64(F.col("root"), F.pmod(F.xxhash64("node"), F.col("tiles")))).otherwise(F.pmod(F.xxhash64("root"), F.col("tiles")))
+    members = materialize(members.join(counts, "root").select("node", "root", "family", cut.alias("tile")), "tiles")
+    tiles = members.groupBy("family", "tile").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    first, other = tiles.toDF("family", "one", "low", "high"), tiles.toDF("family", "two", "low2", "high2")
+    pairs = first.join(other, "family").where((F.col("one") <= F.col("two")) & ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))))
+    sides = F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("tile"), F.lit(0).alias("second")))).otherwise(F.array(F.struct(F.col("one").alias("tile"), F.lit(0).alias("second")), F.struct(F.col("two").alias("tile"), F.lit(1).alias("second")))))
+    asked = pairs.select("family", "one", "two", sides.alias("s")).select("family", "one", "two", "s.tile", "s.second")
+    texts = _texts(docs, marked, members.select("node"))
+    held = members.join(texts, "node").join(asked, ["family", "tile"]).select("family", "one", "two", "second", "node", "root", "length", "packed")
+    return held.groupBy("family", "one", "two").applyInArrow(_linked(words, seed, least), "u long, v long").distinct()
+
+
+def _texts(docs: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, length, packed) of ``nodes``: one compressed text each."""
+    asked = nodes.distinct()
     chosen = materialize(marked.select("node", "row").join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("doc_id")), "chosen")
 
     def run(batches):
@@ -188,7 +281,7 @@ def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least:
     met = materialize(met.where("n > 1"), "meetings")
     star = met.where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     star = materialize(_alike(star, nodes, least), "pairs")
-    links = materialize(_verified(star, _texts(docs, marked, star), words, seed, least), "links")
+    links = materialize(_verified(star, _texts(docs, marked, star.select(F.explode(F.array("u", "v")).alias("node"))), words, seed, least), "links")
     rooted = met.join(connected_components(links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted-meetings")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
@@ -197,9 +290,8 @@ def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least:
     cells = cells.select("key", "node", "size", "left", "right", "root", "tiles", own.alias("own"), other.alias("other"))
     cells = cells.select("key", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("cell"), "node", "size", "left", "right", "root")
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
-    rest = dealt.mapInArrow(in_cells(_across(least)), "u long, v long").distinct().join(star, ["u", "v"], "left_anti")
-    rest = materialize(rest, "pairs")
-    links = links.unionByName(_verified(rest, _texts(docs, marked, rest), words, seed, least))
+    kin = materialize(dealt.mapInArrow(in_cells(_kin(least)), "u long, v long").distinct(), "kin")
+    links = links.unionByName(materialize(_across_roots(docs, marked, rooted, kin, words, seed, least, max(1, tile // 4)), "links"))
     roots = connected_components(links)
     return marked.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("component"))
 
