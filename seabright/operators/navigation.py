@@ -45,26 +45,35 @@ def smoothed(value: Column, order, n: int) -> Column:
     return F.avg(value).over(order.rowsBetween(-half, half))
 
 
-def track(fixes: DataFrame, baseline: int = 2) -> DataFrame:
+def near_rows(function: str, column: str, key: str) -> Column:
+    """An aggregate over the rows of a recording whose ``key`` differs by at most one: with a row number over (h + 0.5) as the key, h rows each way, fewer at the ends, and h may differ between recordings."""
+    return F.expr(f"{function}({column}) over (partition by dataset order by {key} range between 1.0D preceding and 1.0D following)")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n", F.row_number().over(_ordered("dataset")) - 1)
+
+
+def track(fixes: DataFrame, baseline_s: float = 12.0) -> DataFrame:
     """dataset, seq, time, lat, lon with course (unwrapped), distance run and speed.
 
-    Course and speed are between the fixes ``baseline`` rows before and after, the ends held.
+    Course and speed are between the fixes ``baseline_s`` seconds before and after, in whole fixes at the recording's middle interval and two at least, the ends held.
+    Metres are on the plane about the recording's mean latitude.
     """
-    order = _ordered("dataset")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    behind = lambda c: F.coalesce(F.lag(c, baseline).over(order), F.first(c).over(whole))
-    ahead = lambda c: F.coalesce(F.lead(c, baseline).over(order), F.last(c).over(whole))
-    rows = fixes.withColumns({f"{c}{n}": f(c) for c in ("time", "lat", "lon") for n, f in ((0, behind), (1, ahead))})
-    rows = rows.withColumn("step", F.coalesce(distance_m(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon")), F.lit(0.0)))
-    north, east = local_scale((F.col("lat0") + F.col("lat1")) / 2)
-    course = F.pmod(F.degrees(F.atan2((F.col("lon1") - F.col("lon0")) * east, (F.col("lat1") - F.col("lat0")) * north)), F.lit(360.0))
-    rows = rows.withColumns({
-        "course": course,
-        "dist": F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "span": distance_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")),
-    })
+    order, whole = _ordered("dataset"), Window.partitionBy("dataset")
+    rows = _numbered(fixes).withColumn("gap", F.col("time") - F.lag("time").over(order))
+    middle = rows.groupBy("dataset").agg(F.expr("percentile_disc(0.5) within group (order by gap desc)").alias("gap"))
+    reach = middle.select("dataset", F.greatest(F.round(baseline_s / F.greatest(F.coalesce("gap", F.lit(1.0)), F.lit(1e-3))), F.lit(2.0)).alias("reach"))
+    north, east = local_scale(F.avg("lat").over(whole))
+    rows = rows.drop("gap").join(reach, "dataset").withColumns({"x": F.col("lon") * east, "y": F.col("lat") * north, "k": F.col("n") / (F.col("reach") + 0.5)})
+    step = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
+    rows = rows.withColumn("step", F.coalesce(step, F.lit(0.0)))
+    rows = rows.withColumn("dist", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({f"{c}{i}": near_rows(f, c, "k") for c in ("time", "x", "y", "dist") for i, f in ((0, "first"), (1, "last"))})
+    rows = rows.withColumn("course", F.pmod(F.degrees(F.atan2(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), F.lit(360.0)))
     rows = rows.withColumn("cog", unwrapped(F.col("course"), order))
-    return rows.select("dataset", "seq", "time", "lat", "lon", "cog", "dist", F.when(F.col("time1") > F.col("time0"), F.col("span") / (F.col("time1") - F.col("time0"))).otherwise(0.0).alias("sog"))
+    took = F.col("time1") - F.col("time0")
+    return rows.select("dataset", "seq", "time", "lat", "lon", "cog", "dist", F.when(took > 1e-6, (F.col("dist1") - F.col("dist0")) / took).otherwise(0.0).alias("sog"))
 
 
 def interpolate(series: DataFrame, probes: DataFrame, key: str, values: list[str], *by: str) -> DataFrame:
@@ -78,7 +87,8 @@ def interpolate(series: DataFrame, probes: DataFrame, key: str, values: list[str
     here = F.when(F.col("known"), F.struct(F.col(key).alias("x"), *values))
     order = Window.partitionBy(*by).orderBy(key, F.desc("known"))
     before = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    backward = Window.partitionBy(*by).orderBy(F.desc(key), "known")  # the same order from its end: a frame that only grows is read in one pass
+    after = F.last(here, ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, 0))
     rows = left.unionByName(right).withColumns({"a": before, "b": after}).where("not known")
     x0, x1 = F.coalesce("a.x", "b.x"), F.coalesce("b.x", "a.x")
     share = F.when(x1 - x0 > 1e-12, (F.col(f"row.{key}") - x0) / (x1 - x0)).otherwise(F.lit(0.0))
@@ -87,52 +97,80 @@ def interpolate(series: DataFrame, probes: DataFrame, key: str, values: list[str
 
 
 def pursuit(fixes: DataFrame, length: float, max_step: float = 0.1) -> DataFrame:
-    """The towed body's position behind each fix: the tractrix of a rigid tow of ``length`` metres.
+    """The towed body's position behind each fix: the tractrix of a taut tow of ``length`` metres, astern at first.
 
-    ``fixes``: dataset, seq, x, y in metres. Between fixes the tow point moves in steps of at most ``max_step``.
+    ``fixes``: dataset, seq, x, y in metres, and optionally heading, the first course in degrees from north (else the first movement's). Between fixes the tow point moves in
+    steps of at most ``max_step``. The curve is a recursion over a recording, so a recording is a task; it holds four numbers a fix.
     """
+    given = "heading" in fixes.columns
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
         x, y = rows["x"].to_numpy(float), rows["y"].to_numpy(float)
         moved = np.flatnonzero(np.hypot(x - x[0], y - y[0]) > 0)
-        heading = np.arctan2(y[moved[0]] - y[0], x[moved[0]] - x[0]) if len(moved) else 0.0
-        fx, fy = x[0] - length * np.cos(heading), y[0] - length * np.sin(heading)
+        if given:
+            heading = np.radians(float(rows["heading"].iloc[0]))
+        else:
+            heading = np.arctan2(x[moved[0]] - x[0], y[moved[0]] - y[0]) if len(moved) else 0.0
+        fx, fy = x[0] - length * np.sin(heading), y[0] - length * np.cos(heading)
         out = [(fx, fy)]
         for i in range(1, len(x)):
             n = int(min(max(np.ceil(np.hypot(x[i] - x[i - 1], y[i] - y[i - 1]) / max_step), 1), 4096))
-            for k in range(1, n + 1):
-                px, py = x[i - 1] + (x[i] - x[i - 1]) * k / n, y[i - 1] + (y[i] - y[i - 1]) * k / n
-                d = np.hypot(px - fx, py - fy)
-                if d > length:  # a slack tow pulls nothing
-                    fx, fy = px - (px - fx) * length / d, py - (py - fy) * length / d
+            for px, py in zip(np.linspace(x[i - 1], x[i], n + 1)[1:].tolist(), np.linspace(y[i - 1], y[i], n + 1)[1:].tolist(), strict=True):
+                ux, uy = px - fx, py - fy
+                d = (ux * ux + uy * uy) ** 0.5
+                if d > 1e-9:  # the tow is always taut
+                    fx, fy = px - length * ux / d, py - length * uy / d
             out.append((fx, fy))
         fish = np.array(out)
         return pd.DataFrame({"dataset": rows["dataset"], "seq": rows["seq"], "fish_x": fish[:, 0], "fish_y": fish[:, 1]})
 
     kind = fixes.schema["dataset"].dataType.simpleString()
-    return fixes.select("dataset", "seq", "x", "y").groupBy("dataset").applyInPandas(follow, f"dataset {kind}, seq long, fish_x double, fish_y double")
+    columns = ["dataset", "seq", "x", "y", *(["heading"] if given else [])]
+    return fixes.select(*columns).groupBy("dataset").applyInPandas(follow, f"dataset {kind}, seq long, fish_x double, fish_y double")
 
 
-def detect_lines(courses: DataFrame, rate: float, min_seconds: float, smooth: int) -> DataFrame:
-    """Segments (dataset, kind, begins, ends, course) of steady course and of turning.
+def detect_lines(track: DataFrame, rate: float = 0.9, min_seconds: float = 180.0, smooth_seconds: float = 20.0) -> DataFrame:
+    """Segments (dataset, kind, begins, ends, course, length_m) of steady course and of turning; recordings of three fixes or more.
 
-    ``courses``: dataset, seq, time, cog (unwrapped). Steady runs shorter than ``min_seconds`` count as turning, and turns that meet merge.
+    ``track``: dataset, seq, time, cog (unwrapped), dist. Steady runs shorter than ``min_seconds`` count as turning, and turns that meet merge; a merged turn keeps the
+    first one's course, a segment's course is the mean of those at its ends.
     """
     order = _ordered("dataset")
-    rows = courses.withColumn("s", smoothed(F.col("cog"), order, smooth))
-    dt = F.lead("time").over(order) - F.lag("time").over(order)
-    turn = F.when(dt > 0, F.abs(F.lead("s").over(order) - F.lag("s").over(order)) / dt).otherwise(F.lit(0.0))
-    rows = rows.withColumn("turn", F.coalesce(turn, F.lit(0.0)))
-    rows = rows.withColumn("steady", smoothed(F.col("turn"), order, smooth) < rate)
+    rows = _numbered(track)
+    shape = rows.groupBy("dataset").agg(F.count("*").alias("count"), ((F.max("time") - F.min("time")) / (F.count("*") - 1)).alias("dt")).where("count >= 3")
+    width = F.greatest(F.round(smooth_seconds / F.greatest("dt", F.lit(1e-3))), F.lit(1.0))
+    shape = shape.select("dataset", F.floor(width / 2).alias("half"))  # an odd width
+    rows = rows.join(shape, "dataset").withColumn("k", F.col("n") / (F.col("half") + 0.5))
+    rows = rows.withColumn("s", near_rows("avg", "cog", "k"))
+    before = lambda c: F.coalesce(F.lag(c).over(order), F.col(c))
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.col(c))
+    rows = rows.withColumn("turn", F.abs(after("s") - before("s")) / F.greatest(after("time") - before("time"), F.lit(1e-6)))
+    rows = rows.withColumn("steady", near_rows("avg", "turn", "k") < rate)
     change = F.coalesce((F.col("steady") != F.lag("steady").over(order)).cast("int"), F.lit(1))
     runs = rows.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("dataset", "run").agg(F.first("steady").alias("steady"), F.min("time").alias("begins"), F.max("time").alias("ends"), F.min_by("s", F.struct("time", "seq")).alias("course"))
-    spans = spans.withColumn("kind", F.when(F.col("steady") & (F.col("ends") - F.col("begins") >= min_seconds), "line").otherwise("turn"))
+    at = F.struct("time", "seq")
+    spans = runs.groupBy("dataset", "run").agg(
+        F.first("steady").alias("steady"), F.min("time").alias("begins"), F.max("time").alias("ends"), F.min_by("s", at).alias("s0"), F.max_by("s", at).alias("s1"),
+        (F.max("dist") - F.min("dist")).alias("length_m"),
+    )
+    spans = spans.withColumns({
+        "course": F.pmod((F.col("s0") + F.col("s1")) / 2, F.lit(360.0)),
+        "kind": F.when(F.col("steady") & (F.col("ends") - F.col("begins") >= min_seconds), "line").otherwise("turn"),
+    })
     by_run = Window.partitionBy("dataset").orderBy("run")
     fresh = F.when((F.col("kind") == "turn") & (F.lag("kind").over(by_run) == "turn"), 0).otherwise(1)
     merged = spans.withColumn("fresh", fresh).withColumn("segment", F.sum("fresh").over(by_run.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy("dataset", "segment").agg(F.first("kind").alias("kind"), F.min("begins").alias("begins"), F.max("ends").alias("ends"), F.min_by("course", "run").alias("course")).drop("segment")
+    return merged.groupBy("dataset", "segment").agg(
+        F.first("kind").alias("kind"), F.min("begins").alias("begins"), F.max("ends").alias("ends"), F.min_by("course", "run").alias("course"), F.sum("length_m").alias("length_m")
+    ).drop("segment")
+
+
+def turn_rate_at(track: DataFrame, probes: DataFrame, reach: float = 3.0) -> DataFrame:
+    """``probes`` (dataset, probe, time) with rate: degrees a second of the course between ``reach`` seconds before and after, the ends held."""
+    both = probes.select("dataset", "probe", F.explode(F.array(F.lit(-reach), F.lit(reach))).alias("d"), F.col("time").alias("at")).withColumn("time", F.col("at") + F.col("d"))
+    found = interpolate(track.select("dataset", "time", "cog"), both, "time", ["cog"], "dataset")
+    return found.groupBy("dataset", "probe", F.col("at").alias("time")).agg((F.sum(F.signum("d") * F.col("cog_at")) / (2 * reach)).alias("rate"))
 
 
 def astern(track: DataFrame, metres: float) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seabright.plans import survey_views
+from seabright.plans import image_views, survey_views  # noqa: F401 - image_views registers its queries there
 
 FLAGSHIP = "band_summary"
 

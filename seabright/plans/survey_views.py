@@ -109,18 +109,15 @@ def _dist(lat0: str, lon0: str, lat1: str, lon1: str) -> str:
     return f"sqrt((({lat1} - {lat0}) * {_N.format(m=m)}) ** 2 + (({lon1} - {lon0}) * {_E.format(m=m)}) ** 2)"
 
 
-_TRACK = f"""{v.FIXES}, t0 as (
-    select *, coalesce(lag(time, 2) over w, first(time) over w) as ta, coalesce(lag(lat, 2) over w, first(lat) over w) as la, coalesce(lag(lon, 2) over w, first(lon) over w) as oa,
-        coalesce(lead(time, 2) over w, last(time) over w2) as tb, coalesce(lead(lat, 2) over w, last(lat) over w2) as lb, coalesce(lead(lon, 2) over w, last(lon) over w2) as ob, lag(lat) over w as pl, lag(lon) over w as po
-    from v_fixes window w as (partition by dataset order by time, seq), w2 as (partition by dataset order by time, seq rows between unbounded preceding and unbounded following)
-), t1 as (
-    select dataset, seq, time, lat, lon, coalesce({_dist('pl', 'po', 'lat', 'lon')}, 0) as step, case when tb > ta then {_dist('la', 'oa', 'lb', 'ob')} / (tb - ta) else 0 end as sog,
-        degrees(atan2((ob - oa) * {_E.format(m='((la + lb) / 2)')}, (lb - la) * {_N.format(m='((la + lb) / 2)')})) as c0 from t0
-), t2 as (select *, c0 - 360 * floor(c0 / 360) as course from t1),
-t3 as (select *, course - lag(course) over (partition by dataset order by time, seq) as dc from t2),
+_TRACK = f"""{v.FIXES}, t0 as (select *, avg(lat) over (partition by dataset) as m from v_fixes), t1 as (select dataset, seq, time, lat, lon, lon * {_E.format(m='m')} as x, lat * {_N.format(m='m')} as y from t0),
+t2 as (select *, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as step from t1 window w as (partition by dataset order by time, seq)),
+t3 as (select *, sum(step) over (partition by dataset order by time, seq rows between unbounded preceding and current row) as dist from t2),
+t4 as (select *, first(struct_pack(time, x, y, dist)) over (partition by dataset order by time, seq rows between 2 preceding and 2 following) as a, last(struct_pack(time, x, y, dist)) over (partition by dataset order by time, seq rows between 2 preceding and 2 following) as b from t3),
+t5 as (select *, case when b.time - a.time > 1e-6 then (b.dist - a.dist) / (b.time - a.time) else 0 end as sog, degrees(atan2(b.x - a.x, b.y - a.y)) as c0 from t4), t6 as (select *, c0 - 360 * floor(c0 / 360) as course from t5),
+t7 as (select *, course - lag(course) over (partition by dataset order by time, seq) as dc from t6),
 v_track as (
-    select dataset, seq, time, lat, lon, sog, first(course) over w + sum(coalesce(dc + 180 - 360 * floor((dc + 180) / 360) - 180, 0)) over w as cog, sum(step) over w as dist
-    from t3 window w as (partition by dataset order by time, seq rows between unbounded preceding and current row)
+    select dataset, seq, time, lat, lon, sog, dist, first(course) over w + sum(coalesce(dc + 180 - 360 * floor((dc + 180) / 360) - 180, 0)) over w as cog
+    from t7 window w as (partition by dataset order by time, seq rows between unbounded preceding and current row)
 )"""
 
 
@@ -147,10 +144,29 @@ def position_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.interpolate(f.select("dataset", "time", "lat"), probes, "time", ["lat"], "dataset").select("dataset", "seq", r("lat_at", 7))
 
 
-@query()
+@query(f"""
+with {_TRACK}, a as (select *, avg(cog) over (partition by dataset order by seq rows between 1 preceding and 1 following) as s, count(*) over (partition by dataset) as n from v_track),
+b as (select *, abs(coalesce(lead(s) over w, s) - coalesce(lag(s) over w, s)) / greatest(coalesce(lead(time) over w, time) - coalesce(lag(time) over w, time), 1e-6) as turn from a where n >= 3 window w as (partition by dataset order by seq)),
+c as (select *, avg(turn) over (partition by dataset order by seq rows between 1 preceding and 1 following) < 0.02 as steady from b),
+d as (select *, coalesce((steady <> lag(steady) over (partition by dataset order by seq))::int, 1) as change from c), e as (select *, sum(change) over (partition by dataset order by seq rows unbounded preceding) as run from d),
+f as (select dataset, run, case when first(steady) and max(time) - min(time) >= 180 then 'line' else 'turn' end as kind, min(time) as begins, max(time) as ends, (arg_min(s, seq) + arg_max(s, seq)) / 2 as c0, max(dist) - min(dist) as length_m from e group by all),
+g as (select *, case when kind = 'turn' and lag(kind) over (partition by dataset order by run) = 'turn' then 0 else 1 end as fresh from f), h as (select *, sum(fresh) over (partition by dataset order by run rows unbounded preceding) as seg from g)
+select dataset, first(kind order by run) as kind, min(begins) as begins, max(ends) as ends, round(arg_min(c0 - 360 * floor(c0 / 360), run), 4) as course, round(sum(length_m), 3) as length_m from h group by dataset, seg
+""")
 def survey_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = navigation.track(v.fixes(spark, sf_dir))
-    return navigation.detect_lines(t.select("dataset", "seq", "time", "cog"), 0.9, 180.0, 3).select("dataset", "kind", "begins", "ends", r("course", 4))
+    return navigation.detect_lines(t, 0.02, 180.0, 180.0).select("dataset", "kind", "begins", "ends", r("course", 4), r("length_m", 3))
+
+
+@query(f"""
+with {_TRACK}, p as (select dataset, seq, time, t from (select dataset, seq, time + 25 as time from v_track), (select unnest([-3, 3]) as t)), q as (select dataset, seq, time, t, time + t as spot from p),
+j as (select q.dataset, q.seq, q.t, q.spot, a.time as x0, a.cog as y0, b.time as x1, b.cog as y1 from q asof join v_track a on q.dataset = a.dataset and q.spot >= a.time left join v_track b on b.dataset = q.dataset and b.seq = a.seq + 1)
+select dataset, seq, round(sum(sign(t) * case when x1 is null then y0 else y0 + (y1 - y0) * (spot - x0) / (x1 - x0) end) / 6, 6) + 0 as rate from j group by all
+""")
+def turn_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = navigation.track(v.fixes(spark, sf_dir))
+    probes = t.select("dataset", F.col("seq").alias("probe"), (F.col("time") + 25).alias("time"))
+    return navigation.turn_rate_at(t, probes).select("dataset", F.col("probe").alias("seq"), r("rate"))
 
 
 @query()
@@ -160,9 +176,21 @@ def towed_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.pursuit(xy, 44.0, 5.0).select("dataset", "seq", r("fish_x", 4), r("fish_y", 4))
 
 
-@query()
+@query(f"""
+with recursive {v.PINGS}, e as (select dataset, rec_id, time, subsystem as s, channel as c, row_number() over (partition by dataset order by time, rec_id) as n from v_pings),
+f as (
+    select dataset, n, rec_id, s, c, time, 0::bigint as row, time as began, [s * 2 + (c <> 0)::int] as held from e where n = 1
+    union all
+    select e.dataset, e.n, e.rec_id, e.s, e.c, e.time, f.row + (e.time - f.began > 1800 or list_contains(f.held, e.s * 2 + (e.c <> 0)::int))::int,
+        case when e.time - f.began > 1800 or list_contains(f.held, e.s * 2 + (e.c <> 0)::int) then e.time else f.began end,
+        case when e.time - f.began > 1800 or list_contains(f.held, e.s * 2 + (e.c <> 0)::int) then [e.s * 2 + (e.c <> 0)::int] else list_append(f.held, e.s * 2 + (e.c <> 0)::int) end
+    from f join e on e.dataset = f.dataset and e.n = f.n + 1
+), bands as (select distinct dataset, subsystem from v_pings), opened as (select dataset, row, arg_min(rec_id, s * 1000000000 + n) as at_id from f group by all)
+select a.dataset, a.row, b.subsystem, max(f.rec_id) filter (f.c = 0) as port_id, max(f.rec_id) filter (f.c <> 0) as stbd_id, a.at_id
+from opened a join bands b on a.dataset = b.dataset left join f on f.dataset = a.dataset and f.row = a.row and f.s = b.subsystem group by a.dataset, a.row, b.subsystem, a.at_id
+""")
 def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.pair_bands(v.pings(spark, sf_dir), 30.0)
+    return rows.pair_bands(v.pings(spark, sf_dir), 2400.0)
 
 
 @query(f"""
@@ -492,12 +520,6 @@ def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(geo.tiles_for(w, s, w + 0.05, s + 0.03, 14)).alias("t")).select("s_suppkey", "t.x", "t.y")
 
 
-@query()
-def sound_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    khz = F.col("p_size") * 20 + 100
-    return v.table(spark, sf_dir, "part").select("p_partkey", r(ac.absorption_db_per_km(khz.cast("double"), 20.0, 34.0, 20.0), 4, "db_per_km"), r(ac.tvg_gain(F.col("p_size").cast("double"), 10.0, 0.1, 0.7), 6, "gain"))
-
-
 def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trace as the port side of a row and, turned about, as its starboard side; the label is the recording."""
     t = v.traces(spark, sf_dir)
@@ -524,17 +546,3 @@ def waterfall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def painted_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = waterfall.strokes(_image_rows(spark, sf_dir), 64)
     return mosaic.finish(mosaic.accumulate(mosaic.splat_line(laid))).select("gx", "gy", r("value", 3), "cover")
-
-
-@query()
-def nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = v.pings(spark, sf_dir).where("lat <> 0").select(F.col("rec_id").alias("row"), "lat", "lon")
-    probes = spark.createDataFrame([(0, 52.501, 4.002), (1, 52.508, 4.009)], "probe int, at_lat double, at_lon double")
-    return rows.nearest_in_place(p, probes)
-
-
-@query()
-def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = v.pings(spark, sf_dir).where("lat <> 0").select(F.col("rec_id").alias("row"), "lat", "lon", F.col("heading").alias("bearing"), F.lit(8.0).alias("altitude"), F.lit(120.0).alias("half_width_m"))
-    points = spark.createDataFrame([(0, 52.501, 4.002), (1, 52.508, 4.009)], "point int, at_lat double, at_lon double")
-    return rows.world_to_pixel(p, points, 1024).select("point", r("x", 4), "y")

@@ -2,6 +2,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -16,7 +17,7 @@ def plain(v):
     v = v.tolist() if hasattr(v, "tolist") else v
     if isinstance(v, list):
         return tuple(map(plain, v))
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return ""
     return f"{float(v):.8g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
