@@ -99,13 +99,13 @@ def despeckle(cells: DataFrame, strength: float = 1.0, radius: int = 2) -> DataF
 
 
 def equalise(levels: DataFrame, strength: float, reach: int = 20, at_least: int = 5, most: float = 4.0) -> DataFrame:
-    """Along-track gain of each stroke: (reference / local upper median of positive levels) ** strength, one outside sane limits.
+    """Along-track gain of each stroke: (local upper median of the positive levels / its own) ** strength; one where it has no level, too few neighbours, or a gain outside sane limits.
 
-    ``levels``: dataset, stroke, level, reference.
+    ``levels``: dataset, stroke, level.
     """
     order = Window.partitionBy("dataset").orderBy("stroke").rowsBetween(-reach, reach)
     near = F.collect_list(F.when(F.col("level") > 0, F.col("level"))).over(order)
-    gain = F.pow(F.col("reference") / upper_median(F.col("near")), F.lit(strength))
+    gain = F.when(F.col("level") > 0, F.pow(upper_median(F.col("near")) / F.col("level"), F.lit(strength)))
     rows = levels.withColumn("near", near).withColumn("gain", F.when(F.size("near") >= at_least, gain))
     return rows.withColumn("gain", F.when(F.col("gain").between(1 / most, most), F.col("gain")).otherwise(F.lit(1.0))).drop("near")
 
@@ -128,6 +128,80 @@ def splat_line(strokes: DataFrame, most: int = 64) -> DataFrame:
     return rows.select(F.floor(mix("x")).alias("gx"), F.floor(mix("y")).alias("gy"), mix("amp").alias("amp"), mix("pri").alias("pri"))
 
 
+def splat_back(strokes: DataFrame, most: int = 16, farthest: float = 12.0, gap: float = 1.0) -> DataFrame:
+    """gx, gy, amp, pri between each stroke and the one painted before it: its samples joined to the earlier stroke at the same distance across.
+
+    ``strokes``: dataset, stroke, samples (across, x, y, amp, pri in order across), usable. A stroke that is not usable is not painted and breaks the strip. Nothing is joined outside the earlier
+    stroke, across a gap in it of more than ``gap`` metres, or over more than ``farthest`` pixels.
+    """
+    order = Window.partitionBy("dataset").orderBy("stroke")
+    rows = strokes.withColumns({"before": F.lag("samples").over(order), "joins": F.lag("usable").over(order)}).where("usable and joins")
+
+    fields = ("x", "y", "amp", "pri")
+
+    def back(batches):
+        for part in batches:
+            out = {f: [] for f in fields}
+            for here, across, *old in zip(part["across"], *(part[f"before_{f}"] for f in ("across", *fields)), strict=True):
+                i = np.searchsorted(across, here)
+                j = np.clip(i, 1, max(len(across) - 1, 1))
+                inside = (i > 0) & (i < len(across))
+                if len(across) < 2:
+                    share = before = np.full(len(here), np.nan)
+                else:
+                    share = (here - across[j - 1]) / np.maximum(across[j] - across[j - 1], 1e-9)
+                    share[~inside | (across[j] - across[j - 1] > gap)] = np.nan
+                for f, values in zip(fields, old, strict=True):
+                    before = values[j - 1] + (values[j] - values[j - 1]) * share if len(across) > 1 else share
+                    out[f].append(before)
+            yield part[["samples_id", "samples_key"]].assign(**out)
+
+    given = rows.select("dataset", "stroke", "samples", F.col("samples.across").alias("across"), *(F.col(f"before.{f}").alias(f"before_{f}") for f in ("across", *fields)))
+    kind = strokes.schema["dataset"].dataType.simpleString()
+    found = given.select(F.col("dataset").alias("samples_id"), F.col("stroke").alias("samples_key"), "across", *(f"before_{f}" for f in ("across", *fields)))
+    found = found.mapInPandas(back, f"samples_id {kind}, samples_key long, {', '.join(f'{f} array<double>' for f in fields)}")
+    joined = rows.select("dataset", "stroke", "samples").join(found.toDF("dataset", "stroke", *fields), ["dataset", "stroke"])
+    pairs = joined.select(F.explode(F.arrays_zip(F.col("samples").alias("b"), *fields)).alias("p")).select(F.struct(*(F.col(f"p.{f}") for f in fields)).alias("a"), F.col("p.b").alias("b"))
+    pairs = pairs.where(~F.isnan("a.x"))
+    pairs = pairs.where(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")) <= farthest)
+    pairs = pairs.withColumn("t", F.explode(bridge_steps(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), most)))
+    mix = lambda f: F.col(f"a.{f}") + (F.col(f"b.{f}") - F.col(f"a.{f}")) * F.col("t")
+    return pairs.select(F.floor(mix("x")).alias("gx"), F.floor(mix("y")).alias("gy"), mix("amp").alias("amp"), mix("pri").alias("pri"))
+
+
+def first_samples(strokes: DataFrame) -> DataFrame:
+    """gx, gy, amp, pri of the outermost port sample of each stroke, which no step leads to."""
+    s = F.get("samples", F.lit(0))
+    return strokes.where("size(samples) > 0").select(F.floor(s["x"]).alias("gx"), F.floor(s["y"]).alias("gy"), s["amp"].alias("amp"), s["pri"].alias("pri"))
+
+
+def build(rows: DataFrame, across: int = 1024, table: str = "outer", agc: float = 0.5, tvg: float = 0.7, alpha: float = 0.0, nadir_blank_m: float = 0.0, max_range_m: float = 0.0, angle: DataFrame | None = None, speckle: bool = False, db: bool = False, gamma: float = 0.8, low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """gx, gy, value, grey, cover: the mosaic of paired traces in pixels of the plane of x and y.
+
+    ``rows`` are those of ``waterfall.strokes`` (with priors), and usable (boolean: roll, look window and turn rate are fit). Strokes are laid, equalised along the track side by side, painted across and
+    back to the one before, averaged, filtered if asked, and stretched between two percentiles of the painted cells.
+    """
+    from seabright.functions.acoustics import stretch
+    from seabright.operators import waterfall
+
+    laid = waterfall.strokes(rows, across, table, tvg, alpha, nadir_blank_m, max_range_m, True, angle)
+    gains = [equalise(laid.select("dataset", "stroke", F.col(f"{side}_level").alias("level")), agc).select("dataset", "stroke", F.col("gain").alias(f"{side}_gain")) for side in ("port", "stbd")]
+    usable = rows.select("dataset", F.col("row").alias("stroke"), F.coalesce("usable", F.lit(False)).alias("usable"))
+    laid = laid.join(gains[0], ["dataset", "stroke"]).join(gains[1], ["dataset", "stroke"]).join(usable, ["dataset", "stroke"])
+    gain = lambda s: F.when(s["across"] < 0, F.col("port_gain")).otherwise(F.col("stbd_gain"))
+    laid = laid.select("dataset", "stroke", "usable", F.transform("samples", lambda s: F.struct(s["across"].alias("across"), s["x"].alias("x"), s["y"].alias("y"), (s["amp"] * gain(s)).alias("amp"), s["pri"].alias("pri"))).alias("samples"))
+    shown = laid.where("usable")
+    painted = splat_line(shown).unionByName(first_samples(shown)).unionByName(splat_back(laid))
+    cells = finish(accumulate(painted))
+    if speckle:
+        cells = despeckle(cells).join(cells.select("gx", "gy", "cover"), ["gx", "gy"])
+    from seabright.functions.acoustics import decibels
+
+    cells = cells.withColumn("scaled", decibels(F.col("value")) if db else F.col("value"))
+    cut = cells.where("scaled > 0").agg(F.percentile("scaled", F.array(F.lit(low / 100), F.lit(high / 100))).alias("c"))
+    return cells.join(F.broadcast(cut)).select("gx", "gy", "value", stretch(F.col("scaled"), F.coalesce(F.get("c", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("c", F.lit(1)), F.lit(1.0)), gamma).alias("grey"), "cover")
+
+
 def colour(share: Column, ramp: str = "grey") -> Column:
     """Struct (r, g, b) of a share 0..1."""
     stops = RAMPS[ramp]

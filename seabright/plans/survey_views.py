@@ -336,14 +336,14 @@ def colour_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with o as (select o_custkey as dataset, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as stroke, o_totalprice as level, 100000::double as reference from orders),
+with o as (select o_custkey as dataset, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as stroke, o_totalprice as level from orders),
 w as (select *, list(level) filter (level > 0) over (partition by dataset order by stroke rows between 20 preceding and 20 following) as near from o), m as (select *, list_sort(near)[len(near) // 2 + 1] as med from w),
-g as (select *, case when len(near) >= 5 then (reference / med) ** 0.5::double end as g from m)
+g as (select *, case when len(near) >= 5 then (med / level) ** 0.5::double end as g from m)
 select dataset, stroke, round(case when g between 0.25 and 4 then g else 1 end, 6) as gain from g
 """)
 def along_track_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    levels = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), F.row_number().over(order).cast("long").alias("stroke"), F.col("o_totalprice").alias("level"), F.lit(100000.0).alias("reference"))
+    levels = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), F.row_number().over(order).cast("long").alias("stroke"), F.col("o_totalprice").alias("level"))
     return mosaic.equalise(levels, 0.5).select("dataset", "stroke", r("gain"))
 
 
@@ -546,3 +546,19 @@ def waterfall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def painted_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = waterfall.strokes(_image_rows(spark, sf_dir), 64)
     return mosaic.finish(mosaic.accumulate(mosaic.splat_line(laid))).select("gx", "gy", r("value", 3), "cover")
+
+
+@query()
+def mosaic_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = waterfall.with_priors(_image_rows(spark, sf_dir)).withColumn("usable", F.col("row") % 7 != 0)
+    return mosaic.build(lines, 64).select("gx", "gy", r("value", 3), "grey", "cover")
+
+
+@query("""
+with t as (select label as dataset, vec_id as row, case when vec_id % 5 <> 0 then (4 + vec_id % 3) / (0.4 + (vec_id % 2) * 0.1::double) end as raw, row_number() over (partition by label order by vec_id) - 1 as n, count(*) over (partition by label) - 1 as last from embeddings),
+f as (select *, coalesce(last_value(raw ignore nulls) over (partition by dataset order by n rows unbounded preceding), first_value(raw ignore nulls) over (partition by dataset order by n rows between unbounded preceding and unbounded following)) as filled from t),
+o as (select f.dataset, f.row, f.raw, f.n, f.last, unnest(range(-4, 5)) as d from f), v as (select o.dataset, o.row, o.raw, g.filled from o join f g on g.dataset = o.dataset and g.n = least(greatest(o.n + o.d, 0), o.last))
+select dataset::bigint as dataset, row, round(case when raw is null then 0 else quantile_cont(filled, 0.5) end, 6) as prior from v group by dataset, row, raw
+""")
+def steady_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waterfall.with_priors(_image_rows(spark, sf_dir)).select("dataset", "row", r("prior"))

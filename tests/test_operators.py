@@ -48,15 +48,17 @@ def test_tow_cuts_the_corner(spark, radius):
 
 def test_lines_and_turns(spark):
     cog = [0.0] * 300 + [i * 3.0 for i in range(60)] + [180.0] * 300
-    df = spark.createDataFrame([("d", i, float(i), c) for i, c in enumerate(cog)], "dataset string, seq long, time double, cog double")
-    got = navigation.detect_lines(df, 0.9, 180.0, 20).orderBy("begins").collect()
+    df = spark.createDataFrame([("d", i, float(i), c, 2.0 * i) for i, c in enumerate(cog)], "dataset string, seq long, time double, cog double, dist double")
+    got = navigation.detect_lines(df, 0.9, 180.0, 20.0).orderBy("begins").collect()
     assert [r.kind for r in got] == ["line", "turn", "line"] and abs(got[2].course - 180) < 30
+    assert all(r.length_m == 2 * (r.ends - r.begins) for r in got)
+    assert navigation.detect_lines(df.limit(2)).count() == 0
 
 
 def test_rows_pair_by_session(spark):
     log = [(0.00, 20, 0), (0.01, 20, 1), (0.02, 21, 0), (0.10, 20, 0), (0.11, 20, 0), (0.13, 20, 1), (0.40, 21, 1)]
     df = spark.createDataFrame([("d", i, *x) for i, x in enumerate(log)], "dataset string, rec_id long, time double, subsystem long, channel long")
-    got = {(r.row, r.subsystem): (r.port_id, r.stbd_id, r.at_id) for r in rows.pair_bands(df, 0.05).collect()}
+    got = {(r.row, r.subsystem): (r.port_id, r.stbd_id, r.at_id) for r in rows.pair_bands(df, 0.05 / 0.75).collect()}
     assert got == {(0, 20): (0, 1, 0), (0, 21): (2, None, 0), (1, 20): (3, None, 3), (1, 21): (None, None, 3), (2, 20): (4, 5, 4), (2, 21): (None, None, 4), (3, 20): (None, None, 6), (3, 21): (None, 6, 6)}
 
 
@@ -100,7 +102,64 @@ def test_waterfall(spark):
     assert len(image) == 40 and all(len(r.pixels) == 64 for r in image) and max(image[0].pixels[32:]) == 0
     laid = waterfall.strokes(df, 64).first()
     xs = [s.x for s in laid.samples]
-    assert xs == sorted(xs) and laid.level > 0
+    assert xs == sorted(xs) and laid.port_level > 0
+    assert waterfall.window_of(df, 10, 12, 5).count() == 3
+    assert waterfall.gain_model(df, 64, max_range_m=5.0).first().half_width_m == 5.0
+
+
+def test_priors_follow_the_kernel(spark):
+    recorded = [None, 4.0, 4.2, None, 9.9, 4.1, 4.0, 4.3, None, 4.4, 4.2, 4.1, 4.0, 1.0]
+    df = spark.createDataFrame([("d", i, None, None, a, 0.1) for i, a in enumerate(recorded)], "dataset string, row long, port array<double>, stbd array<double>, altitude_m double, resolution_m double")
+    got = [r.prior for r in waterfall.with_priors(df).orderBy("row").collect()]
+    assert np.allclose(got, kernels.steady_prior(np.array([0.0 if a is None else a / 0.1 for a in recorded]), 9))
+
+
+def plain_mosaic(strokes):
+    """Cells painted by loops over strokes: (usable, samples of across, x, y, amp, pri)."""
+    cells, old = {}, None
+
+    def splat(x, y, amp, pri):
+        c = cells.setdefault((math.floor(x), math.floor(y)), [0.0, 0.0, 0])
+        c[0], c[1], c[2] = c[0] + amp * pri, c[1] + pri, c[2] + 1
+
+    def bridge(a, b, most):
+        n = min(max(math.ceil(math.hypot(b[0] - a[0], b[1] - a[1])), 1), most)
+        for k in range(n):
+            splat(*(p + (q - p) * (k + 0.5) / n for p, q in zip(a, b)))
+
+    for usable, samples in strokes:
+        if not usable:
+            old = None
+            continue
+        splat(*samples[0][1:])
+        for a, b in zip(samples, samples[1:]):
+            bridge(a[1:], b[1:], 64)
+        for s in samples if old else ():
+            right = next((k for k, o in enumerate(old) if o[0] >= s[0]), len(old))
+            if 0 < right < len(old) and old[right][0] - old[right - 1][0] <= 1:
+                share = (s[0] - old[right - 1][0]) / max(old[right][0] - old[right - 1][0], 1e-9)
+                back = [p + (q - p) * share for p, q in zip(old[right - 1][1:], old[right][1:])]
+                if math.hypot(s[1] - back[0], s[2] - back[1]) <= 12:
+                    bridge(back, s[1:], 16)
+        old = samples
+    return {k: (a / w, min(n, 255)) for k, (a, w, n) in cells.items()}
+
+
+def test_mosaic_is_the_plain_painting(spark):
+    rng = np.random.default_rng(3)
+    rows_ = [("d", i, (rng.random(60) * 100 + 1).tolist(), (rng.random(60) * 100 + 1).tolist() if i != 4 else None, 2.0, 0.1, i * 3.0 if i != 9 else 90.0, i * 0.3, float(i * 4), i not in (6, 13)) for i in range(20)]
+    df = spark.createDataFrame(rows_, "dataset string, row long, port array<double>, stbd array<double>, altitude_m double, resolution_m double, x double, y double, bearing double, usable boolean")
+    laid = waterfall.strokes(df, 64).orderBy("stroke").collect()
+    assert len(laid) == 20
+    strokes = [(rows_[r.stroke][-1], [tuple(s) for s in r.samples]) for r in laid]
+    got = {(r.gx, r.gy): (r.value, r.cover, r.grey) for r in mosaic.build(df, 64, agc=0.0).collect()}
+    want = plain_mosaic(strokes)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - v) < 1e-6 * abs(v) + 1e-9 and got[k][1] == n for k, (v, n) in want.items())
+    assert min(g for _, _, g in got.values()) == 0 and max(g for _, _, g in got.values()) == 255
+    curves = spark.createDataFrame([(-1, [2.0] * 90), (1, [4.0] * 90)], "side int, curve array<double>")
+    halved = {r.stroke: r for r in waterfall.strokes(df, 64, angle=curves).collect()}
+    assert all(abs(a.amp - b.amp * (2 if a.across < 0 else 4)) < 1e-9 for r in laid for a, b in zip(r.samples, halved[r.stroke].samples))
+    assert mosaic.build(df, 64, speckle=True, db=True).count() == len(want)
 
 
 def test_plan(spark):
