@@ -17,15 +17,15 @@ def zoom_for(metres: float, lat: float, most: int = 22) -> int:
     return min(max(math.ceil(math.log2(2 * math.pi * geo.MERCATOR_RADIUS / 256 * math.cos(math.radians(lat)) / metres)), 1), most)
 
 
-def import_grid(pixels: DataFrame, epsg: int, zoom: int, pixel_x: float, pixel_y: float, most: int = 64) -> DataFrame:
-    """gx, gy, value, n: the mean of the pixels (x, y, bands) whose footprint covers each cell, at most ``most`` cells a side."""
+def import_grid(pixels: DataFrame, epsg: int, zoom: int, pixel_x: float, pixel_y: float) -> DataFrame:
+    """gx, gy, value, n: the mean of the pixels (x, y, bands) whose footprint covers each cell, however many cells that is."""
     corner = lambda sx, sy: geo.to_wgs84(epsg, F.col("x") + sx * pixel_x / 2, F.col("y") + sy * pixel_y / 2)
     (south, west), (north, east) = corner(-1, -1), corner(1, 1)
     at = pixels.withColumns({"south": south, "west": west, "north": north, "east": east})
     x0, y0 = geo.lonlat_to_px(F.col("west"), F.col("north"), zoom)
     x1, y1 = geo.lonlat_to_px(F.col("east"), F.col("south"), zoom)
     at = at.select(F.get("bands", 0).alias("value"), F.floor(F.least(x0, x1)).alias("x0"), F.floor(F.greatest(x0, x1)).alias("x1"), F.floor(F.least(y0, y1)).alias("y0"), F.floor(F.greatest(y0, y1)).alias("y1"))
-    span = lambda a, b: F.sequence(F.col(a), F.least(F.greatest(F.col(b), F.col(a)), F.col(a) + most - 1))
+    span = lambda a, b: F.sequence(F.col(a), F.greatest(F.col(b), F.col(a)))
     cells = at.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
     return cells.groupBy("gx", "gy").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 

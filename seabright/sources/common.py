@@ -12,15 +12,15 @@ from pyspark.sql import types as T
 ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
 
 
-def rows_of_files(spark: SparkSession, path: str, schema: str, rows: Callable[[str, bytes], Iterator[dict]], at_once: int = 500) -> DataFrame:
-    """A frame of the rows that ``rows(path, content)`` yields for each file; missing fields are null."""
+def rows_of(frame: DataFrame, schema: str, items: Callable[[pa.RecordBatch], Iterator[tuple]], rows: Callable[..., Iterator[dict]], at_once: int = 500) -> DataFrame:
+    """A frame of the rows that ``rows(*item)`` yields for each item of each batch of ``frame``; missing fields are null."""
     fields = pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema)])
 
     def run(batches):
         for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for item in items(batch):
                 held: list[dict] = []
-                for row in rows(name, raw.as_py()):
+                for row in rows(*item):
                     held.append(row)
                     if len(held) == at_once:
                         yield pa.RecordBatch.from_pylist(held, schema=fields)
@@ -28,5 +28,10 @@ def rows_of_files(spark: SparkSession, path: str, schema: str, rows: Callable[[s
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=fields)
 
+    return frame.mapInArrow(run, schema)
+
+
+def rows_of_files(spark: SparkSession, path: str, schema: str, rows: Callable[[str, bytes], Iterator[dict]], at_once: int = 500) -> DataFrame:
+    """A frame of the rows that ``rows(path, content)`` yields for each file; missing fields are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return rows_of(files, schema, lambda batch: ((n, c.as_py()) for n, c in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)), rows, at_once)

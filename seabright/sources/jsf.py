@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.sources.common import rows_of_files
+from seabright.sources.common import rows_of, rows_of_files
 
 MARKER = 0x1601
 SONAR, NMEA = 80, 2002
@@ -66,22 +66,28 @@ def degrees(raw: int, units: int) -> float | None:
     return raw / 1e4 / 60 if units == 2 else raw / 1e6 if units == 3 else None
 
 
-def sonar_row(body: memoryview) -> dict | None:
-    """Fields of a sonar message; None for one too short to be one."""
+def index_degrees(raw: int, units: int) -> float:
+    """As the index of a recording has it: whatever is not in minutes is in micro-degrees."""
+    return raw / 1e4 / 60 if units == 2 else raw / 1e6
+
+
+def sonar_row(body: memoryview, traces: bool = True) -> dict | None:
+    """Fields of a sonar message; None for one too short to be one. Without ``traces`` only its header is decoded, as for an index."""
     if len(body) < 240:
         return None
     at = lambda f, o: struct.unpack_from("<" + f, body, o)[0]
+    place = degrees if traces else index_degrees
     units, n, fmt, weight = at("h", 88), at("H", 114), at("h", 34), at("h", 168)
     time = at("i", 0)
     if at("h", 156):  # year, day of year and milliseconds of the day
         day = np.datetime64(f"{at('h', 156):04d}-01-01") + (at("h", 158) - 1)
         time = float(day.astype("datetime64[s]").astype(np.int64)) + at("i", 200) / 1000
     return {
-        "time": float(time), "ping": at("I", 8), "validity": at("H", 30), "lon": degrees(at("i", 80), units), "lat": degrees(at("i", 84), units),
+        "time": float(time), "ping": at("I", 8), "validity": at("H", 30), "lon": place(at("i", 80), units), "lat": place(at("i", 84), units),
         "nsamples": n, "interval_ns": at("I", 116), "f0": at("H", 126) * 10.0, "f1": at("H", 128) * 10.0, "pressure_psi": at("i", 132) / 1000,
         "depth": at("i", 136) / 1000, "altitude": at("i", 144) / 1000, "sound_speed": float(at("f", 148)), "weight": weight, "fmt": fmt,
         "heading": at("H", 172) / 100, "pitch": at("h", 174) * 180 / 32768, "roll": at("h", 176) * 180 / 32768, "course": at("h", 192) / 10, "speed": at("h", 194) / 10,
-        "software": bytes(body[210:216]).split(b"\0")[0].decode("utf-8", "replace"), "data": samples(body[240:], fmt, weight, n),
+        "software": bytes(body[210:216]).split(b"\0")[0].decode("utf-8", "replace"), "data": samples(body[240:], fmt, weight, n) if traces else None,
     }
 
 
@@ -90,9 +96,7 @@ def file_rows(path: str, raw: bytes, traces: bool = True) -> Iterator[dict]:
         base = {"path": path, "offset": offset, "subsystem": subsystem, "channel": channel}
         if kind == -1:
             yield base | {"subsystem": None, "channel": None, "warning": f"lost sync at byte {offset}"}
-        elif kind == SONAR and (row := sonar_row(body)):
-            if not traces:
-                row["data"] = None
+        elif kind == SONAR and (row := sonar_row(body, traces)):
             yield base | row
         elif kind == NMEA and len(body) > 12:
             sentence = bytes(body[12:]).split(b"\0")[0].decode("utf-8", "replace").strip()
@@ -105,6 +109,21 @@ def read_jsf(spark: SparkSession, path: str, traces: bool = True) -> DataFrame:
     return rows_of_files(spark, path, SCHEMA, lambda name, raw: file_rows(name, raw, traces))
 
 
+def pings_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The sonar messages that begin at given places: ``wanted`` holds path and offset. A place where none begins gives no row."""
+    places = wanted.groupBy("path").agg(F.array_sort(F.collect_set(F.col("offset").cast("long"))).alias("offsets"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").join(places, "path")
+
+    def rows(name: str, raw: bytes, offsets: list[int]) -> Iterator[dict]:
+        for offset in offsets:
+            if 0 <= offset <= len(raw) - HEADER.size and struct.unpack_from("<H", raw, offset)[0] == MARKER:
+                found = next(messages(memoryview(raw)[offset:]), None)
+                if found and found[1] == SONAR and (row := sonar_row(found[4])):
+                    yield {"path": name, "offset": offset, "subsystem": found[2], "channel": found[3]} | row
+
+    return rows_of(files, SCHEMA, lambda batch: ((n, c.as_py(), o) for n, c, o in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("offsets").to_pylist(), strict=True)), rows)
+
+
 def ping_index(rows: DataFrame) -> DataFrame:
     """Sonar messages numbered in order of time, ties by file and place."""
     from pyspark.sql import Window

@@ -24,7 +24,7 @@ def channels(raw: bytes) -> list[dict]:
     """Type, bytes a sample, name and frequency of each channel in the file header."""
     n = min(sum(struct.unpack_from("<2H", raw, 166)), (len(raw) - 256) // 128)
     out = []
-    for i in range(min(n, 6)):
+    for i in range(min(n, 16)):
         at = 256 + 128 * i
         hz = struct.unpack_from("<f", raw, at + 36)[0]
         out.append({
@@ -43,7 +43,7 @@ def file_rows(path: str, raw: bytes) -> Iterator[dict]:
     if len(raw) < 1024 or raw[0] != 0x7B:
         return
     info = channels(raw)
-    at = 1024
+    at = max(1024, -(-(256 + 128 * len(info)) // 1024) * 1024)  # the header grows in steps with more than six channels
     while (at := raw.find(MAGIC, at)) >= 0 and at + 14 <= len(raw):
         kind, _, count = raw[at + 2], raw[at + 3], struct.unpack_from("<H", raw, at + 4)[0]
         size = struct.unpack_from("<I", raw, at + 10)[0]

@@ -145,3 +145,36 @@ def test_lzw_with_a_growing_table():
     bits = "".join(f"{c:0{w}b}" for c, w in out)
     bits += "0" * (-len(bits) % 8)
     assert geotiff.unlzw(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))) == data
+
+
+def test_workspace_files(spark, tmp_path):
+    from seabright.sources import catalogue, geojson
+
+    for name in ("a/one.jsf", "a/two.xtf", "b/three.XTF", "b/notes.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r.path.rsplit("/", 2)[-2:] for r in catalogue.sonar_files(spark, str(tmp_path)).collect()) == [["a", "one.jsf"], ["b", "three.XTF"]]
+    index = spark.createDataFrame([("d", 1, 2.0), ("d", 0, 1.0), ("e", 0, 5.0)], "dataset string, rec_id long, time double")
+    catalogue.save_index(index, str(tmp_path / "index"))
+    assert sorted((r.dataset, r.rec_id, r.time) for r in catalogue.load_index(spark, str(tmp_path / "index")).collect()) == [("d", 0, 1.0), ("d", 1, 2.0), ("e", 0, 5.0)]
+    cells = spark.createDataFrame([(5, 7, 1.5), (300, 2, 2.5)], "gx long, gy long, value double")
+    catalogue.save_raster(cells, str(tmp_path / "raster"), {"zoom": 19, "version": "8"})
+    got, header = catalogue.load_raster(spark, str(tmp_path / "raster"))
+    assert header == {"zoom": 19, "version": "8"} and [(r.gx, r.value) for r in got.where("tx = 1").collect()] == [(300, 2.5)]
+    contacts = spark.createDataFrame([("C002", "b", 52.0, 4.0), ("C001", "a", 51.0, 3.0)], "id string, name string, lat double, lon double")
+    catalogue.save_contacts(contacts, str(tmp_path / "contacts"))
+    assert [(r.id, r.name, r.lat, r.lon) for r in geojson.read_contacts(spark, str(tmp_path / "contacts")).orderBy("id").collect()] == [("C001", "a", 51.0, 3.0), ("C002", "b", 52.0, 4.0)]
+    (tmp_path / "p.json").write_text('{"name": "n", "datasets": [{"name": "d", "enabled": true}], "view": {"z": "1"}, "later": 3}')
+    project = catalogue.load_project(spark, str(tmp_path / "p.json"))
+    catalogue.save_project(project, str(tmp_path / "out"))
+    again = catalogue.load_project(spark, str(tmp_path / "out")).first()
+    assert again.name == "n" and again.datasets[0].enabled and again.view == {"z": "1"} and again.layers is None
+
+
+def test_pings_at_offsets(spark, tmp_path):
+    one = jsf_message(80, sonar_body([2, 4]))
+    (tmp_path / "a.jsf").write_bytes(one + jsf_message(80, sonar_body([8]), 21, 1))
+    path = jsf.read_jsf(spark, str(tmp_path)).first().path
+    wanted = spark.createDataFrame([(path, len(one)), (path, 5), (path, 10**6)], "path string, offset long")
+    assert [(r.offset, r.subsystem, r.data) for r in jsf.pings_at(spark, str(tmp_path), wanted).collect()] == [(len(one), 21, [4.0])]
+    assert jsf.index_degrees(31_500_000, 3) == 31.5 and jsf.index_degrees(31_500_000, 1) == 31.5 and jsf.degrees(1, 1) is None
