@@ -12,18 +12,30 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, hub: int) -> DataFrame:
+    """``rows`` (u, v) with m, the least v of each u. The rows of a u that has more than ``hub`` are dealt over several tasks."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / hub)
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", parts.alias("parts")))  # at most rows / hub, see HUBS
+    one = F.lit(1).cast("long")
+    dealt = rows.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", one)).alias("part"))
+    return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour, itself included."""
-    sym = _both_ways(edges)
-    least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(_both_ways(edges), hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v").where("u <> v")
+    down = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), hub)
+    return down.select("v", "m").union(down.select("u", "m")).toDF("u", "v").where("u <> v")
+
+
+#: Nodes whose rows are dealt out, at most: what is broadcast is bounded by it.
+HUBS = 100_000
+SMALLEST_HUB = 5000
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -37,7 +49,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        then = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        hub = max(SMALLEST_HUB, 2 * before[0] // HUBS)
+        then = materialize(_small_star(_large_star(now, hub).distinct(), hub).distinct(), "edges")
         discard(now)
         now, after = then, state(then)
         if after == before:

@@ -1,8 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 A document's fingerprint is the bitwise majority of its shingles' 64-bit hashes. Fingerprints that differ in at most ``radius``
-bits are linked. The 64 bits are cut into radius + 2 runs; two linked fingerprints agree on at least two runs, so pairs are
-compared only where the values of some two runs are equal: exact, with keys of about 21 bits. Within a key
+bits are linked. The 64 bits are cut into radius + k runs; two linked fingerprints agree on at least k runs, so pairs are
+compared only where the values of some k runs are equal: exact, with keys of about 21 bits for k = 2 and more for a larger k, which is chosen by the number of fingerprints. Within a key
 group, bit planes stand vertically in machine words: a plane and the plane shifted by s compare all pairs at
 distance s at once, carry-save counters add the differing bits of 64 pairs a word, and words in
 which every pair is beyond the radius are abandoned between runs of planes.
@@ -199,13 +199,26 @@ def _compare(radius: int):
     return in_cells(lambda t, group: spanning_links(group, t["fp"].to_numpy().view(np.uint64), radius))
 
 
-def near_links(prints: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
+def runs_of(prints: int, radius: int) -> tuple[int, int]:
+    """Runs to cut the bits into and how many of them make a key, so that keys tell about as many values apart as there are fingerprints."""
+    agree = 2
+    while agree < 5 and 1 << 64 * agree // (radius + agree) < prints / 4:
+        agree += 1
+    return radius + agree, agree
+
+
+def near_links(prints: DataFrame, radius: int = 4, tile: int = 4096, agree: int | None = None) -> DataFrame:
     """(u, v): a forest that spans the links among distinct fingerprints (fp)."""
-    runs = radius + 2
+    runs, agree = (radius + agree, agree) if agree else runs_of(prints.count(), radius)
     cuts = [64 * i // runs for i in range(runs + 1)]
     piece = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
     most = max(b - a for a, b in zip(cuts, cuts[1:]))
-    keys = [F.lit(n).cast("long") * (1 << 2 * most) + piece[a] * (1 << most) + piece[b] for n, (a, b) in enumerate(combinations(range(runs), 2))]
+    keys = []
+    for n, chosen in enumerate(combinations(range(runs), agree)):
+        key = F.lit(n).cast("long")
+        for c in chosen:
+            key = key * (1 << most) + piece[c]
+        keys.append(key)
     keyed = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).alias("tiles"))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles"))

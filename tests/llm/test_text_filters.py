@@ -100,13 +100,17 @@ def test_links_with_tiles(spark):
     fp = np.unique(np.concatenate([base, base ^ np.uint64(6), crowd]))
     want = union(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 4])
     at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
-    for tile in (16, 4096):
-        edges = simhash.near_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), tile=tile).collect()
+    assert [simhash.runs_of(n, 4) for n in (0, 10**6, 10**9, 10**12)] == [(6, 2), (6, 2), (8, 4), (9, 5)]
+    for tile, agree in ((16, None), (4096, 3), (4096, 4)):
+        edges = simhash.near_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), tile=tile, agree=agree).collect()
         assert union(len(fp), [(at[e.u], at[e.v]) for e in edges]) == want
         assert all(len({want[at[e.u]], want[at[e.v]]}) == 1 for e in edges)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hubs", [100_000, 1])
+def test_components(spark, hubs, monkeypatch):
+    monkeypatch.setattr(components, "HUBS", hubs)
+    monkeypatch.setattr(components, "SMALLEST_HUB", 5000 if hubs > 1 else 3)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7)]
     want = union(600, edges)
