@@ -109,19 +109,20 @@ def read_jsf(spark: SparkSession, path: str, traces: bool = True) -> DataFrame:
     return rows_of_files(spark, path, SCHEMA, lambda name, raw: file_rows(name, raw, traces))
 
 
+def _rows_at(name: str, raw: bytes, offsets: list[int]) -> Iterator[dict]:
+    for offset in offsets:
+        if 0 <= offset <= len(raw) - HEADER.size and struct.unpack_from("<H", raw, offset)[0] == MARKER:
+            found = next(messages(memoryview(raw)[offset:]), None)
+            if found and found[1] == SONAR and (row := sonar_row(found[4])):
+                yield {"path": name, "offset": offset, "subsystem": found[2], "channel": found[3]} | row
+
+
 def pings_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """The sonar messages that begin at given places: ``wanted`` holds path and offset. A place where none begins gives no row."""
     places = wanted.groupBy("path").agg(F.array_sort(F.collect_set(F.col("offset").cast("long"))).alias("offsets"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").join(places, "path")
-
-    def rows(name: str, raw: bytes, offsets: list[int]) -> Iterator[dict]:
-        for offset in offsets:
-            if 0 <= offset <= len(raw) - HEADER.size and struct.unpack_from("<H", raw, offset)[0] == MARKER:
-                found = next(messages(memoryview(raw)[offset:]), None)
-                if found and found[1] == SONAR and (row := sonar_row(found[4])):
-                    yield {"path": name, "offset": offset, "subsystem": found[2], "channel": found[3]} | row
-
-    return rows_of(files, SCHEMA, lambda batch: ((n, c.as_py(), o) for n, c, o in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("offsets").to_pylist(), strict=True)), rows)
+    items = lambda batch: ((n, c.as_py(), o) for n, c, o in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("offsets").to_pylist(), strict=True))
+    return rows_of(files, SCHEMA, items, _rows_at)
 
 
 def ping_index(rows: DataFrame) -> DataFrame:
