@@ -31,9 +31,14 @@ def import_grid(pixels: DataFrame, epsg: int, zoom: int, pixel_x: float, pixel_y
 
 
 def statistics(cells: DataFrame) -> DataFrame:
-    """One row: least, greatest and number of cells, and the 2nd and 98th percentiles by nearest rank."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return cells.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("filled"), rank(0.02).alias("p2"), rank(0.98).alias("p98"))
+    """One row: least, greatest and number of cells, and the 2nd and 98th percentiles: the cells at the rounded places (n - 1) * p in order."""
+    n = cells.where("value is not null").count()
+
+    def ranked(p: float):
+        place = int((n - 1) * p + 0.5)
+        return F.expr(f"percentile_disc({(place + 0.5) / max(n, 1)!r}D) within group (order by value)")
+
+    return cells.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("filled"), ranked(0.02).alias("p2"), ranked(0.98).alias("p98"))
 
 
 def codes(cells: DataFrame) -> DataFrame:

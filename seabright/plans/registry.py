@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seabright.plans import image_views, survey_views  # noqa: F401 - image_views registers its queries there
+from seabright.plans import catalogue_views, image_views, survey_views  # noqa: F401 - the first two register their queries with the last
 
 FLAGSHIP = "band_summary"
 
