@@ -327,7 +327,7 @@ def test_viterbi_is_the_best_path():
     tagger = pii_tagger.Tagger(hidden=2, seed=3)
     tagger.p["t"] = np.random.default_rng(1).normal(size=tagger.p["t"].shape)
     x = np.array([[1, 28, 29, 5]], np.uint8)
-    e = tagger.emissions(x)[:, 0]
+    e = tagger.emissions(x)[:, :, 0]
     best = max(product(range(pii_tagger.TAGS), repeat=4), key=lambda p: sum(e[i, t] for i, t in enumerate(p)) + sum(tagger.p["t"][a, b] for a, b in zip(p, p[1:])))
     assert tagger.decode(x)[0].tolist() == list(best)
 
@@ -409,7 +409,8 @@ def test_decoding_leaves_out_only_windows_without_spans():
     tagger = pii_tagger.fitted()
     examples = pii_tagger.Examples(5)
     x = np.stack([examples.window(64)[0] for _ in range(200)])
-    e, step = tagger.emissions(x), tagger.fast["t"]
+    scores = tagger.emissions(x)
+    e, step = scores.transpose(0, 2, 1), tagger.fast["t"]
     score, back = e[0], []
     for t in range(1, len(e)):
         ways = score[:, :, None] + step[None]
