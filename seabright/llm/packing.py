@@ -49,7 +49,7 @@ class ChunkEncoder:
 
     _of: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str, cache_entries: int = 100_000):
+    def __init__(self, path: str, cache_entries: int = 50_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

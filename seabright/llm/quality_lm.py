@@ -168,10 +168,14 @@ def _blocks(batches, most: int) -> Iterator[tuple[int, pa.Table, list[str], int]
     sizes = {0: 0, 1: 0}
 
     def block(fold: int):
-        rows = pa.Table.from_batches(held[fold]).combine_chunks()
+        rows = pa.Table.from_batches(held[fold])
         held[fold], sizes[fold] = [], 0
         texts = [t or "" for t in pc.struct_field(rows["row"], "text").to_pylist()]
-        number = xxhash.xxh64_intdigest("\0".join(texts).encode("utf-8", "surrogatepass"), 1 + fold)
+        digest = xxhash.xxh64(seed=1 + fold)
+        for t in texts:
+            digest.update(t.encode("utf-8", "surrogatepass"))
+            digest.update(b"\0")
+        number = digest.intdigest()
         return 1 - fold, rows, texts, number - (number >> 63 << 64)
 
     for batch in batches:
