@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.llm import byte_bpe, chat_log, cross_polytope, packing, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
+from seabright.llm import byte_bpe, chat_log, cross_polytope, filter_audit, packing, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
 from seabright.llm.common import table
 
 RULES = [
@@ -91,7 +91,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii, op11_filter_audit)}
 
 _PARSED = """
     select page_id, url,
@@ -169,5 +173,35 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
     cast(sum(size) as bigint) as formatted_chars
 from x group by conv_id
+""",
+    "op11_filter_audit": r"""
+with docs as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), marks as (
+    select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+        coalesce(doc_id > min(doc_id) over (partition by text), false) as e from docs
+), lost as (
+    select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by 1
+), masks as (
+    select part, (case when a then 'A' else '' end) || (case when b then 'B' else '' end) || (case when c then 'C' else '' end) || (case when d then 'D' else '' end) || (case when e then 'E' else '' end) as failed,
+        count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+    from marks left join lost using (doc_id) group by 1, 2
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+listed as (
+    select p.x || q.x || r.x || s.x || t.x as filter_order from letters p, letters q, letters r, letters s, letters t
+    where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps as (
+    select filter_order, step, filter_order[step] as letter, substr(filter_order, 1, step - 1) as earlier from listed, (select unnest([1, 2, 3, 4, 5]) as step)
+), states as (
+    select part, filter_order, step, letter, failed, n, good, toxic, contains(failed, letter) as fails, translate(failed, earlier, '') <> failed as gone from masks, steps
+), counted as (
+    select part, filter_order, step, letter,
+        cast(coalesce(sum(n) filter (not fails and not gone), 0) as bigint) as kept, cast(coalesce(sum(n) filter (fails and not gone), 0) as bigint) as removed,
+        cast(coalesce(sum(n) filter (fails and gone), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (failed = letter), 0) as bigint) as unique_fails,
+        cast(coalesce(sum(good) filter (fails and not gone), 0) as bigint) as good_lost, cast(coalesce(sum(toxic) filter (fails and not gone), 0) as bigint) as toxic_lost
+    from states group by 1, 2, 3, 4
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from counted
 """,
 }
