@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.llm import byte_bpe, chat_log, cross_polytope, filter_audit, packing, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
+from seabright.llm import byte_bpe, chat_log, cross_polytope, filter_audit, packing, periodic_runs, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
 from seabright.llm.common import table
 
 RULES = [
@@ -95,7 +95,25 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii, op11_filter_audit)}
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where of every tenth document by the checksum of its id the words from some place on repeat those that follow it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    bare = F.btrim("text", F.lit(filter_audit.SPACES))
+    words = rows.withColumn("words", F.when((F.col("h") % 10 == 0) & (bare != ""), F.split(bare, "[\\x20\\x09-\\x0D]+")))
+    n = F.size("words").cast("long")
+    placed = words.withColumn("a", F.col("g") % n).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    index = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    repeated = F.array_join(F.transform("words", lambda w, i: F.get("words", index(i))), " ")
+    return placed.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(repeated).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii, op11_filter_audit, op12_periodic_runs)}
 
 _PARSED = """
     select page_id, url,
@@ -203,5 +221,37 @@ listed as (
     from states group by 1, 2, 3, 4
 )
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from counted
+""",
+    "op12_periodic_runs": r"""
+with docs as (
+    select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+            lambda crc, c: list_reduce(list_prepend(xor(crc, c), cast(range(8) as bigint[])), lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295) as h
+    from documents
+), placed as (
+    select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from docs
+), shaped as (
+    select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from placed
+), texts as (
+    select row_id, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) end as w from shaped
+), words as (select row_id, n, unnest(range(n)) as i, unnest(w) as word from texts),
+equal as (
+    select l.row_id, l.i, r.i - l.i as q from words l join words r on l.row_id = r.row_id and l.word = r.word and r.i > l.i and 4 * (r.i - l.i) <= l.n
+), islands as (
+    select row_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by row_id, q order by i) as island from equal) group by row_id, q, island
+), runs as (
+    select row_id, start, length, min(q) as period from islands where length >= greatest(6, 4 * q) group by row_id, start, length
+), best as (
+    select * from runs qualify row_number() over (partition by row_id order by length desc, start, period) = 1
+), listed as (
+    select row_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by row_id
+), dropped as (
+    select distinct row_id, unnest(range(start + period, start + length)) as i from runs
+), kept as (
+    select row_id, string_agg(word, ' ' order by i) as collapsed from words anti join dropped using (row_id, i) group by row_id
+)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, cast((1000 * length) // period as bigint) as exponent_milli,
+    sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from texts t left join best using (row_id) left join listed using (row_id) left join kept using (row_id)
 """,
 }
