@@ -19,6 +19,7 @@ are compared like others and come last where one row of a component is kept. Ver
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,14 @@ RADIUS, SMALL = 44, 32
 AT_ONCE = 4_000_000
 
 
+class Sketch(NamedTuple):
+    """Words of 64 bits that tell how alike two sets are: none of more than ``radius`` differing bits are compared further (None: all are), but those of sets below ``small``."""
+
+    columns: list[str]
+    radius: int | None
+    small: int
+
+
 def shingle_set(text: str, words: int, seed: int) -> np.ndarray:
     """The distinct shingles' hashes, in order."""
     parts = list(shingle_hashes(text, words, seed))
@@ -107,12 +116,15 @@ def _marked(docs: DataFrame, common: np.ndarray, words: int, seed: int, least: f
     return rows.mapInArrow(run, "row long, doc_id long, node long, size long, left long, right long, prefix array<long>")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sizes and fingerprints let them be similar enough."""
-    rows = pairs.join(nodes.toDF("u", "size_u", "left_u", "right_u"), "u").join(nodes.toDF("v", "size_v", "left_v", "right_v"), "v")
-    sizes = F.least("size_u", "size_v") >= least * F.greatest("size_u", "size_v") - SLACK
-    differ = F.bit_count(F.col("left_u").bitwiseXOR(F.col("left_v"))) + F.bit_count(F.col("right_u").bitwiseXOR(F.col("right_v")))
-    return rows.where(sizes & ((F.least("size_u", "size_v") < SMALL) | (differ <= RADIUS))).select("u", "v")
+def _alike(pairs: DataFrame, nodes: DataFrame, sketch: Sketch, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sizes and sketches let them be similar enough."""
+    named = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in sketch.columns))
+    rows = pairs.join(named("u"), "u").join(named("v"), "v")
+    fits = F.least("size_u", "size_v") >= least * F.greatest("size_u", "size_v") - SLACK
+    if sketch.radius is not None:
+        differ = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in sketch.columns), F.lit(0))
+        fits = fits & ((F.least("size_u", "size_v") < sketch.small) | (differ <= sketch.radius))
+    return rows.where(fits).select("u", "v")
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -135,8 +147,8 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return apart[np.array(used, np.int64)]
 
 
-def _kin(least: float):
-    """For ``in_cells``: pairs of roots that may be linked, a forest in each cell; fingerprints are compared bit-sliced."""
+def _kin(least: float, sketch: Sketch):
+    """For ``in_cells``: pairs of roots that may be linked, a forest in each cell; sketches are compared bit-sliced."""
 
     def links(t: pa.Table, group: np.ndarray):
         size, root = t["size"].to_numpy(), t["root"].to_numpy()
@@ -144,10 +156,10 @@ def _kin(least: float):
         sizes = np.diff(np.append(edge, len(group)))
         begin = np.cumsum(sizes) - sizes
         ahead = np.repeat(edge + sizes, sizes) - np.arange(len(group)) - 1
-        planes = BitPlanes(np.stack([t["left"].to_numpy(), t["right"].to_numpy()], axis=1).view(np.uint64))
+        planes = BitPlanes(np.stack([t[c].to_numpy() for c in sketch.columns], axis=1).view(np.uint64))
         _, label = np.unique(np.stack([group, root]), axis=1, return_inverse=True)
         label = label.ravel()
-        us, vs, small, shift = [root[:0]], [root[:0]], size < SMALL, 1
+        us, vs, small, shift = [root[:0]], [root[:0]], (size < sketch.small) | (sketch.radius is None), 1
         while True:
             whole = np.maximum.reduceat(label, begin) == np.minimum.reduceat(label, begin)
             ahead[np.repeat(whole, sizes)] = 0  # such cells are one family already
@@ -160,7 +172,7 @@ def _kin(least: float):
             tiny = small[at] | small[to]
             ask = np.zeros(len(root), bool)
             ask[at[~tiny]] = True
-            at = np.concatenate([at[tiny], planes.near(shift, ask, RADIUS)])
+            at = np.concatenate([at[tiny], planes.near(shift, ask, sketch.radius) if ask.any() else at[:0]])
             at = at[_merge(label, at, at + shift)]
             us.append(root[at])
             vs.append(root[at + shift])
@@ -217,7 +229,7 @@ def _across_roots(docs: DataFrame, marked: DataFrame, rooted: DataFrame, kin: Da
     members = materialize(rooted.select("node", "root").distinct().join(family, "root"), "families")
     counts = members.groupBy("family", "root").agg(F.count("*").alias("n"))
     small = F.when(F.col("n") <= tile, F.col("n")).otherwise(0)
-    counts = counts.withColumn("rest", F.sum(small).over(Window.partitionBy("family")))
+    counts = counts.join(counts.groupBy("family").agg(F.sum(small).alias("rest")), "family")
     counts = counts.select("root", F.col("n") > tile, F.ceil(F.greatest(F.when(F.col("n") > tile, F.col("n")).otherwise(F.col("rest")), F.lit(1)) / tile)).toDF("root", "large", "tiles")
     cut = F.when(F.col("large"), F.xxhash64(F.col("root"), F.pmod(F.xxhash64("node"), F.col("tiles")))).otherwise(F.pmod(F.xxhash64("root"), F.col("tiles")))
     members = materialize(members.join(counts, "root").select("node", "root", "family", cut.alias("tile")), "tiles")
@@ -271,28 +283,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, seed: int, least:
     return left.join(second, "v").join(first, ["u", "part"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least: float = 0.8, tile: int = 4096) -> DataFrame:
-    """row, doc_id, component of every document: components of the links of Jaccard similarity ``least`` or more."""
-    marked = materialize(_marked(docs, common_shingles(docs, words, seed), words, seed, least), "shingle-sets")
-    nodes = materialize(marked.select("node", "size", "left", "right").dropDuplicates(["node"]), "nodes")
-    heads = marked.select("node", "prefix").dropDuplicates(["node"])
-    meeting = Window.partitionBy("key")
-    met = heads.select("node", F.explode("prefix").alias("key")).withColumns({"n": F.count("*").over(meeting), "first": F.min("node").over(meeting)})
-    met = materialize(met.where("n > 1"), "meetings")
+def meetings(points: DataFrame) -> DataFrame:
+    """(key, node, n, first) of the points (node, key) whose key more than one node has: their number and the least node."""
+    counts = materialize(points.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "meeting-points")
+    return materialize(points.join(counts, "key"), "meetings")  # both sides are shuffled as they are, so Spark splits a hot key
+
+
+def linked_components(docs: DataFrame, marked: DataFrame, nodes: DataFrame, met: DataFrame, sketch: Sketch, words: int, seed: int, least: float, tile: int) -> DataFrame:
+    """(node, root) of the nodes that have links: nodes (node, size and the sketch's columns) which meet in ``met`` are linked if their sets are similar enough. ``marked`` has a row of ``docs`` for each node."""
     star = met.where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    star = materialize(_alike(star, nodes, least), "pairs")
+    star = materialize(_alike(star, nodes, sketch, least), "pairs")
     links = materialize(_verified(star, _texts(docs, marked, star.select(F.explode(F.array("u", "v")).alias("node"))), words, seed, least), "links")
     rooted = met.join(connected_components(links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted-meetings")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     own, other = F.pmod(F.xxhash64("node"), F.col("tiles")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    held = ["node", "size", *sketch.columns, "root"]
     cells = rooted.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("tiles", F.ceil(F.col("n") / tile))
-    cells = cells.select("key", "node", "size", "left", "right", "root", "tiles", own.alias("own"), other.alias("other"))
-    cells = cells.select("key", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("cell"), "node", "size", "left", "right", "root")
+    cells = cells.select("key", *held, "tiles", own.alias("own"), other.alias("other"))
+    cells = cells.select("key", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("cell"), *held)
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
-    kin = materialize(dealt.mapInArrow(in_cells(_kin(least)), "u long, v long").distinct(), "kin")
+    kin = materialize(dealt.mapInArrow(in_cells(_kin(least, sketch)), "u long, v long").distinct(), "kin")
     links = links.unionByName(materialize(_across_roots(docs, marked, rooted, kin, words, seed, least, max(1, tile // 4)), "links"))
-    roots = connected_components(links)
+    return connected_components(links)
+
+
+def near_copy_components(docs: DataFrame, words: int = 5, seed: int = 42, least: float = 0.8, tile: int = 4096, radius: int | None = RADIUS) -> DataFrame:
+    """row, doc_id, component of every document: components of the links of Jaccard similarity ``least`` or more. ``radius=None`` compares all that meet by their sets."""
+    marked = materialize(_marked(docs, common_shingles(docs, words, seed), words, seed, least), "shingle-sets")
+    nodes = materialize(marked.select("node", "size", "left", "right").dropDuplicates(["node"]), "nodes")
+    heads = marked.select("node", "prefix").dropDuplicates(["node"])
+    met = meetings(heads.select("node", F.explode("prefix").alias("key")))
+    roots = linked_components(docs, marked, nodes, met, Sketch(["left", "right"], radius, SMALL), words, seed, least, tile)
     return marked.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("component"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.llm import byte_bpe, chat_log, cross_polytope, filter_audit, packing, periodic_runs, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
+from seabright.llm import byte_bpe, chat_log, cross_polytope, filter_audit, minmax, packing, periodic_runs, pii, quality_lm, simhash, token_counts, topk_threshold, url_reputation
 from seabright.llm.common import table
 
 RULES = [
@@ -113,7 +113,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii, op11_filter_audit, op12_periodic_runs)}
+def op13_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.minmax_components(table(spark, sf_dir, "documents"), words=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_threshold_top_k, op3_pack_powers_of_two, op4_count_tokens, op5_kneser_ney_quality, op6_cross_polytope, op7_simhash, op8_chat_log, op9_byte_bpe, op10_pii, op11_filter_audit, op12_periodic_runs, op13_minmax_hashing)}
 
 _PARSED = """
     select page_id, url,
@@ -253,5 +257,24 @@ equal as (
 select t.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, cast((1000 * length) // period as bigint) as exponent_milli,
     sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
 from texts t left join best using (row_id) left join listed using (row_id) left join kept using (row_id)
+""",
+    "op13_minmax_hashing": r"""
+with recursive docs as (
+    select row_number() over () as row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+    select row_id, doc_id, list_distinct(case when len(w) = 1 then w when len(w) = 0 then [] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from docs
+), held as (
+    select row_id, unnest(s) as shingle, len(s) as n from sets
+), pairs as (
+    select l.row_id as u, r.row_id as v from held l join held r on l.shingle = r.shingle and l.row_id < r.row_id and 5 * l.n >= 4 * r.n and 5 * r.n >= 4 * l.n
+    group by l.row_id, r.row_id, l.n, r.n having 100 * count(*) >= 80 * (l.n + r.n - count(*))
+), ways as (
+    select u, v from pairs union all select v, u from pairs
+), reached(u, v) as (
+    select row_id, row_id from sets union select reached.u, ways.v from reached join ways on reached.v = ways.u
+), named as (
+    select u, min(doc_id) as component_id from reached join sets on reached.v = sets.row_id group by u
+)
+select doc_id, len(s) as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept from sets join named on row_id = u
 """,
 }
