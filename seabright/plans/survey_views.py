@@ -205,14 +205,18 @@ def row_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {v.PINGS}, b as (select * from (values (20, 100000::double), (21, 300000::double), (22, 0::double)) t(subsystem, recorded)), o as (select * from (values (0, 455360::double), (1, 755360::double), (2, 300500::double)) t(place, hz)),
-m as (select subsystem, recorded, place, hz from b left join o on recorded > 0 and hz >= recorded - 25000 and abs(hz - recorded - round((hz - recorded) / 655360) * 655360) <= 25000)
-select subsystem, recorded, coalesce(arg_min(hz, place), recorded) as centre from m group by subsystem, recorded
+with {v.PINGS}, b as (select dataset, subsystem, max((f0 + f1) / 2) filter (f0 > 0) as recorded from v_pings group by 1, 2),
+o as (select p_partkey % 100 as dataset, p_partkey as place, 300000 + (p_partkey * 7919 % 2000000)::double as hz from part),
+m as (select b.dataset, subsystem, recorded, place, round((hz - recorded) / 655360) as turns from b join o on b.dataset = o.dataset and recorded > 0 and hz >= recorded - 25000 and abs(hz - recorded - round((hz - recorded) / 655360) * 655360) <= 25000),
+f as (select dataset, subsystem, arg_min(turns, place) as turns from m group by 1, 2)
+select b.dataset, b.subsystem, recorded, recorded + coalesce(turns, 0) * 655360::double as centre from b left join f using (dataset, subsystem)
 """)
 def recovered_band_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.createDataFrame([(20, 100000.0), (21, 300000.0), (22, 0.0)], "subsystem int, recorded double")
-    o = spark.createDataFrame([(0, 455360.0), (1, 755360.0), (2, 300500.0)], "place int, hz double")
-    return pings.recover_band_centres(b, o)
+    p = v.pings(spark, sf_dir)
+    b = p.groupBy("dataset", "subsystem").agg(F.max(F.when(F.col("f0") > 0, (F.col("f0") + F.col("f1")) / 2)).alias("recorded"))
+    k = F.col("p_partkey")
+    o = v.table(spark, sf_dir, "part").select((k % 100).alias("dataset"), k.alias("place"), (300000 + (k * 7919 % 2000000)).cast("double").alias("hz"))
+    return pings.recover_band_centres(b, o, "dataset")
 
 
 @query("""

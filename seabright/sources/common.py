@@ -12,9 +12,14 @@ from pyspark.sql import types as T
 ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a Spark schema in words."""
+    return pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema)])
+
+
 def rows_of(frame: DataFrame, schema: str, items: Callable[[pa.RecordBatch], Iterator[tuple]], rows: Callable[..., Iterator[dict]], at_once: int = 500) -> DataFrame:
     """A frame of the rows that ``rows(*item)`` yields for each item of each batch of ``frame``; missing fields are null."""
-    fields = pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema)])
+    fields = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:

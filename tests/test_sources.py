@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from seabright.sources import geotiff, gpx, jsf, xtf
+from seabright.sources import geotiff, gpx, jsf, ranged, xtf
 
 
 def jsf_message(kind, body, subsystem=20, channel=0):
@@ -34,29 +34,121 @@ def test_jsf(spark, tmp_path):
     assert jsf.samples(memoryview(np.array([3, 4], "<i2").tobytes()), 1, 0, 1).tolist() == [5]
 
 
-def test_xtf(spark, tmp_path):
-    head = bytearray(1024)
+def xtf_file(names=2, pings=1, samples=3, pad=b""):
+    head = bytearray(1024 + max(0, names - 6) * 128)
     head[0] = 0x7B
-    struct.pack_into("<2H", head, 166, 2, 0)
-    for i in range(2):
+    struct.pack_into("<2H", head, 166, names, 0)
+    for i in range(names):
         struct.pack_into("<H", head, 256 + 128 * i + 6, 2)
-        struct.pack_into("<f", head, 256 + 128 * i + 36, 600.0)
-    ping = bytearray(256)
-    body = b""
-    for number in range(2):
-        sub = bytearray(64)
-        struct.pack_into("<H", sub, 0, number)
-        struct.pack_into("<f", sub, 4, 75.0)
-        struct.pack_into("<I", sub, 42, 3)
-        body += bytes(sub) + np.array([1, 2, 3], "<u2").tobytes()
-    struct.pack_into("<HBBH", ping, 0, 0xFACE, 0, 0, 2)
-    struct.pack_into("<I", ping, 10, 256 + len(body))
-    struct.pack_into("<H6B", ping, 14, 2023, 11, 14, 22, 13, 20, 50)
-    struct.pack_into("<2d", ping, 160, 52.5, 4.02)
-    (tmp_path / "a.xtf").write_bytes(bytes(head) + b"pad" + bytes(ping) + body + b"\xce\xfa")
+        head[256 + 128 * i + 12 : 256 + 128 * i + 16] = b"ch%02d" % i
+        struct.pack_into("<f", head, 256 + 128 * i + 32, 600.0 if i < 2 else 900_000.0)
+    out = bytes(head) + pad
+    for k in range(pings):
+        ping, body = bytearray(256), b""
+        for number in range(names):
+            sub = bytearray(64)
+            struct.pack_into("<H", sub, 2, number)
+            struct.pack_into("<I", sub, 8, samples)
+            struct.pack_into("<f", sub, 40, 75.0)
+            body += bytes(sub) + (np.arange(1, samples + 1) + k).astype("<u2").tobytes()
+        struct.pack_into("<HBB", ping, 0, 0xFACE, 0, 0)
+        ping[9] = names
+        struct.pack_into("<I", ping, 10, 256 + len(body))
+        struct.pack_into("<H6B", ping, 14, 2023, 11, 14, 22, 13, 20 + k % 30, 50)
+        struct.pack_into("<I", ping, 28, k)
+        struct.pack_into("<2d", ping, 52, 4.02, 52.5)
+        struct.pack_into("<f", ping, 88, 90.0)
+        struct.pack_into("<f", ping, 100, 8.5)
+        out += bytes(ping) + body
+    return out
+
+
+def test_xtf(spark, tmp_path):
+    (tmp_path / "a.xtf").write_bytes(xtf_file(pad=b"pad") + b"\xce\xfa")
     got = xtf.read_xtf(spark, str(tmp_path / "a.xtf")).orderBy("channel").collect()
-    assert [(r.subsystem, r.channel, r.data) for r in got] == [(20, 0, [1, 2, 3]), (20, 1, [1, 2, 3])]
-    assert got[0].time == 1_700_000_000.5 and got[0].frequency_hz == 600_000 and got[0].lat == 52.5
+    assert [(r.subsystem, r.channel, r.data, r.name) for r in got] == [(20, 0, [1, 2, 3], "ch00"), (20, 1, [1, 2, 3], "ch01")]
+    assert got[0].time == 1_700_000_000.5 and got[0].frequency_hz == 600_000 and (got[0].lat, got[0].lon, got[0].heading, got[0].altitude) == (52.5, 4.02, 90, 8.5)
+    index = jsf.ping_index(xtf.index_rows(xtf.read_xtf(spark, str(tmp_path), traces=False))).orderBy("rec_id").collect()
+    assert [(r.rec_id, r.channel, r.validity, r.interval_ns, r.nsamples) for r in index] == [(0, 0, 73, 33_333_333, 3), (1, 1, 73, 33_333_333, 3)]
+    assert xtf.packet_time(struct.pack("<H6B", 2023, 13, 1, 0, 0, 0, 0), 0) != xtf.packet_time(struct.pack("<H6B", 2023, 13, 1, 0, 0, 0, 0), 0)
+
+
+def test_xtf_with_many_channels_and_a_short_last_packet(spark, tmp_path):
+    (tmp_path / "line").mkdir()
+    (tmp_path / "line" / "a.XTF").write_bytes(xtf_file(names=8, pings=40, samples=50)[:-7])
+    rows = xtf.read_xtf(spark, str(tmp_path))
+    assert rows.count() == 39 * 8 and rows.where("number = 7").first().frequency_hz == 900_000
+    small = xtf.read_xtf(spark, str(tmp_path), size=3000)
+    assert small.exceptAll(rows).count() == rows.exceptAll(small).count() == 0
+    bands = spark.createDataFrame([("line", 20, 900_000.0 - 655_360), ("line", 21, 5.0), ("other", 20, 244_640.0)], "dataset string, subsystem int, recorded double")
+    assert sorted((r.dataset, r.subsystem, r.centre) for r in xtf.scan_bands(spark, str(tmp_path), bands).collect()) == [("line", 20, 900_000.0), ("line", 21, 5.0), ("other", 20, 244_640.0)]
+
+
+def plain_offsets(raw):
+    """Offsets of all messages by one walk, and the place where sync was lost."""
+    at, out = 0, []
+    while at + 16 <= len(raw):
+        if raw[at : at + 2] != b"\x01\x16":
+            return out, at
+        size = struct.unpack_from("<I", raw, at + 12)[0]
+        if at + 16 + size > len(raw):
+            break
+        out.append(at)
+        at += 16 + size
+    return out, None
+
+
+@pytest.mark.parametrize("tail", [b"", b"no header here at all", jsf_message(80, sonar_body([1]))[:200]])
+def test_ranges_of_a_recording_are_one_walk(spark, tmp_path, tail):
+    """Whatever the size of ranges, and with headers hidden in samples."""
+    hidden = np.frombuffer(b"".join(jsf_message(80, bytes(240)) for _ in range(9)), "<i2")
+    rng = np.random.default_rng(4)
+    bodies = [hidden if k % 5 == 2 else rng.integers(-9, 9, rng.integers(1, 400)) for k in range(60)]
+    raw = b"".join(jsf_message(80, sonar_body(b), 20 + k % 2, k % 2) for k, b in enumerate(bodies)) + tail
+    (tmp_path / "a.jsf").write_bytes(raw + (jsf_message(80, sonar_body([5])) * 20 if tail.startswith(b"no") else b""))
+    want, lost = plain_offsets((tmp_path / "a.jsf").read_bytes())
+    for size in (700, 4096, 1 << 26):
+        got = jsf.read_jsf(spark, str(tmp_path), size=size).collect()
+        assert sorted(r.offset for r in got if r.warning is None) == want
+        assert [r.warning for r in got if r.warning] == ([] if lost is None else [f"lost sync at byte {lost}"])
+
+
+def test_a_recording_of_three_gigabytes_is_read_by_many_tasks(spark, tmp_path):
+    """Large padding between pings, as a file with holes; headers alone are fetched, and the places asked for."""
+    from pyspark.sql import functions as F
+
+    path, places, at = tmp_path / "a.jsf", [], 0
+    ping = jsf_message(80, sonar_body([2, 4, 6] * 1000))
+    with path.open("wb") as f:
+        for k in range(48):
+            for _ in range(3):
+                f.seek(at)
+                f.write(ping)
+                places.append(at)
+                at += len(ping)
+            f.seek(at)
+            f.write(struct.pack("<HBBHBBBBHI", 0x1601, 1, 0, 428, 0, 0, 0, 0, 0, 64 << 20))
+            at += 16 + (64 << 20)
+        f.seek(at)
+        f.write(ping)
+        places.append(at)
+    assert path.stat().st_size > 3 << 30
+    rows = jsf.read_jsf(spark, str(path), traces=False).withColumn("task", F.spark_partition_id())
+    got = rows.select("offset", "task", "data").collect()
+    assert sorted(r.offset for r in got) == places and len({r.task for r in got}) > 4 and all(r.data is None for r in got)
+    file = ranged.Ranged(str(path))
+    assert len(list(jsf.span_rows("a", file, 0, file.length, jsf.Wanted(traces=False)))) == len(places)
+    assert file.fetched < len(places) * 300 + 48 * 16 + 16
+    file = ranged.Ranged(str(path))
+    assert not list(jsf.span_rows("a", file, 0, file.length, jsf.Wanted(subsystems=(21,)))) and file.fetched == (len(places) + 48) * 16
+    file = ranged.Ranged(str(path))
+    assert not list(jsf.span_rows("a", file, 0, file.length, jsf.Wanted(until=1_700_000_000.0))) and file.fetched < len(places) * 300 + 48 * 16 + 16
+    file = ranged.Ranged(str(path))
+    assert [r["data"][:3].tolist() for o in places[-2:] for r in jsf.ping_at("a", file, o)] == [[1, 2, 3]] * 2 and file.fetched == 2 * len(ping)
+    name = f"file:{path}"
+    wanted = spark.createDataFrame([(name, o) for o in (places[0], places[70], places[70], places[-1], 17)] + [("file:/elsewhere.jsf", 0)], "path string, offset long")
+    found = jsf.pings_at(spark, str(path), wanted).collect()
+    assert sorted(r.offset for r in found) == [places[0], places[70], places[-1]] and all(len(r.data) == 3000 for r in found)
 
 
 def test_gpx(spark, tmp_path):
@@ -177,4 +269,4 @@ def test_pings_at_offsets(spark, tmp_path):
     path = jsf.read_jsf(spark, str(tmp_path)).first().path
     wanted = spark.createDataFrame([(path, len(one)), (path, 5), (path, 10**6)], "path string, offset long")
     assert [(r.offset, r.subsystem, r.data) for r in jsf.pings_at(spark, str(tmp_path), wanted).collect()] == [(len(one), 21, [4.0])]
-    assert jsf.index_degrees(31_500_000, 3) == 31.5 and jsf.index_degrees(31_500_000, 1) == 31.5 and jsf.degrees(1, 1) is None
+    assert jsf.index_degrees(31_500_000, 3) == 31.5 and jsf.index_degrees(31_500_000, 1) == 31.5 and np.isnan(jsf.degrees(1, 1))
