@@ -175,35 +175,46 @@ def lzw(data):
     return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
 
 
-def tiff(values, compression=1, predictor=1, order="<", rows=5):
-    h, w = values.shape
+def tiff(values, compression=1, predictor=1, order="<", rows=5, tile=None, photometric=1, palette=None, nodata=None, epsg=32631, scale=(0.5, 0.5), origin=(572000, 5824500)):
+    values = values if values.ndim == 3 else values[:, :, None]
+    h, w, bands = values.shape
     kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
-    strips = []
-    for at in range(0, h, rows):
-        part = values[at : at + rows]
+    size = values.dtype.itemsize
+    if tile:
+        padded = np.zeros((-(-h // tile) * tile, -(-w // tile) * tile, bands), values.dtype)
+        padded[:h, :w] = values
+        parts = [padded[y : y + tile, x : x + tile] for y in range(0, h, tile) for x in range(0, w, tile)]
+    else:
+        parts = [values[at : at + rows] for at in range(0, h, rows)]
+    blocks = []
+    for part in parts:
         if predictor == 2:
             part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(values.dtype)
         data = part.astype(values.dtype.newbyteorder(order)).tobytes()
         if predictor == 3:
-            size = values.dtype.itemsize
-            planes = part.astype(f">f{size}").view(np.uint8).reshape(len(part), w, size).transpose(0, 2, 1).reshape(len(part), -1)
+            planes = part.astype(f">f{size}").view(np.uint8).reshape(len(part), -1, size).transpose(0, 2, 1).reshape(len(part), -1, bands)
             data = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1).astype(np.uint8).tobytes()
-        strips.append({1: lambda d: d, 5: lzw, 8: zlib.compress, 32773: lambda d: b"".join(bytes([len(d[i : i + 100]) - 1]) + d[i : i + 100] for i in range(0, len(d), 100))}[compression](data))
+        blocks.append({1: lambda d: d, 5: lzw, 8: zlib.compress, 32773: lambda d: b"".join(bytes([len(d[i : i + 100]) - 1]) + d[i : i + 100] for i in range(0, len(d), 100))}[compression](data))
     blob, offsets = b"", []
-    for s in strips:
+    for s in blocks:
         offsets.append(8 + len(blob))
         blob += s
-    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [values.dtype.itemsize * 8]), (259, 3, [compression]), (262, 3, [1]), (273, 4, offsets), (277, 3, [1]), (278, 4, [rows]), (279, 4, [len(s) for s in strips]), (317, 3, [predictor]), (339, 3, [kind]), (33550, 12, [0.5, 0.5, 0.0]), (33922, 12, [0.0, 0, 0, 572000, 5824500, 0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32631])]
+    counts = [len(s) for s in blocks]
+    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [size * 8] * bands), (259, 3, [compression]), (262, 3, [photometric]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [kind] * bands)]
+    entries += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, offsets), (325, 4, counts)] if tile else [(273, 4, offsets), (278, 4, [rows]), (279, 4, counts)]
+    entries += [(33550, 12, [*map(float, scale), 0.0]), (33922, 12, [0.0, 0, 0, *map(float, origin), 0]), (34735, 3, [1, 1, 0, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg])]
+    entries += [(320, 3, palette)] if palette else []
+    entries += [(42113, 2, nodata)] if nodata else []
     at = 8 + len(blob)
     extra, body = b"", b""
     base = at + 2 + 12 * len(entries) + 4
-    for tag, t, v in entries:
-        raw = struct.pack(f"{order}{len(v)}" + {3: "H", 4: "I", 12: "d"}[t], *v)
+    for tag, t, v in sorted(entries):
+        raw = v.encode() + b"\0" if t == 2 else struct.pack(f"{order}{len(v)}" + {3: "H", 4: "I", 12: "d"}[t], *v)
         if len(raw) > 4:
             field, extra = struct.pack(order + "I", base + len(extra)), extra + raw
         else:
             field = raw.ljust(4, b"\0")
-        body += struct.pack(order + "HHI", tag, t, len(v)) + field
+        body += struct.pack(order + "HHI", tag, t, len(raw) if t == 2 else len(v)) + field
     return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + blob + struct.pack(order + "H", len(entries)) + body + b"\0" * 4 + extra
 
 
@@ -214,7 +225,73 @@ def test_geotiff(spark, tmp_path, compression, predictor, dtype, order):
     df = geotiff.read_geotiff(spark, str(tmp_path / "a.tif"))
     got = {(r.row, r.col): r for r in df.collect()}
     assert len(got) == values.size and all(r.bands == [float(values[k])] for k, r in got.items())
-    assert (got[0, 0].x, got[0, 0].y) == (572000.25, 5824499.75) and geotiff.GeoTiff((tmp_path / "a.tif").read_bytes()).epsg == 32631
+    assert (got[0, 0].x, got[0, 0].y) == (572000.25, 5824499.75) and geotiff.GeoTiff(ranged.Ranged(str(tmp_path / "a.tif"))).epsg == 32631
+
+
+@pytest.mark.parametrize("tile", [None, 16])
+@pytest.mark.parametrize("compression, predictor, dtype", [(1, 1, "u1"), (5, 3, "f4"), (8, 2, "i2"), (8, 3, "f8"), (32773, 1, "u4")])
+def test_blocks_of_a_grid_have_the_sum_of_its_pixels(spark, tmp_path, monkeypatch, tile, compression, predictor, dtype):
+    """137 by 91 pixels in strips and tiles; a block is a task; blocks beyond the most samples are several rows."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    values = (rng.random((91, 137)) * 250).astype(dtype)
+    (tmp_path / "a.tif").write_bytes(tiff(values, compression, predictor, tile=tile))
+    blocks = geotiff.read_blocks(spark, str(tmp_path / "a.tif")).withColumn("task", F.spark_partition_id()).collect()
+    n = 54 if tile else 19
+    assert len({r.block for r in blocks}) == len({r.task for r in blocks}) == n
+    assert sum(sum(r.samples) for r in blocks) == pytest.approx(float(values.astype("f8").sum()), rel=1e-9)
+    picture = np.zeros(values.shape)
+    for r in blocks:
+        picture[r.row : r.row + r.height, r.col : r.col + r.width] = np.array(r.samples).reshape(r.height, r.width)
+    assert (picture == values).all()
+    head = geotiff.headers(spark, str(tmp_path)).first()
+    assert (head.width, head.height, head.epsg, head.single_band) == (137, 91, 32631, True) and head.description.startswith("137x91 · 1 band · ")
+
+
+def test_a_strip_without_compression_is_read_by_rows(spark, tmp_path, monkeypatch):
+    values = np.arange(4000 * 300, dtype="u2").reshape(4000, 300)
+    (tmp_path / "a.tif").write_bytes(tiff(values, rows=4000, predictor=2))
+    monkeypatch.setattr(geotiff, "MOST_SAMPLES", 90_000)
+    file = ranged.Ranged(str(tmp_path / "a.tif"))
+    t = geotiff.GeoTiff(file)
+    listed = list(t.pieces())
+    assert len(listed) == 14 and file.fetched < 1000
+    col, row, part = t.piece(*listed[-1])
+    assert (row, part.shape) == (3900, (100, 300, 1)) and (part[:, :, 0] == values[3900:]).all() and file.fetched < 70_000
+
+
+def test_colours(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rgba, deep = rng.integers(0, 256, (20, 30, 4)).astype("u1"), rng.integers(0, 65536, (20, 30, 4)).astype("u2")
+    index, share = rng.integers(0, 6, (20, 30)).astype("u1"), rng.random((20, 30, 3)).astype("f4") * 1.2 - 0.1
+    palette = [int(v) for v in rng.integers(0, 65536, 12)]
+    whole = lambda rgb, alpha=None: np.concatenate([rgb, np.full((20, 30, 1), 255, "u1") if alpha is None else alpha], axis=2)
+    mapped = np.array([[palette[i] >> 8, palette[4 + i] >> 8, palette[8 + i] >> 8] for i in range(4)] + [[0, 0, 0]] * 2, "u1")
+    cases = {
+        "rgba": (dict(values=rgba, photometric=2, compression=8, predictor=2), rgba),
+        "deep": (dict(values=deep, photometric=2, tile=16, order=">"), (deep / 65535 * 255).astype("u1")),
+        "palette": (dict(values=index, photometric=3, palette=palette), whole(mapped[index])),
+        "float": (dict(values=share, photometric=2), whole(np.clip(share.astype("f8") * 255, 0, 255).astype("u1"))),
+        "white": (dict(values=index, photometric=0), whole(np.repeat(255 - index[:, :, None], 3, axis=2))),
+    }
+    for name, (made, want) in cases.items():
+        (tmp_path / f"{name}.tif").write_bytes(tiff(**made))
+        picture = np.zeros((20, 30, 4), "u1")
+        for r in geotiff.read_blocks(spark, str(tmp_path / f"{name}.tif"), colours=True).collect():
+            picture[r.row : r.row + r.height, r.col : r.col + r.width] = np.array(r.colours, ">u4").view("u1").reshape(r.height, r.width, 4)
+        assert (picture == want).all(), name
+    seen = geotiff.pixels(geotiff.read_blocks(spark, str(tmp_path / "rgba.tif"), colours=True)).count()
+    assert seen == (rgba[:, :, 3] > 0).sum()
+
+
+def test_pixels_without_data(spark, tmp_path):
+    values = np.array([[1.0, -9999.0, np.nan], [np.inf, 5.0, 6.0]], "f4")
+    (tmp_path / "a.tif").write_bytes(tiff(values, nodata="-9999"))
+    assert sorted((r.row, r.col, r.bands) for r in geotiff.read_geotiff(spark, str(tmp_path)).collect()) == [(0, 0, [1.0]), (1, 1, [5.0]), (1, 2, [6.0])]
+    (tmp_path / "b.tif").write_bytes(b"no tiff at all")
+    with pytest.raises(Exception, match="not a TIFF"):
+        geotiff.headers(spark, str(tmp_path / "b.tif")).collect()
 
 
 def test_lzw_with_a_growing_table():
