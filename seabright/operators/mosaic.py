@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seabright.functions.acoustics import piecewise, shape_priority
 from seabright.functions.arrays import upper_median
+from seabright.operators.quantiles import quantiles
+from seabright.operators.stored import stored
 
 # Priority by angle from nadir, in degrees.
 PRIORITY = {
@@ -91,23 +93,26 @@ def box_stats(cells: DataFrame, radius: int = 2, block: int = 64) -> DataFrame:
 
 def despeckle(cells: DataFrame, strength: float = 1.0, radius: int = 2) -> DataFrame:
     """Lee filter over the covered cells; holes stay holes. The noise level is the tenth percentile of the local variation."""
-    stats = box_stats(cells.select(F.col("gx").cast("long"), F.col("gy").cast("long"), "value"), radius)
-    noise = stats.where("mean > 0 and var > 0").agg(F.percentile(F.sqrt("var") / F.col("mean"), F.lit(0.1)).alias("cu"))
+    stats = stored(box_stats(cells.select(F.col("gx").cast("long"), F.col("gy").cast("long"), "value"), radius), "box-stats")
+    noise = quantiles(stats.where("mean > 0 and var > 0").select((F.sqrt("var") / F.col("mean")).alias("noise")), "noise", {"cu": 0.1})
     k = F.when(F.col("var") > 0, F.least(F.greatest(1 - F.col("cu") * F.col("cu") * F.col("mean") * F.col("mean") / F.col("var"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     lee = F.col("mean") + k * (F.col("value") - F.col("mean"))
     return stats.join(F.broadcast(noise)).select("gx", "gy", (F.col("value") + strength * (F.coalesce(lee, F.col("value")) - F.col("value"))).alias("value"))
 
 
-def equalise(levels: DataFrame, strength: float, reach: int = 20, at_least: int = 5, most: float = 4.0) -> DataFrame:
+def equalise(levels: DataFrame, strength: float, reach: int = 20, at_least: int = 5, most: float = 4.0, sides: dict[str, str] | None = None) -> DataFrame:
     """Along-track gain of each stroke: (local upper median of the positive levels / its own) ** strength; one where it has no level, too few neighbours, or a gain outside sane limits.
 
-    ``levels``: dataset, stroke, level.
+    ``levels``: dataset, stroke and a level for each of ``sides`` (name of the level: name of its gain; level: gain unless told), all of which one pass goes through.
     """
     order = Window.partitionBy("dataset").orderBy("stroke").rowsBetween(-reach, reach)
-    near = F.collect_list(F.when(F.col("level") > 0, F.col("level"))).over(order)
-    gain = F.when(F.col("level") > 0, F.pow(upper_median(F.col("near")) / F.col("level"), F.lit(strength)))
-    rows = levels.withColumn("near", near).withColumn("gain", F.when(F.size("near") >= at_least, gain))
-    return rows.withColumn("gain", F.when(F.col("gain").between(1 / most, most), F.col("gain")).otherwise(F.lit(1.0))).drop("near")
+    sides = sides or {"level": "gain"}
+    near = {f"near_{level}": F.collect_list(F.when(F.col(level) > 0, F.col(level))).over(order) for level in sides}
+    rows = levels.withColumns(near)
+    for level, name in sides.items():
+        gain = F.when((F.col(level) > 0) & (F.size(f"near_{level}") >= at_least), F.pow(upper_median(F.col(f"near_{level}")) / F.col(level), F.lit(strength)))
+        rows = rows.withColumn(name, gain).withColumn(name, F.when(F.col(name).between(1 / most, most), F.col(name)).otherwise(F.lit(1.0)))
+    return rows.drop(*near)
 
 
 def bridge_steps(x0: Column, y0: Column, x1: Column, y1: Column, most: int) -> Column:
@@ -128,78 +133,111 @@ def splat_line(strokes: DataFrame, most: int = 64) -> DataFrame:
     return rows.select(F.floor(mix("x")).alias("gx"), F.floor(mix("y")).alias("gy"), mix("amp").alias("amp"), mix("pri").alias("pri"))
 
 
-def splat_back(strokes: DataFrame, most: int = 16, farthest: float = 12.0, gap: float = 1.0) -> DataFrame:
-    """gx, gy, amp, pri between each stroke and the one painted before it: its samples joined to the earlier stroke at the same distance across.
+FIELDS = ("x", "y", "amp", "pri")
 
-    ``strokes``: dataset, stroke, samples (across, x, y, amp, pri in order across), usable. A stroke that is not usable is not painted and breaks the strip. Nothing is joined outside the earlier
-    stroke, across a gap in it of more than ``gap`` metres, or over more than ``farthest`` pixels.
+
+def _steps(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Points (x, y, amp, pri) at the middles of the steps between points of ``a`` and ``b`` (4 rows each): one a pixel and at most ``most``."""
+    n = np.clip(np.ceil(np.hypot(b[0] - a[0], b[1] - a[1])), 1, most).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    t = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 0.5) / n[of]
+    return a[:, of] + (b - a)[:, of] * t
+
+
+def _before(here: np.ndarray, across: np.ndarray, old: np.ndarray, gap: float) -> np.ndarray:
+    """The earlier stroke's x, y, amp and pri at the distances ``here`` across; not a number outside it and over gaps in it."""
+    if len(across) < 2:
+        return np.full((4, len(here)), np.nan)
+    i = np.searchsorted(across, here)
+    j = np.clip(i, 1, len(across) - 1)
+    share = (here - across[j - 1]) / np.maximum(across[j] - across[j - 1], 1e-9)
+    share[(i == 0) | (i == len(across)) | (across[j] - across[j - 1] > gap)] = np.nan
+    return old[:, j - 1] + (old[:, j] - old[:, j - 1]) * share
+
+
+def stroke_points(across: np.ndarray, now: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None, most: int = 64, most_back: int = 16, farthest: float = 12.0, gap: float = 1.0) -> np.ndarray:
+    """Points (x, y, amp, pri) that a stroke paints: its outermost port sample, which no step leads to, the steps across, and the steps from the stroke before it at the same distances across.
+
+    Nothing is joined outside the earlier stroke, across a gap in it of more than ``gap`` metres, or over more than ``farthest`` pixels.
     """
-    order = Window.partitionBy("dataset").orderBy("stroke")
-    rows = strokes.withColumns({"before": F.lag("samples").over(order), "joins": F.lag("usable").over(order)}).where("usable and joins")
+    points = [now[:, :1], _steps(now[:, :-1], now[:, 1:], most)]
+    if before is not None:
+        back = _before(across, *before, gap)
+        with np.errstate(invalid="ignore"):
+            near = np.hypot(now[0] - back[0], now[1] - back[1]) <= farthest
+        points.append(_steps(back[:, near], now[:, near], most_back))
+    return np.concatenate(points, axis=1)
 
-    fields = ("x", "y", "amp", "pri")
 
-    def back(batches):
-        for part in batches:
-            out = {f: [] for f in fields}
-            for here, across, *old in zip(part["across"], *(part[f"before_{f}"] for f in ("across", *fields)), strict=True):
-                i = np.searchsorted(across, here)
-                j = np.clip(i, 1, max(len(across) - 1, 1))
-                inside = (i > 0) & (i < len(across))
-                if len(across) < 2:
-                    share = before = np.full(len(here), np.nan)
-                else:
-                    share = (here - across[j - 1]) / np.maximum(across[j] - across[j - 1], 1e-9)
-                    share[~inside | (across[j] - across[j - 1] > gap)] = np.nan
-                for f, values in zip(fields, old, strict=True):
-                    before = values[j - 1] + (values[j] - values[j - 1]) * share if len(across) > 1 else share
-                    out[f].append(before)
-            yield part[["samples_id", "samples_key"]].assign(**out)
-
-    given = rows.select("dataset", "stroke", "samples", F.col("samples.across").alias("across"), *(F.col(f"before.{f}").alias(f"before_{f}") for f in ("across", *fields)))
-    kind = strokes.schema["dataset"].dataType.simpleString()
-    found = given.select(F.col("dataset").alias("samples_id"), F.col("stroke").alias("samples_key"), "across", *(f"before_{f}" for f in ("across", *fields)))
-    found = found.mapInPandas(back, f"samples_id {kind}, samples_key long, {', '.join(f'{f} array<double>' for f in fields)}")
-    joined = rows.select("dataset", "stroke", "samples").join(found.toDF("dataset", "stroke", *fields), ["dataset", "stroke"])
-    pairs = joined.select(F.explode(F.arrays_zip(F.col("samples").alias("b"), *fields)).alias("p")).select(F.struct(*(F.col(f"p.{f}") for f in fields)).alias("a"), F.col("p.b").alias("b"))
-    pairs = pairs.where(~F.isnan("a.x"))
-    pairs = pairs.where(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")) <= farthest)
-    pairs = pairs.withColumn("t", F.explode(bridge_steps(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), most)))
-    mix = lambda f: F.col(f"a.{f}") + (F.col(f"b.{f}") - F.col(f"a.{f}")) * F.col("t")
-    return pairs.select(F.floor(mix("x")).alias("gx"), F.floor(mix("y")).alias("gy"), mix("amp").alias("amp"), mix("pri").alias("pri"))
+def cell_sums(points: np.ndarray) -> pd.DataFrame:
+    """gx, gy, sum, wgt, hits of points (x, y, amp, pri); those without amplitude or priority are left out."""
+    points = points[:, (points[3] > 0) & np.isfinite(points[2])]
+    gx, gy = (np.floor(points[k]).astype(np.int64) for k in (0, 1))
+    x0, y0 = gx.min(initial=0), gy.min(initial=0)
+    cells, of = np.unique((gx - x0) * (int(gy.max(initial=0)) - y0 + 1) + gy - y0, return_inverse=True)
+    tall = int(gy.max(initial=0)) - y0 + 1
+    sums = [np.bincount(of, w, len(cells)) for w in (points[2] * points[3], points[3], None)]
+    return pd.DataFrame({"gx": cells // tall + x0, "gy": cells % tall + y0, "sum": sums[0], "wgt": sums[1], "hits": sums[2].astype(np.int64)})
 
 
-def first_samples(strokes: DataFrame) -> DataFrame:
-    """gx, gy, amp, pri of the outermost port sample of each stroke, which no step leads to."""
-    s = F.get("samples", F.lit(0))
-    return strokes.where("size(samples) > 0").select(F.floor(s["x"]).alias("gx"), F.floor(s["y"]).alias("gy"), s["amp"].alias("amp"), s["pri"].alias("pri"))
+#: Strokes that one group paints, and points that are held before they are summed by cell.
+CHUNK, MOST_POINTS = 512, 2_000_000
 
 
-def build(rows: DataFrame, across: int = 1024, table: str = "outer", agc: float = 0.5, tvg: float = 0.7, alpha: float = 0.0, nadir_blank_m: float = 0.0, max_range_m: float = 0.0, angle: DataFrame | None = None, speckle: bool = False, db: bool = False, gamma: float = 0.8, low: float = 1.0, high: float = 99.0) -> DataFrame:
-    """gx, gy, value, grey, cover: the mosaic of paired traces in pixels of the plane of x and y.
+def paint(laid: DataFrame, gains: DataFrame) -> DataFrame:
+    """gx, gy, sum, wgt, hits of strokes: dataset, stroke, samples (across, x, y, amp, pri in order across), usable.
 
-    ``rows`` are those of ``waterfall.strokes`` (with priors), and usable (boolean: roll, look window and turn rate are fit). Strokes are laid, equalised along the track side by side, painted across and
-    back to the one before, averaged, filtered if asked, and stretched between two percentiles of the painted cells.
+    ``gains`` has dataset, stroke, port_gain and stbd_gain. A stroke that is not usable is not painted and breaks the strip. Strokes go in chunks, each with the last stroke before it,
+    and every chunk sums its own cells before any are shuffled.
     """
-    from seabright.functions.acoustics import stretch
+    order = Window.partitionBy("dataset").orderBy("stroke")
+    chunk = F.floor(F.col("stroke") / CHUNK)
+    told = gains.select("dataset", "stroke", "port_gain", "stbd_gain", chunk.alias("chunk"), F.floor(F.lead("stroke").over(order) / CHUNK).alias("next"))
+    kept = F.array(F.struct(F.col("chunk"), F.lit(True).alias("own")), F.struct(F.col("next").alias("chunk"), F.lit(False).alias("own")))
+    rows = laid.join(told, ["dataset", "stroke"]).withColumn("c", F.explode(F.when(F.col("next") > F.col("chunk"), kept).otherwise(F.slice(kept, 1, 1))))
+    rows = rows.select("dataset", F.col("c.chunk").alias("chunk"), "stroke", F.col("c.own").alias("own"), "usable", "port_gain", "stbd_gain", *(F.col(f"samples.{f}").alias(f) for f in ("across", *FIELDS)))
+
+    def run(batches):
+        group, before, held, size = None, None, [], 0
+        for part in batches:
+            for r in part.itertuples(index=False):
+                if (r.dataset, r.chunk) != group:
+                    group, before = (r.dataset, r.chunk), None
+                across, now = np.asarray(r.across), np.stack([getattr(r, f) for f in FIELDS])
+                now[2] *= np.where(across < 0, r.port_gain, r.stbd_gain)
+                if r.own and r.usable and len(across):
+                    held.append(stroke_points(across, now, before))
+                    size += held[-1].shape[1]
+                before = (across, now) if r.usable else None
+                if size > MOST_POINTS:
+                    yield cell_sums(np.concatenate(held, axis=1))
+                    held, size = [], 0
+        if held:
+            yield cell_sums(np.concatenate(held, axis=1))
+
+    dealt = rows.repartition("dataset", "chunk").sortWithinPartitions("dataset", "chunk", "stroke")
+    cells = dealt.mapInPandas(run, "gx long, gy long, sum double, wgt double, hits long")
+    return cells.groupBy("gx", "gy").agg(F.sum("sum").alias("sum"), F.sum("wgt").alias("wgt"), F.least(F.sum("hits"), F.lit(65535)).alias("hits"))
+
+
+def build(rows: DataFrame, across: int = 1024, table: str = "outer", agc: float = 0.5, tvg: float = 0.7, alpha: float = 0.0, nadir_blank_m: float = 0.0, max_range_m: float = 0.0, angle: DataFrame | None = None, speckle: float = 0.0, db: bool = False, gamma: float = 0.8, low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """gx, gy, value, grey, cover: the mosaic of paired traces in the pixels that x and y are in.
+
+    ``rows`` are those of ``waterfall.strokes`` (with priors), and usable (boolean: roll, look window and turn rate are fit). Strokes are laid once into a table, equalised along the track side by side, painted across and
+    back to the one before, averaged into a table, filtered if asked, and stretched between two exact percentiles of the painted cells.
+    """
+    from seabright.functions.acoustics import decibels, stretch
     from seabright.operators import waterfall
 
-    laid = waterfall.strokes(rows, across, table, tvg, alpha, nadir_blank_m, max_range_m, True, angle)
-    gains = [equalise(laid.select("dataset", "stroke", F.col(f"{side}_level").alias("level")), agc).select("dataset", "stroke", F.col("gain").alias(f"{side}_gain")) for side in ("port", "stbd")]
-    usable = rows.select("dataset", F.col("row").alias("stroke"), F.coalesce("usable", F.lit(False)).alias("usable"))
-    laid = laid.join(gains[0], ["dataset", "stroke"]).join(gains[1], ["dataset", "stroke"]).join(usable, ["dataset", "stroke"])
-    gain = lambda s: F.when(s["across"] < 0, F.col("port_gain")).otherwise(F.col("stbd_gain"))
-    laid = laid.select("dataset", "stroke", "usable", F.transform("samples", lambda s: F.struct(s["across"].alias("across"), s["x"].alias("x"), s["y"].alias("y"), (s["amp"] * gain(s)).alias("amp"), s["pri"].alias("pri"))).alias("samples"))
-    shown = laid.where("usable")
-    painted = splat_line(shown).unionByName(first_samples(shown)).unionByName(splat_back(laid))
-    cells = finish(accumulate(painted))
-    if speckle:
-        cells = despeckle(cells).join(cells.select("gx", "gy", "cover"), ["gx", "gy"])
-    from seabright.functions.acoustics import decibels
-
+    rows = rows.withColumn("usable", F.coalesce("usable", F.lit(False)))
+    laid = stored(waterfall.strokes(rows, across, table, tvg, alpha, nadir_blank_m, max_range_m, True, angle), "strokes")
+    gains = equalise(laid.select("dataset", "stroke", "port_level", "stbd_level"), agc, sides={"port_level": "port_gain", "stbd_level": "stbd_gain"})
+    cells = stored(finish(paint(laid.select("dataset", "stroke", "usable", "samples"), gains)), "cells")
+    if speckle > 0:
+        cells = stored(despeckle(cells, speckle).join(cells.select("gx", "gy", "cover"), ["gx", "gy"]), "filtered-cells")
     cells = cells.withColumn("scaled", decibels(F.col("value")) if db else F.col("value"))
-    cut = cells.where("scaled > 0").agg(F.percentile("scaled", F.array(F.lit(low / 100), F.lit(high / 100))).alias("c"))
-    return cells.join(F.broadcast(cut)).select("gx", "gy", "value", stretch(F.col("scaled"), F.coalesce(F.get("c", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("c", F.lit(1)), F.lit(1.0)), gamma).alias("grey"), "cover")
+    cut = quantiles(cells.where("scaled > 0"), "scaled", {"low": low / 100, "high": high / 100})
+    return cells.join(F.broadcast(cut)).select("gx", "gy", "value", stretch(F.col("scaled"), F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(1.0)), gamma).alias("grey"), "cover")
 
 
 def colour(share: Column, ramp: str = "grey") -> Column:
