@@ -186,16 +186,6 @@ def quadrant(targets: DataFrame, azimuths: DataFrame, sonar: Sonar = Sonar(), ri
     return boxes.select("azimuth", "lines", "gap").join(run_time(runs, plan_turns(runs, rig), rig), "azimuth").join(coverage(boxes, lines, sonar), "azimuth").join(worst, "azimuth")
 
 
-def plan_points(targets: DataFrame, runs: DataFrame) -> DataFrame:
-    """azimuth, name, kind, u, v of the points that a navigator steers by: where each run starts, comes on and ends; and the targets.
-
-    A run's start, on and end are S, A and E with its number; targets keep their names.
-    """
-    point = lambda letter, v: F.struct(F.format_string(letter + "%02d", F.col("run")).alias("name"), F.lit(letter).alias("kind"), F.col("u").alias("u"), F.col(v).alias("v"))
-    steered = runs.select("azimuth", F.explode(F.array(point("S", "starts"), point("A", "on"), point("E", "ends"))).alias("p")).select("azimuth", "p.*")
-    return steered.unionByName(targets.select("azimuth", F.col("target").cast("string").alias("name"), F.lit("T").alias("kind"), "u", "v"))
-
-
 def unrotated(u: Column, v: Column, azimuth: Column) -> tuple[Column, Column]:
     """East and north metres of a place in a plan's frame."""
     a = F.radians(azimuth)
@@ -203,46 +193,9 @@ def unrotated(u: Column, v: Column, azimuth: Column) -> tuple[Column, Column]:
 
 
 def gaps(boxes: DataFrame, lines: DataFrame, sonar: Sonar, samples: int = 500) -> DataFrame:
-    """azimuth, u_from, u_to: strips of the box that no line sees, from even samples."""
+    """azimuth, u_from, u_to: strips of the box that no line sees, from the first of even samples to the first that is seen again, or to the edge."""
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.col("u0") + i * ((F.col("u1") - F.col("u0")) / (samples - 1)))).alias("k", "at")
     looks = boxes.select("azimuth", at).join(lines.select("azimuth", "u"), "azimuth").groupBy("azimuth", "k", "at").agg(F.count_if(seen(F.col("at") - F.col("u"), sonar)).alias("looks"))
+    ends = boxes.select(F.col("azimuth").alias("of"), ((F.col("u1") - F.col("u0")) / (samples - 1)).alias("step"), "u1")
     islands = looks.where("looks = 0").withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("azimuth").orderBy("k")))
-    return islands.groupBy("azimuth", "island").agg(F.min("at").alias("u_from"), F.max("at").alias("u_to")).drop("island")
-
-
-def plan_features(boxes: DataFrame, runs: DataFrame, lat0: float, lon0: float) -> DataFrame:
-    """kind, azimuth, geojson: the box of each plan as a polygon and its runs as lines, in degrees about a reference place."""
-    north, east = local_scale(F.lit(lat0))
-
-    def place(u: Column, v: Column) -> Column:
-        e, n = unrotated(u, v, F.col("azimuth"))
-        return F.array(F.round(F.lit(lon0) + e / east, 7), F.round(F.lit(lat0) + n / north, 7))
-
-    def feature(kind: str, shape: str, coordinates: Column) -> Column:
-        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("kind")).alias("properties"), F.struct(F.lit(shape).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
-
-    corner = lambda u, v: place(F.col(u), F.col(v))
-    ring = F.array(F.array(corner("u0", "v0"), corner("u1", "v0"), corner("u1", "v1"), corner("u0", "v1"), corner("u0", "v0")))
-    box = boxes.select(F.lit("box").alias("kind"), "azimuth", feature("box", "Polygon", ring).alias("geojson"))
-    leg = lambda kind, a, b: runs.select(F.lit(kind).alias("kind"), "azimuth", feature(kind, "LineString", F.array(corner("u", a), corner("u", b))).alias("geojson"))
-    return box.unionByName(leg("runin", "starts", "on")).unionByName(leg("line", "on", "off")).unionByName(leg("runout", "off", "ends"))
-
-
-def simplify(points: list[tuple[float, float]], tolerance: float = 1.0) -> list[tuple[float, float]]:
-    """Douglas-Peucker: the points without which some place would lie farther than ``tolerance`` from the line."""
-    keep, spans = {0, len(points) - 1}, [(0, len(points) - 1)]
-    while spans:
-        a, b = spans.pop()
-        (x0, y0), (x1, y1) = points[a], points[b]
-        long = math.hypot(x1 - x0, y1 - y0)
-        far, at = tolerance, None
-        for i in range(a + 1, b):
-            x, y = points[i]
-            share = 0.0 if not long else min(1.0, max(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / long**2))
-            d = math.hypot(x - x0 - share * (x1 - x0), y - y0 - share * (y1 - y0))
-            if d > far:
-                far, at = d, i
-        if at is not None:
-            keep.add(at)
-            spans += [(a, at), (at, b)]
-    return [points[i] for i in sorted(keep)]
+    return islands.groupBy("azimuth", "island").agg(F.min("at").alias("u_from"), F.max("at").alias("last")).join(F.broadcast(ends), F.col("azimuth") == F.col("of")).select("azimuth", "u_from", F.least(F.col("last") + F.col("step"), "u1").alias("u_to"))

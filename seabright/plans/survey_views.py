@@ -434,9 +434,9 @@ def plan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with {_PLAN}, wide as (select azimuth, u0, u1, cast(ceil((u1 - u0) / 150) as bigint) + 1 as k, (u0 + u1) / 2 as mid, greatest(u1 - u0, 150) as span from p_box),
 l as (select azimuth, k, mid, span, unnest(range(greatest(k, 2))) as line from wide), lines as (select azimuth, mid - span / 2 + line * span / (greatest(k, 2) - 1) as u from l),
-s as (select azimuth, unnest(range(500)) as i, u0, u1 from wide), c as (select s.azimuth, i, u0 + i * (u1 - u0) / 499 as spot, count(*) filter (abs(u0 + i * (u1 - u0) / 499 - u) between 8 and 75) as looks from s join lines using (azimuth) group by all),
+s as (select azimuth, unnest(range(500)) as i, u0, u1 from wide), c as (select s.azimuth, i, u0 + i * (u1 - u0) / 499 as spot, u1, (u1 - u0) / 499 as step, count(*) filter (abs(u0 + i * (u1 - u0) / 499 - u) between 8 and 75) as looks from s join lines using (azimuth) group by all),
 g as (select *, i - row_number() over (partition by azimuth order by i) as island from c where looks = 0)
-select azimuth, round(min(spot), 5) as u_from, round(max(spot), 5) as u_to from g group by azimuth, island
+select azimuth, round(min(spot), 5) as u_from, round(least(max(spot) + max(step), max(u1)), 5) as u_to from g group by azimuth, island
 """)
 def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     sonar = planner.Sonar(mode="custom", spacing_m=150.0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seabright.sources.common import rows_of_files
 
-SCHEMA = "path string, kind string, line int, line_name string, seq int, lat double, lon double, ele double, time string, name string"
+SCHEMA = "path string, kind string, line int, line_name string, seq int, lat double, lon double, ele double, time string, name string, desc string"
 TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 POINTS = {"trkpt": "track", "rtept": "route", "wpt": "waypoint"}
@@ -50,7 +50,7 @@ def parse(text: str) -> list[dict]:
             point = None
         elif not close:
             inner = m.end()
-        elif tag in ("ele", "time", "name"):
+        elif tag in ("ele", "time", "name", "desc"):
             said = html.unescape(re.sub(r"^<!\[CDATA\[(.*)\]\]>$", r"\1", text[inner : m.start()].strip(), flags=re.S))
             if point is None and tag == "name" and line >= 0:
                 names.setdefault(line, said)
@@ -76,11 +76,35 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def documents(points: DataFrame) -> DataFrame:
-    """path, gpx: one document for each path of track points (path, line, line_name, seq, lat, lon, and time or null)."""
-    point = F.concat(F.lit('<trkpt lat="'), F.format_string("%.7f", "lat"), F.lit('" lon="'), F.format_string("%.7f", "lon"), F.lit('">'), F.when(F.col("time").isNotNull(), F.concat(F.lit("<time>"), escaped(F.col("time")), F.lit("</time>"))).otherwise(""), F.lit("</trkpt>"))
-    lines = points.groupBy("path", "line").agg(F.max("line_name").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
-    track = F.concat(F.lit("<trk>"), F.when(F.col("name").isNotNull(), F.concat(F.lit("<name>"), escaped(F.col("name")), F.lit("</name>"))).otherwise(""), F.lit("<trkseg>\n"), F.col("body"), F.lit("\n</trkseg></trk>"))
-    whole = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", track.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+def _element(tag: str, text: Column) -> Column:
+    return F.when(text.isNotNull(), F.concat(F.lit(f"<{tag}>"), escaped(text), F.lit(f"</{tag}>"))).otherwise("")
+
+
+def documents(points: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """path, gpx: one document for each path of points: path, line, line_name, seq, lat, lon, and kind ("track" unless told), ele, time, name and desc where they are known.
+
+    Waypoints come first, then routes, then tracks, in order of their lines; a document read again has the same points in that order. ``about`` (path, name, desc) gives documents a name and a description. A document is one row.
+    """
+    kinds = {"kind": F.lit("track"), **{c: F.lit(None).cast("string") for c in ("time", "name", "desc")}, "ele": F.lit(None).cast("double"), "line_name": F.lit(None).cast("string")}
+    points = points.withColumns({c: given for c, given in kinds.items() if c not in points.columns})
+    tag = F.when(F.col("kind") == "waypoint", "wpt").when(F.col("kind") == "route", "rtept").otherwise("trkpt")
+    at = F.concat(F.lit("<"), tag, F.lit(' lat="'), F.format_string("%.7f", "lat"), F.lit('" lon="'), F.format_string("%.7f", "lon"), F.lit('">'))
+    point = F.concat(at, _element("ele", F.col("ele").cast("string")), *(_element(c, F.col(c)) for c in ("time", "name", "desc")), F.lit("</"), tag, F.lit(">"))
+    rank = F.when(F.col("kind") == "waypoint", 0).when(F.col("kind") == "route", 1).otherwise(2)
+    of_line = F.when(F.col("kind") != "waypoint", F.col("line"))
+    rows = points.select("path", rank.alias("rank"), of_line.alias("line"), F.when(F.col("kind") != "waypoint", F.col("line_name")).alias("line_name"), "seq", point.alias("p"))
+    lines = rows.groupBy("path", "rank", "line").agg(F.max("line_name").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda x: x["p"]), "\n").alias("body"))
+    name = _element("name", F.col("name"))
+    whole = F.when(F.col("rank") == 0, F.col("body")).when(F.col("rank") == 1, F.concat(F.lit("<rte>"), name, F.lit("\n"), "body", F.lit("\n</rte>"))).otherwise(F.concat(F.lit("<trk>"), name, F.lit("<trkseg>\n"), "body", F.lit("\n</trkseg></trk>")))
+    bodies = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line", whole.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="seabright" xmlns="http://www.topografix.com/GPX/1/1">\n'
-    return whole.select("path", F.concat(F.lit(head), "body", F.lit("\n</gpx>\n")).alias("gpx"))
+    meta = F.lit("")
+    if about is not None:
+        bodies = bodies.join(about.select("path", F.col("name").alias("called"), F.col("desc").alias("told")), "path", "left")
+        meta = F.concat(F.lit("<metadata>"), _element("name", F.col("called")), _element("desc", F.col("told")), F.lit("</metadata>\n"))
+    return bodies.select("path", F.concat(F.lit(head), meta, "body", F.lit("\n</gpx>\n")).alias("gpx"))
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """A folder ``path=...`` for each document, with it as one file; every document is a task's work."""
+    documents.repartition("path").write.mode("overwrite").partitionBy("path").text(folder)

@@ -185,13 +185,10 @@ def test_plan(spark):
         assert t.points[0] == [a.ends, a.u] and math.dist(t.points[-1], (b.starts, b.u)) < 1e-6 and t.length >= math.dist((a.ends, a.u), (b.starts, b.u))
     back = planner.plan_turns(planner.plan_runs(planner.plan_lines(boxes), planner.Rig(), one_way=True)).where("azimuth = 0").collect()
     assert min(t.length for t in back) > max(x.length for x in one)
-    kinds = {r.kind for r in planner.plan_features(boxes, runs, 52.5, 4.0).collect()}
-    assert kinds == {"box", "runin", "line", "runout"}
     wide = planner.Sonar(mode="custom", spacing_m=150.0)
     assert not wide.twice and planner.Sonar(mode="custom", spacing_m=60.0).twice
     open_boxes = planner.plan_boxes(targets, planner.azimuth_steps(spark, 45.0), wide)
     assert planner.gaps(open_boxes, planner.plan_lines(open_boxes), wide).count() > 0 and planner.gaps(boxes, planner.plan_lines(boxes), sonar).count() == 0
-    assert planner.simplify([(0, 0), (1, 0.1), (2, 0), (3, 5), (4, 0)]) == [(0, 0), (2, 0), (3, 5), (4, 0)]
 
 
 def test_contacts(spark):
