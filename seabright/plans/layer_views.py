@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.operators import layers
+from seabright.operators import layer_tree, layers
 from seabright.plans import views as v
 from seabright.plans.survey_views import query, r
 
@@ -68,3 +68,44 @@ def tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = layers.pyramid(cells.withColumn("n", F.lit(1)), ["sum"], "n", 14, 4)
     lit = layers.tile_light(levels, layers.Style(0.0, 1.0, exaggeration=0.5), 14, 1_380_350)
     return lit.select("zoom", "gx", "gy", r("value", 4), r("light", 6))
+
+
+_LAYERS = """v_layers as (
+    select c_nationkey as project, -k as place, 'n' || k as id, case when k % 7 <> 0 then 'n' || (k // 3) end as parent, k % 11 <> 5 as visible
+    from (select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as k from customer)
+), known as (
+    select l.*, u.id as up from v_layers l left join v_layers u on l.project = u.project and l.parent = u.id
+)"""
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as a project's layers."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
+    rows = v.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project"), k.alias("k"))
+    named = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    parent = F.when(F.col("k") % 7 != 0, named(F.floor(F.col("k") / 3)))
+    return rows.select("project", (-F.col("k")).alias("place"), named(F.col("k")).alias("id"), parent.alias("parent"), (F.col("k") % 11 != 5).alias("visible"))
+
+
+@query(f"""
+with recursive {_LAYERS}, walk as (
+    select project, id, [place] as path, 0 as depth, visible as shown from known where up is null
+    union all select k.project, k.id, list_append(w.path, k.place), w.depth + 1, w.shown and k.visible from known k join walk w on k.project = w.project and k.up = w.id
+)
+select project, id, row_number() over (partition by project order by path) - 1 as place, depth, shown from walk
+""")
+def layer_pre_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _layers(spark, sf_dir)
+    return layer_tree.normalised(rows).select("project", "id", "place").join(layer_tree.tree(rows).select("project", "id", "depth", "shown"), ["project", "id"])
+
+
+@query(f"""
+with recursive {_LAYERS}, gone as (
+    select project, id from known where id in ('n5', 'n14') union all select k.project, k.id from known k join gone g on k.project = g.project and k.up = g.id
+) select project, id from v_layers where (project, id) not in (select (project, id) from gone)
+""")
+def layers_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _layers(spark, sf_dir)
+    return layer_tree.removed(rows, rows.where(F.col("id").isin("n5", "n14"))).select("project", "id")
