@@ -82,7 +82,7 @@ def median_altitude(pings: DataFrame, *by: str) -> DataFrame:
     return pings.where(altitude_valid(F.col("validity"), F.col("altitude"))).groupBy(*by).agg(upper_median_of("altitude").alias("altitude"))
 
 
-def illuminated_swath(pings: DataFrame, *by: str) -> DataFrame:
+def beam_reach(pings: DataFrame, *by: str) -> DataFrame:
     """near_m, far_m: where the main beam falls to either side, between 32 and 82 degrees from nadir, and no farther than the traces reach."""
     reach = pings.withColumn("slant", slant_range_m(F.col("nsamples"), F.col("interval_ns"))).groupBy(*by).agg(upper_median_of("slant").alias("slant"))
     rows = median_altitude(pings, *by)
@@ -92,7 +92,7 @@ def illuminated_swath(pings: DataFrame, *by: str) -> DataFrame:
 
 
 def raster_extent(pings: DataFrame, zoom: int, tow_m: float, *by: str) -> DataFrame:
-    """x0, y0, width, height of the raster that holds all swaths: the box of positions, padded by 1.3 times the longest slant range and the tow."""
+    """x0, y0, width, height of the raster that holds all traces: the box of positions, padded by 1.3 times the longest slant range and the tow."""
     valid = pings.where(has_position(F.col("lat"), F.col("lon")))
     box = valid.groupBy(*by).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.max(slant_range_m(F.col("nsamples"), F.col("interval_ns"))).alias("reach"))
     margin = (F.col("reach") + tow_m) * 1.3

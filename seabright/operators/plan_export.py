@@ -144,7 +144,7 @@ def gpx_documents(runs: DataFrame, turns: DataFrame, targets: DataFrame, lat0: f
 def plan_shapes(boxes: DataFrame, lines: DataFrame, runs: DataFrame, turns: DataFrame, sonar: Sonar, rig: Rig = Rig()) -> DataFrame:
     """azimuth, kind, part, name, heading, teardrop, points (v, u) of what a chart shows of each plan.
 
-    Kinds: box; swath (the bands that each line sees, cut to the box); gap (strips that none does); runin, line, short (the far end, which the fish does not reach before the turn) and runout of each run, cut at the edges of the
+    Kinds: box; cover (the bands that each line sees, cut to the box); gap (strips that none does); runin, line, short (the far end, which the fish does not reach before the turn) and runout of each run, cut at the edges of the
     box; turn. Polygons end where they begin. ``part`` numbers the shapes of a kind.
     """
     none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -157,7 +157,7 @@ def plan_shapes(boxes: DataFrame, lines: DataFrame, runs: DataFrame, turns: Data
     sides = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b")) for k, a, b in ((0, u + sonar.nadir_m, u + sonar.range_m), (1, u - sonar.range_m, u - sonar.nadir_m)))))
     bands = lines.select("azimuth", "line", "u").join(boxes.select("azimuth", "u0", "u1", "v0", "v1"), "azimuth").withColumn("s", sides)
     bands = bands.withColumns({"a": F.greatest("s.a", "u0"), "b": F.least("s.b", "u1")}).where(F.col("b") - F.col("a") >= 0.01)
-    out = out.unionByName(polygon(bands, "swath", F.col("line") * 2 + F.col("s.k"), F.col("a"), F.col("b")))
+    out = out.unionByName(polygon(bands, "cover", F.col("line") * 2 + F.col("s.k"), F.col("a"), F.col("b")))
     unseen = coverage(boxes, lines, sonar).where("worst = 0").select("azimuth")
     open_ = gaps(boxes, lines, sonar).join(unseen, "azimuth", "left_semi").join(boxes.select("azimuth", "v0", "v1"), "azimuth").where(F.col("u_to") - F.col("u_from") >= 0.01)
     out = out.unionByName(polygon(open_, "gap", F.floor(F.col("u_from") * 1000), F.col("u_from"), F.col("u_to")))
@@ -185,5 +185,5 @@ def plan_features(shapes: DataFrame, lat0: float, lon0: float) -> DataFrame:
     at = F.transform("points", degrees)
     properties = F.struct("kind", "name", "heading", "teardrop")  # nulls are left out
     feature = lambda shape, coordinates: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(shape).alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties")))
-    text = F.when(F.col("kind").isin("box", "swath", "gap"), feature("Polygon", F.array(at))).otherwise(feature("LineString", at))
+    text = F.when(F.col("kind").isin("box", "cover", "gap"), feature("Polygon", F.array(at))).otherwise(feature("LineString", at))
     return shapes.select("azimuth", "kind", "part", text.alias("geojson"))

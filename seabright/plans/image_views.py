@@ -69,9 +69,9 @@ with {v.PINGS}, a as (select dataset, list(altitude order by altitude) as l from
 m as (select dataset, a.l[len(a.l) // 2 + 1] as alt, s.l[len(s.l) // 2 + 1] as slant from a join s using (dataset))
 select dataset, round(alt, 6) as altitude, round(alt * tan(radians(32)), 5) as near_m, round(least(sqrt(greatest(slant ** 2 - alt ** 2, 0)), alt * tan(radians(82))), 5) as far_m from m
 """)
-def lit_swaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def beam_reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = v.pings(spark, sf_dir)
-    return imaging.median_altitude(p, "dataset").join(imaging.illuminated_swath(p, "dataset"), "dataset").select("dataset", r("altitude"), r("near_m", 5), r("far_m", 5))
+    return imaging.median_altitude(p, "dataset").join(imaging.beam_reach(p, "dataset"), "dataset").select("dataset", r("altitude"), r("near_m", 5), r("far_m", 5))
 
 
 _PX, _PY = "({lon} + 180) / 360 * 256 * 2 ** 19", "(0.5::double - atanh(sin(radians({lat}))) / (2 * pi())) * 256 * 2 ** 19"

@@ -30,7 +30,7 @@ samples as (select b.azimuth, i, b.u0 + i * ((b.u1 - b.u0) / 499) as spot, b.u1,
     from w_box b, (select unnest(range(500)) as i) join w_lines l on l.azimuth = b.azimuth where b.azimuth in (select azimuth from unseen) group by all),
 islands as (select azimuth, v0, v1, min(spot) as a, least(max(spot) + max(step), max(u1)) as b from (select *, i - row_number() over (partition by azimuth order by i) as island from samples where looks = 0) group by azimuth, v0, v1, island),
 bands as (
-    select azimuth, 'swath' as kind, v0, v1, greatest(u + 8, u0) as a, least(u + 75, u1) as b from w_lines union all select azimuth, 'swath', v0, v1, greatest(u - 75, u0), least(u - 8, u1) from w_lines
+    select azimuth, 'cover' as kind, v0, v1, greatest(u + 8, u0) as a, least(u + 75, u1) as b from w_lines union all select azimuth, 'cover', v0, v1, greatest(u - 75, u0), least(u - 8, u1) from w_lines
     union all select azimuth, 'gap', v0, v1, a, b from islands union all select azimuth, 'box', v0, v1, u0, u1 from w_box
 ), rings as (select azimuth, kind, null as name, null as heading, unnest([{{'k': 0, 'v': v0, 'u': a}}, {{'k': 1, 'v': v0, 'u': b}}, {{'k': 2, 'v': v1, 'u': b}}, {{'k': 3, 'v': v1, 'u': a}}, {{'k': 4, 'v': v0, 'u': a}}]) as p, a from bands where b - a >= 0.01),
 legs as (

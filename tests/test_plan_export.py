@@ -72,11 +72,11 @@ def test_shapes_of_every_kind(spark, plans):
     kinds = {}
     for s in found:
         kinds.setdefault(s.kind, []).append(s)
-    assert set(kinds) == {"box", "swath", "gap", "runin", "line", "short", "runout", "turn"}
+    assert set(kinds) == {"box", "cover", "gap", "runin", "line", "short", "runout", "turn"}
     box = boxes.where("azimuth = 0").first()
     n = lines.where("azimuth = 0").count()
     assert len(kinds["turn"]) == n - 1 and len(kinds["line"]) == len(kinds["short"]) == n and {s.name for s in kinds["line"]} == {f"L{k + 1:02d}" for k in range(n)}
-    for kind in ("swath", "gap", "line", "short"):
+    for kind in ("cover", "gap", "line", "short"):
         assert all(box.v0 - 1e-9 <= p.v <= box.v1 + 1e-9 and box.u0 - 1e-9 <= p.u <= box.u1 + 1e-9 for s in kinds[kind] for p in s.points), kind
     for s in kinds["short"]:
         assert abs(s.points[0].v - s.points[1].v) == pytest.approx(44.0)
