@@ -379,3 +379,18 @@ def to_dms(value: Column, positive: str, negative: str) -> Column:
 def to_dm(value: Column, positive: str, negative: str) -> Column:
     total = F.round(F.abs(value) * 60000).cast("long")  # thousandths of a minute
     return F.format_string("%d°%06.3f'%s", F.floor(total / 60000), (total % 60000) / 1000, F.when(value < 0, negative).otherwise(positive))
+
+
+def suggested_systems(lat: Column, lon: Column) -> Column:
+    """EPSG codes to offer at a place: WGS 84, the UTM zone, and the regional grids that hold it."""
+    dutch = lat.between(50.0, 54.0) & lon.between(3.0, 8.0)
+    european = lat.between(34.0, 72.0) & lon.between(-25.0, 45.0)
+    none = F.array().cast("array<int>")
+    return F.concat(F.array(F.lit(4326), utm_epsg(lat, lon).cast("int")), F.when(dutch, F.array(F.lit(28992))).otherwise(none), F.when(european, F.array(F.lit(3035), F.lit(23031))).otherwise(none))
+
+
+def formatted(epsg: int, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """A place in a system as a report prints it: eight places for degrees, two for metres."""
+    x, y = from_wgs84(epsg, lat, lon)
+    shape = "%.8f" if epsg == 4326 else "%.2f"
+    return F.format_string(shape, x), F.format_string(shape, y)

@@ -27,31 +27,24 @@ def column_profile(traces: DataFrame, width: int, strength: float = 0.7) -> Data
     return smooth.select("setting", F.transform("level", lambda x: F.greatest(F.pow(x, F.lit(strength)), F.lit(1e-9))).alias("profile"))
 
 
-def angle_samples(traces: DataFrame) -> DataFrame:
-    """side, theta, amp of every positive sample: theta from nadir over flat ground.
+def angle_gain(samples: DataFrame, strength: float = 1.0, least: int = 20, by: tuple[str, ...] = ("side",)) -> DataFrame:
+    """``by``, curve: 90 one-degree levels of ``samples`` (``by``, theta, amp), such as ``waterfall.angle_samples`` chooses: a bounded number of pings a recording.
 
-    ``traces``: side, data, altitude_m, resolution_m; sample k lies at a slant range of k * resolution, those in the water column are left out.
+    Bins of fewer than ``least`` samples, or of no level, take the one before, or else the one after; then floored at the 5th percentile, smoothed over 7, scaled to a median of one, to a power.
     """
-    rows = traces.select("side", "altitude_m", "resolution_m", F.posexplode("data").alias("k", "amp")).withColumn("slant", F.col("k") * F.col("resolution_m"))
-    ground = F.sqrt(F.col("slant") * F.col("slant") - F.col("altitude_m") * F.col("altitude_m"))
-    return rows.where("slant > altitude_m and amp > 0").select("side", F.degrees(F.atan2(ground, F.col("altitude_m"))).alias("theta"), "amp")
-
-
-def angle_gain(samples: DataFrame, strength: float = 1.0, least: int = 20) -> DataFrame:
-    """side, curve: 90 one-degree levels. Bins of fewer than ``least`` samples take the one before, or else the one after; then floored at the 5th percentile, smoothed over 7, scaled to a median of one, to a power."""
-    bins = samples.groupBy("side", F.least(F.floor("theta"), F.lit(89)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.percentile("amp", F.lit(0.5)).alias("level"))
-    every = samples.select("side").distinct().select("side", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("bin"))
-    order = Window.partitionBy("side").orderBy("bin")
-    back = Window.partitionBy("side").orderBy(F.desc("bin"))
+    bins = samples.groupBy(*by, F.least(F.floor("theta"), F.lit(89)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.percentile("amp", F.lit(0.5)).alias("level"))
+    every = samples.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(89))).alias("bin"))
+    order = Window.partitionBy(*by).orderBy("bin")
+    back = Window.partitionBy(*by).orderBy(F.desc("bin"))
     grown = Window.unboundedPreceding, 0
-    rows = every.join(bins.where(F.col("n") >= least), ["side", "bin"], "left")
+    rows = every.join(bins.where((F.col("n") >= least) & (F.col("level") > 0)), [*by, "bin"], "left")
     rows = rows.withColumn("level", F.coalesce(F.last("level", ignorenulls=True).over(order.rowsBetween(*grown)), F.last("level", ignorenulls=True).over(back.rowsBetween(*grown))))
-    curves = rows.groupBy("side").agg(F.sort_array(F.collect_list(F.struct("bin", "level"))).alias("l"), F.percentile("level", F.lit(0.05)).alias("floor"))
-    smooth = curves.select("side", smooth_clamped(F.transform("l", lambda s: F.greatest(s["level"], F.col("floor"))), 7).alias("level"))
+    curves = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "level"))).alias("l"), F.percentile("level", F.lit(0.05)).alias("floor"))
+    smooth = curves.select(*by, smooth_clamped(F.transform("l", lambda s: F.greatest(s["level"], F.col("floor"))), 7).alias("level"))
     ordered = F.array_sort("level")
     middle = (ordered[44] + ordered[45]) / 2
     shaped = F.transform("level", lambda x: F.pow(F.greatest(x / F.col("middle"), F.lit(1e-3)), F.lit(strength)))
-    return smooth.withColumn("middle", middle).select("side", F.when(F.col("middle") > 0, shaped).otherwise(F.array_repeat(F.lit(1.0), 90)).alias("curve"))
+    return smooth.withColumn("middle", middle).select(*by, F.when(F.col("middle") > 0, shaped).otherwise(F.array_repeat(F.lit(1.0), 90)).alias("curve"))
 
 
 def angle_gain_at(curve: Column, theta: Column) -> Column:
@@ -91,10 +84,10 @@ def beam_reach(pings: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, (F.col("altitude") * math.tan(math.radians(32))).alias("near_m"), F.least(ground, F.col("altitude") * math.tan(math.radians(82))).alias("far_m"))
 
 
-def raster_extent(pings: DataFrame, zoom: int, tow_m: float, *by: str) -> DataFrame:
+def raster_extent(pings: DataFrame, zoom: int, tow_m: float, *by: str, slant: Column | None = None) -> DataFrame:
     """x0, y0, width, height of the raster that holds all traces: the box of positions, padded by 1.3 times the longest slant range and the tow."""
     valid = pings.where(has_position(F.col("lat"), F.col("lon")))
-    box = valid.groupBy(*by).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.max(slant_range_m(F.col("nsamples"), F.col("interval_ns"))).alias("reach"))
+    box = valid.groupBy(*by).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.max(slant_range_m(F.col("nsamples"), F.col("interval_ns")) if slant is None else slant).alias("reach"))
     margin = (F.col("reach") + tow_m) * 1.3
     north, east = local_scale((F.col("s") + F.col("n")) / 2)
     box = box.withColumns({"dn": margin / north, "de": margin / east})
@@ -180,13 +173,58 @@ def count_features(document: Column) -> Column:
     return F.coalesce(F.size(F.from_json(F.get_json_object(document, "$.features"), "array<string>")), F.lit(0))
 
 
-def parsed_coordinate(text: Column) -> Column:
-    """Degrees from a decimal, degrees and minutes, or degrees, minutes and seconds, with a sign or a letter of N, S, E, W; null for anything else."""
-    plain = F.trim(F.upper(F.regexp_replace(text, "[°'\"′″:,]+", " ")))
-    shape = r"^([NSEW])?\s*([+-])?([0-9]+(?:\.[0-9]+)?)(?:\s+([0-9]+(?:\.[0-9]+)?))?(?:\s+([0-9]+(?:\.[0-9]+)?))?\s*([NSEW])?$"
-    part = lambda k: F.nullif(F.regexp_extract(plain, shape, k), F.lit(""))
-    number = lambda k: F.coalesce(part(k).cast("double"), F.lit(0.0))
-    letter = F.coalesce(part(1), part(6))
-    away = (part(2) == "-") | letter.isin("S", "W")
-    size = number(3) + number(4) / 60 + number(5) / 3600
-    return F.when(plain.rlike(shape) & (number(4) < 60) & (number(5) < 60), F.when(F.coalesce(away, F.lit(False)), -size).otherwise(size))
+def parsed_coordinate(text: Column, latitude: bool) -> Column:
+    """Degrees from a decimal, degrees and minutes, degrees, minutes and seconds, or a plotter's figures (5125.23 is 51 degrees 25.23 minutes), with a minus or a letter of N, S, E, W.
+
+    Null for anything else: N or S in a longitude, sixty minutes, a place beyond the poles or the date line.
+    """
+    said = F.upper(F.trim(text))
+    letter = F.regexp_extract(said, "[NSEW]", 0)
+    wrong = (letter != "") & (letter.isin("N", "S") != F.lit(latitude))
+    bare = F.trim(F.regexp_replace(said, "[NSEW]", " "))
+    minus = bare.startswith("-")
+    body = F.trim(F.when(minus, F.substring(bare, 2, 1 << 20)).otherwise(bare))
+    parts = F.filter(F.split(body, "[\\s\u00a0°'′\"″:]+"), lambda x: x != "")
+    number = lambda k: F.coalesce(F.get(parts, F.lit(k)).try_cast("double"), F.lit(0.0))
+    whole, rest = F.substring_index(F.get(parts, F.lit(0)), ".", 1), F.regexp_extract(F.get(parts, F.lit(0)), r"(\.\d+)$", 1)
+    long = F.char_length(whole) - 2
+    minutes = F.concat(F.substring(whole, long + 1, F.lit(2)), rest).try_cast("double")
+    compact = F.when(minutes < 60, F.substring(whole, F.lit(1), long).try_cast("double") + minutes / 60)
+    single = F.when(F.char_length(whole) >= 4, compact).otherwise(number(0))
+    several = F.when((number(1) < 60) & (number(2) < 60), number(0) + number(1) / 60 + number(2) / 3600)
+    size = F.when(F.size(parts) >= 2, several).otherwise(single)
+    fits = ~wrong & (F.size(parts) > 0) & F.forall(parts, lambda x: x.rlike(r"^\d+(\.\d+)?$")) & (size <= (90 if latitude else 180))
+    away = minus != letter.isin("S", "W")
+    return F.when(fits, F.when(away, -size).otherwise(size))
+
+
+def bridge_coordinate(value: Column, latitude: bool) -> Column:
+    """Degrees and minutes as a bridge reads them: N5125.2300, E00309.3400; empty for no number."""
+    size = F.abs(value)
+    degrees = F.floor(size)
+    letter = F.when(value < 0, "S" if latitude else "W").otherwise("N" if latitude else "E")
+    return F.when(value.isNull() | F.isnan(value), "").otherwise(F.format_string("%s%0" + ("2" if latitude else "3") + "d%07.4f", letter, degrees, (size - degrees) * 60))
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number from zero up with so many decimal places, halves rounded up."""
+    n = F.floor(value * 10**places + 0.5)
+    return n.cast("string") if not places else F.format_string(f"%d.%0{places}d", F.floor(n / 10**places), n % 10**places)
+
+
+def distance_text(metres: Column) -> Column:
+    """Kilometres, metres or centimetres, with as many places as mean something."""
+    shapes = ((10_000, 1000, 0, " km"), (1000, 1000, 2, " km"), (100, 1, 0, " m"), (1, 1, 1, " m"))
+    out = F.concat(fixed(metres * 100, 0), F.lit(" cm"))
+    for least, unit, places, name in reversed(shapes):
+        out = F.when(metres >= least, F.concat(fixed(metres / unit, places), F.lit(name))).otherwise(out)
+    return out
+
+
+def chart_size(south: Column, west: Column, north: Column, east: Column, long: int = 1600) -> Column:
+    """Struct (width, height) of a chart in the shape of its box, at most twice as long as wide; square for no box."""
+    y = lambda lat: F.log(F.tan(math.pi / 4 + lat * (math.pi / 360)))
+    wide, high = F.radians(east - west), y(north) - y(south)
+    shape = F.least(F.greatest(F.when((wide > 0) & (high > 0), wide / high).otherwise(1.0), F.lit(0.5)), F.lit(2.0))
+    side = lambda v: F.greatest(F.floor(v + 0.5), F.lit(1)).cast("int")
+    return F.struct(F.when(shape >= 1, F.lit(long)).otherwise(side(long * shape)).cast("int").alias("width"), F.when(shape >= 1, side(long / shape)).otherwise(F.lit(long)).cast("int").alias("height"))

@@ -105,7 +105,7 @@ def equalise(levels: DataFrame, strength: float, reach: int = 20, at_least: int
 
     ``levels``: dataset, stroke and a level for each of ``sides`` (name of the level: name of its gain; level: gain unless told), all of which one pass goes through.
     """
-    order = Window.partitionBy("dataset").orderBy("stroke").rowsBetween(-reach, reach)
+    order = Window.partitionBy("dataset").orderBy(F.col("stroke").cast("long")).rangeBetween(-reach, reach)  # strokes that were not laid keep their places
     sides = sides or {"level": "gain"}
     near = {f"near_{level}": F.collect_list(F.when(F.col(level) > 0, F.col(level))).over(order) for level in sides}
     rows = levels.withColumns(near)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seabright.functions.geodesy import distance_m, local_scale, wrap180
+from seabright.operators.quantiles import quantiles
 
 
 def fix_track(pings: DataFrame, min_gap: float = 0.05) -> DataFrame:
@@ -189,13 +190,28 @@ def trailing(track: DataFrame, metres: float) -> DataFrame:
     return track.join(there, ["dataset", "seq"])
 
 
-def model_spread(track: DataFrame, metres: float, step: int = 101) -> DataFrame:
-    """dataset, middle, most: distance between the two models at every ``step``th fix, the upper median and the 95th percentile."""
-    a = astern(track, metres).where(F.col("seq") % step == 0).select("dataset", "seq", F.col("fish_lat").alias("a_lat"), F.col("fish_lon").alias("a_lon"))
-    b = trailing(track, metres).select("dataset", "seq", "fish_lat", "fish_lon")
-    apart = a.join(b, ["dataset", "seq"]).withColumn("apart", distance_m(F.col("a_lat"), F.col("a_lon"), F.col("fish_lat"), F.col("fish_lon")))
-    rank = lambda p, way="": F.expr(f"percentile_disc({p}) within group (order by apart {way})")
-    return apart.groupBy("dataset").agg(rank(0.5, "desc").alias("middle"), rank(0.95).alias("most"))
+def tractrix(track: DataFrame, layback: float, towpoint: float) -> DataFrame:
+    """Fixes with the place of a fish that a taut tow of ``layback`` metres pulls behind the tow point, ``towpoint`` metres astern of the antenna."""
+    mid = track.groupBy("dataset").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"), F.min_by("cog", "seq").alias("heading"))
+    north, east = local_scale(F.col("lat0"))
+    back = F.radians(F.col("cog") + 180)
+    rows = track.join(mid, "dataset").withColumns({"x": (F.col("lon") - F.col("lon0")) * east + towpoint * F.sin(back), "y": (F.col("lat") - F.col("lat0")) * north + towpoint * F.cos(back)})
+    found = pursuit(rows.select("dataset", F.col("seq").cast("long").alias("seq"), "x", "y", "heading"), layback).join(mid.drop("heading"), "dataset")
+    there = found.select("dataset", "seq", (F.col("lat0") + F.col("fish_y") / north).alias("fish_lat"), (F.col("lon0") + F.col("fish_x") / east).alias("fish_lon"))
+    return track.join(there, ["dataset", "seq"])
+
+
+def model_spread(track: DataFrame, layback: float, step: int = 101, towpoint: float = 0.0) -> DataFrame:
+    """dataset, middle, most: the greatest distance between the three models (astern, wake and tractrix) at every ``step``th fix, the upper median and the 95th percentile of a recording."""
+    models = [astern(track, layback + towpoint), trailing(track, layback + towpoint), tractrix(track, layback, towpoint)]
+    rows = None
+    for k, model in enumerate(models):
+        one = model.where(F.col("seq") % step == 0).select("dataset", "seq", F.col("fish_lat").alias(f"lat{k}"), F.col("fish_lon").alias(f"lon{k}"))
+        rows = one if rows is None else rows.join(one, ["dataset", "seq"])
+    pairs = [distance_m(F.col(f"lat{a}"), F.col(f"lon{a}"), F.col(f"lat{b}"), F.col(f"lon{b}")) for a, b in ((0, 1), (0, 2), (1, 2))]
+    apart = rows.select("dataset", F.greatest(*pairs).alias("apart"))
+    middle = quantiles(apart, "apart", {"middle": 0.5, "most": 0.95}, "dataset", rule="upper")
+    return middle.select("dataset", "middle", "most")
 
 
 def advance(rows: DataFrame) -> DataFrame:
@@ -206,8 +222,11 @@ def advance(rows: DataFrame) -> DataFrame:
 
 
 def compass(headings: DataFrame, seconds: float = 2.0) -> DataFrame:
-    """dataset, time, heading: unwrapped and averaged over ``seconds`` each way; the first of equal times counts."""
+    """dataset, time, heading: unwrapped and averaged over as many rows as come in ``seconds`` at the recording's mean interval (an odd number, fewer at the ends); the first of equal times counts."""
     first = headings.groupBy("dataset", "time").agg(F.min_by("heading", "rec_id").alias("heading"))
-    order = Window.partitionBy("dataset").orderBy((F.col("time") * 1e6).cast("long"))
-    reach = round(seconds * 1e6)
-    return first.withColumn("heading", unwrapped(F.col("heading"), order)).withColumn("heading", F.avg("heading").over(order.rangeBetween(-reach, reach)))
+    order = Window.partitionBy("dataset").orderBy("time")
+    spans = first.groupBy("dataset").agg(F.count("*").alias("many"), ((F.max("time") - F.min("time")) / (F.count("*") - 1)).alias("gap"))
+    wide = F.when(F.col("many") > 2, F.greatest(F.round(seconds / F.greatest("gap", F.lit(1e-3))), F.lit(1.0))).otherwise(F.lit(1.0))
+    half = spans.select("dataset", F.floor(wide / 2).alias("half"))  # an even number of rows takes one more
+    rows = first.withColumn("heading", unwrapped(F.col("heading"), order)).withColumn("n", F.row_number().over(order) - 1).join(half, "dataset")
+    return rows.withColumn("k", F.col("n") / (F.col("half") + 0.5)).select("dataset", "time", near_rows("avg", "heading", "k").alias("heading"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seabright.functions import acoustics as ac
 from seabright.functions import geodesy as geo
-from seabright.operators import imaging
+from seabright.operators import imaging, waterfall
 from seabright.plans import views as v
 from seabright.plans.survey_views import _E, _N, _TRACK, _dist, query, r
 
@@ -21,13 +21,20 @@ def gain_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.column_profile(v.traces(spark, sf_dir), 64, 0.7).select("setting", F.transform("profile", lambda x: F.round(x, 5)).alias("profile"))
 
 
-def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.traces(spark, sf_dir).select((F.col("rec_id") % 2).alias("side"), "data", (4.0 + F.col("rec_id") % 3).alias("altitude_m"), F.lit(0.5).alias("resolution_m"))
+def _angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as the traces of one recording, port and starboard by turns, flown so low that the bottom is where it was recorded; their gain by angle."""
+    k = F.col("rec_id")
+    side = lambda n: F.when(k % 2 == n, F.col("data"))
+    rows = v.traces(spark, sf_dir).select(F.lit(0).alias("dataset"), k.alias("row"), side(0).alias("port"), side(1).alias("stbd"), (1.5 + k % 3 * 0.5).alias("altitude_m"), F.lit(0.5).alias("resolution_m"))
+    return imaging.angle_gain(waterfall.angle_samples(rows, 64, 0.7, 0.01), 0.8)
 
 
-_ANGLES = f"""{v.TRACES}, s as (select rec_id % 2 as side, 4 + rec_id % 3 as alt, unnest(data) as amp, unnest(range(len(data))) * 0.5::double as slant from v_traces),
-t as (select side, least(cast(floor(degrees(atan2(sqrt(slant ** 2 - alt ** 2), alt))) as bigint), 89) as bin, amp from s where slant > alt and amp > 0),
-b as (select side, bin, quantile_cont(amp, 0.5) as level from t group by all having count(*) >= 20), e as (select distinct side, unnest(range(90)) as bin from t),
+_ANGLES = f"""{v.TRACES}, k as (select *, row_number() over (order by rec_id) - 1 as k, count(*) over () as n from v_traces),
+s as (select case when rec_id % 2 = 0 then -1 else 1 end as side, 1.5::double + rec_id % 3 * 0.5::double as alt, data, unnest(range(32)) + 0.5::double as place from k where k % greatest(n // 600, 1) = 0),
+d as (select *, sqrt(place ** 2 + alt ** 2) as slant from s), x as (select *, slant / 0.5::double as spot, cast(floor(slant / 0.5::double) as bigint) as i from d where slant / 0.5::double < 63),
+v as (select side, place, alt, (data[i + 1] + (data[i + 2] - data[i + 1]) * (spot - i)) * 10::double ** (0.7::double * (30 * log10(slant / alt) + 2 * 0.01::double * (slant - alt)) / 20) as amp from x),
+t as (select side, least(cast(floor(degrees(atan2(place, alt))) as bigint), 89) as bin, amp from v where amp > 0),
+b as (select side, bin, quantile_cont(amp, 0.5) as level from t group by all having count(*) >= 20 and quantile_cont(amp, 0.5) > 0), e as (select distinct side, unnest(range(90)) as bin from t),
 j as (select e.side, e.bin, b.level from e left join b using (side, bin)),
 f as (select side, bin, coalesce(last_value(level ignore nulls) over (partition by side order by bin rows unbounded preceding), first_value(level ignore nulls) over (partition by side order by bin rows between current row and unbounded following)) as level from j),
 p as (select side, list(greatest(level, lo) order by bin) as a from f join (select side, quantile_cont(level, 0.05) as lo from f group by 1) using (side) group by 1),
@@ -37,17 +44,16 @@ v_angles as (select side, list_transform(c, lambda x: greatest(x / ((list_sort(c
 
 @query(f"with {_ANGLES} select side, list_transform(curve, lambda x: round(x, 6)) as curve from v_angles")
 def angle_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = imaging.angle_gain(imaging.angle_samples(_sided(spark, sf_dir)), 0.8)
-    return curves.select("side", F.transform("curve", lambda x: F.round(x, 6)).alias("curve"))
+    return _angles(spark, sf_dir).select("side", F.transform("curve", lambda x: F.round(x, 6)).alias("curve"))
 
 
 @query(f"""
-with {_ANGLES}, q as (select l_orderkey, l_linenumber, least(greatest(l_quantity * 1.9 - 0.5, 0), 89)::double as x, l_suppkey % 2 as side from lineitem)
+with {_ANGLES}, q as (select l_orderkey, l_linenumber, least(greatest(l_quantity * 1.9 - 0.5, 0), 89)::double as x, case when l_suppkey % 2 = 0 then -1 else 1 end as side from lineitem)
 select l_orderkey, l_linenumber, round(curve[least(floor(x), 88)::int + 1] + (curve[least(floor(x), 88)::int + 2] - curve[least(floor(x), 88)::int + 1]) * (x - least(floor(x), 88)), 6) as gain from q join v_angles using (side)
 """)
 def angle_gain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = imaging.angle_gain(imaging.angle_samples(_sided(spark, sf_dir)), 0.8)
-    rows = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 1.9).alias("theta"), (F.col("l_suppkey") % 2).alias("side"))
+    curves = _angles(spark, sf_dir)
+    rows = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 1.9).alias("theta"), F.when(F.col("l_suppkey") % 2 == 0, -1).otherwise(1).alias("side"))
     return rows.join(curves, "side").select("l_orderkey", "l_linenumber", r(imaging.angle_gain_at(F.col("curve"), F.col("theta")), name="gain"))
 
 
@@ -176,14 +182,38 @@ def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select c_custkey, round(case c_custkey % 5 when 0 then d + m / 60::double + s / 3600::double when 1 then -(d + m / 60::double) when 2 then -(d + 0.5) when 3 then d + m / 60::double + s / 3600::double end, 8) as degrees
+select c_custkey, round(case c_custkey % 9 when 0 then d + m / 60::double + s / 3600::double when 1 then -(d + m / 60::double) when 2 then -(d + 0.5) when 3 then d + m / 60::double + s / 3600::double when 4 then d + (m + 0.25) / 60::double end, 8) as degrees
 from (select c_custkey, c_custkey % 80 as d, c_custkey % 60 as m, c_custkey * 7 % 60 as s from customer)
 """)
 def parsed_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine ways of writing a place, the last four of which are none."""
     k = F.col("c_custkey")
     d, m, s = ((x).cast("string") for x in (k % 80, k % 60, k * 7 % 60))
-    text = F.when(k % 5 == 0, F.concat(d, F.lit("° "), m, F.lit("' "), s, F.lit('" N'))).when(k % 5 == 1, F.concat(F.lit("W "), d, F.lit(" "), m)).when(k % 5 == 2, F.concat(F.lit("-"), d, F.lit(".5"))).when(k % 5 == 3, F.concat(d, F.lit(":"), m, F.lit(":"), s, F.lit("E"))).otherwise("somewhere")
-    return v.table(spark, sf_dir, "customer").select("c_custkey", r(imaging.parsed_coordinate(text), 8, "degrees"))
+    two = lambda x: F.lpad(x, 2, "0")
+    ways = [
+        F.concat(d, F.lit("° "), m, F.lit("' "), s, F.lit('" N')), F.concat(F.lit("W "), d, F.lit(" "), m), F.concat(F.lit("-"), d, F.lit(".5")), F.concat(d, F.lit(":"), m, F.lit(":"), s, F.lit("E")), F.concat(two(d), two(m), F.lit(".25")),
+        F.concat(F.lit("N "), d), F.concat(F.lit("+"), d), F.concat(F.lit("1"), two(d), F.lit(".5")), F.concat(d, F.lit(" 75")),
+    ]
+    text = F.element_at(F.array(*ways), (k % 9 + 1).cast("int"))
+    degrees = F.when((k % 9).isin(1, 3, 5), imaging.parsed_coordinate(text, False)).otherwise(imaging.parsed_coordinate(text, True))
+    return v.table(spark, sf_dir, "customer").select("c_custkey", r(degrees, 8, "degrees"))
+
+
+@query("""
+with p as (select c_custkey, c_custkey % 170 - 85 as lat, c_custkey * 7 % 359 - 179 as lon from customer)
+select c_custkey, case when lat < 0 then 'S' else 'N' end || lpad(cast(abs(lat) as varchar), 2, '0') || '30.0000' as bridge,
+    '4326 ' || (case when lat < 0 then 32700 else 32600 end + (lon + 180) // 6 + 1) || case when lat between 50 and 54 and lon between 3 and 8 then ' 28992' else '' end || case when lat between 34 and 71 and lon between -25 and 44 or lat between 34 and 71 and lon = 45 then ' 3035 23031' else '' end as systems,
+    case when c_custkey >= 10000 then round(c_custkey / 1000)::bigint || ' km' when c_custkey >= 1000 then printf('%.2f', c_custkey / 1000::double) || ' km' when c_custkey >= 100 then c_custkey || ' m' when c_custkey >= 1 then c_custkey || '.0 m' else '0 cm' end as far
+from p
+""")
+def printed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    lat, lon = k % 170 - 85, k * 7 % 359 - 179
+    half = F.when(lat < 0, lat - 0.5).otherwise(lat + 0.5)
+    return v.table(spark, sf_dir, "customer").select(
+        "c_custkey", imaging.bridge_coordinate(half, True).alias("bridge"), F.concat_ws(" ", geo.suggested_systems(lat.cast("double"), lon.cast("double")).cast("array<string>")).alias("systems"),
+        imaging.distance_text(k.cast("double")).alias("far"),
+    )
 
 
 @query("""
