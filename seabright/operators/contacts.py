@@ -104,16 +104,9 @@ def visible(layers: DataFrame) -> DataFrame:
     raise ValueError("layers form a cycle")
 
 
-def band_name(subsystem: Column, centre: Column, *by: str) -> Column:
-    """High and Low frequency where exactly two bands of a recording are known; else the subsystem's number."""
-    w = Window.partitionBy(*by)
-    known = F.count(F.when(centre > 0, 1)).over(w)
-    return F.when((known == 2) & (centre == F.max(centre).over(w)), "High frequency").when((known == 2) & (centre == F.min(F.when(centre > 0, centre)).over(w)), "Low frequency").otherwise(F.concat(F.lit("Subsystem "), subsystem.cast("string")))
-
-
 def safe_name(text: Column) -> Column:
-    """A name fit for a file: runs of other characters become one underscore."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9._-]+", "_"))
+    """A name fit for a file, which cannot leave its folder: every other character becomes an underscore."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_-]", "_")
 
 
 def iso8601(seconds: Column) -> Column:

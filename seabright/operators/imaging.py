@@ -206,18 +206,17 @@ def bridge_coordinate(value: Column, latitude: bool) -> Column:
     return F.when(value.isNull() | F.isnan(value), "").otherwise(F.format_string("%s%0" + ("2" if latitude else "3") + "d%07.4f", letter, degrees, (size - degrees) * 60))
 
 
-def fixed(value: Column, places: int) -> Column:
-    """A number from zero up with so many decimal places, halves rounded up."""
-    n = F.floor(value * 10**places + 0.5)
+def fixed(value: Column, unit: float, places: int) -> Column:
+    """A number from zero up in a unit with so many decimal places, halves of the last rounded up."""
+    n = F.floor((value * 10**places + unit / 2) / unit)
     return n.cast("string") if not places else F.format_string(f"%d.%0{places}d", F.floor(n / 10**places), n % 10**places)
 
 
 def distance_text(metres: Column) -> Column:
     """Kilometres, metres or centimetres, with as many places as mean something."""
-    shapes = ((10_000, 1000, 0, " km"), (1000, 1000, 2, " km"), (100, 1, 0, " m"), (1, 1, 1, " m"))
-    out = F.concat(fixed(metres * 100, 0), F.lit(" cm"))
-    for least, unit, places, name in reversed(shapes):
-        out = F.when(metres >= least, F.concat(fixed(metres / unit, places), F.lit(name))).otherwise(out)
+    out = F.concat(fixed(metres * 100, 1.0, 0), F.lit(" cm"))
+    for least, unit, places, name in ((1, 1.0, 1, " m"), (100, 1.0, 0, " m"), (1000, 1000.0, 2, " km"), (10_000, 1000.0, 0, " km")):
+        out = F.when(metres >= least, F.concat(fixed(metres, unit, places), F.lit(name))).otherwise(out)
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seabright.functions import acoustics as ac
-from seabright.operators import contacts, layers, pings
+from seabright.operators import contacts, layers, pings, report
 from seabright.plans import views as v
 from seabright.plans.survey_views import query, r
 from seabright.sources import jsf
@@ -79,13 +79,36 @@ def visible_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.visible(tree).select("id")
 
 
+_BANDS = f"""{v.PINGS}, v_bands as (select dataset, subsystem, max(f0) as f0, max(f1) as f1, case when dataset % 3 = 0 then 0 else 100000 + subsystem * 1000 end::double as centre from v_pings group by 1, 2)"""
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.pings(spark, sf_dir).groupBy("dataset", "subsystem").agg(F.max("f0").alias("f0"), F.max("f1").alias("f1"))
+    return rows.withColumn("centre", F.when(F.col("dataset") % 3 == 0, 0.0).otherwise(100000.0 + F.col("subsystem") * 1000))
+
+
+_TITLES = """c as (select *, case when centre > 0 then cast(floor(centre / 1000 + 0.5) as bigint) when f0 + f1 > 0 then cast(floor((f0 + f1) / 2000 + 0.5) as bigint) end as khz, case when f1 <> f0 then cast(floor(abs(f1 - f0) / 1000 + 0.5) as bigint) end as sweep from {rows}),
+n as (select *, count(khz) over w as known, max(khz) over w as most from c window w as (partition by {by})),
+t as (select *, case when known = 2 and khz is not null then case when khz = most then 'High frequency' else 'Low frequency' end when khz is not null then khz || ' kHz' else 'Channel ss' || subsystem end as title from n),
+named as (select *, case when title <> khz || ' kHz' then khz || ' kHz · ' else '' end || case when sweep is not null then sweep || ' kHz sweep · ' else '' end || 'ss' || subsystem as subtitle from t)"""
+
+
+@query(f"with {_BANDS}, {_TITLES.format(rows='v_bands', by='dataset')} select dataset, subsystem, title, subtitle from named")
+def band_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.band_titles(_bands(spark, sf_dir), "dataset").select("dataset", "subsystem", "title", "subtitle")
+
+
 @query(f"""
-with {v.PINGS}, b as (select distinct dataset, subsystem, case when dataset % 3 = 0 then 0 else 100000 + subsystem * 1000 end::double as centre from v_pings), m as (select *, count(*) filter (centre > 0) over w as known, max(centre) over w as hi, min(centre) over w as lo from b window w as (partition by dataset))
-select dataset, subsystem, case when known = 2 and centre = hi then 'High frequency' when known = 2 and centre = lo then 'Low frequency' else 'Subsystem ' || subsystem end as name from m
+with {_BANDS}, d as (select distinct dataset, dataset % 4 as project from v_pings where dataset % 5 <> 1), own as (select * from d join v_bands using (dataset)),
+firsts as (select *, row_number() over (partition by project, subsystem order by centre <= 0, dataset) as nth from own), merged as (select project, subsystem, f0, f1, centre from firsts where nth = 1), {_TITLES.format(rows='merged', by='project')},
+every as (select project, -1 as spot, 'ov-' || subsystem as chart, 'overview' as kind, '' as dataset, subsystem, 'Coverage — ' || title as title, subtitle from named
+    union all select o.project, o.dataset, 'ds-' || o.dataset || '-' || o.subsystem, 'dataset', o.dataset::varchar, o.subsystem, title, subtitle from own o join named using (project, subsystem))
+select project, row_number() over (partition by project order by spot, subsystem) - 1 as place, chart, kind, dataset, subsystem, title, subtitle from every
 """)
-def band_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = v.pings(spark, sf_dir).select("dataset", "subsystem").distinct().withColumn("centre", F.when(F.col("dataset") % 3 == 0, 0.0).otherwise(100000.0 + F.col("subsystem") * 1000))
-    return bands.select("dataset", "subsystem", contacts.band_name(F.col("subsystem"), F.col("centre"), "dataset").alias("name"))
+def report_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    datasets = v.pings(spark, sf_dir).where(F.col("dataset") % 5 != 1).select((F.col("dataset") % 4).alias("project"), "dataset").distinct().withColumn("at", F.col("dataset"))
+    plan = report.chart_plan(datasets.withColumn("dataset", F.col("dataset").cast("string")), _bands(spark, sf_dir).withColumn("dataset", F.col("dataset").cast("string")))
+    return plan.withColumn("place", F.col("place").cast("long"))
 
 
 @query("""

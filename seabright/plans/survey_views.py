@@ -329,12 +329,12 @@ _STOPS = """(values
 
 @query(f"""
 with stops as (select ramp, stop::double as s0, r as r0, g as g0, b as b0, lead(stop::double) over w as s1, lead(r) over w as r1, lead(g) over w as g1, lead(b) over w as b1 from {_STOPS} window w as (partition by ramp order by stop)),
-shares as (select grey, least(greatest((grey - 17) / 206::double, 0), 1) as t from (select unnest(range(256)) as grey))
+shares as (select grey, least(greatest((grey - 17) / 206::double, 0), 1) as t from (select distinct p_partkey % 256 as grey from part))
 select ramp, cast(grey as integer) as grey, cast(round(r0 + (r1 - r0) * (t - s0) / (s1 - s0)) as integer) as r, cast(round(g0 + (g1 - g0) * (t - s0) / (s1 - s0)) as integer) as g, cast(round(b0 + (b1 - b0) * (t - s0) / (s1 - s0)) as integer) as b
 from shares join stops on s1 is not null and (t > s0 or t = 0 and s0 = 0) and t <= s1
 """)
 def colour_ramps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grey = spark.range(256).select(F.col("id").cast("int").alias("grey"))
+    grey = v.table(spark, sf_dir, "part").select((F.col("p_partkey") % 256).cast("int").alias("grey")).distinct()
     ramps = F.explode(F.array(*(F.struct(F.lit(n).alias("ramp"), mosaic.styled(F.col("grey"), 17, 223, ramp=n).alias("c")) for n in mosaic.RAMPS)))
     return grey.select("grey", ramps.alias("x")).select("x.ramp", "grey", "x.c.r", "x.c.g", "x.c.b")
 
@@ -508,9 +508,9 @@ def decimated_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pings.every_nth(rows_, F.col("was"), 3, "dataset").select("dataset", F.col("seq").cast("long").alias("seq"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, trim(regexp_replace(event_type || ' ' || user_id, '[^A-Za-z0-9._-]+', '_', 'g')) as name from events")
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, replace(replace(replace(event_type, ' ', '_'), '/', '_'), '.', '_') || '____' || user_id || '_' as name from events")
 def json_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), contacts.safe_name(F.concat_ws(" ", "event_type", "user_id")).alias("name"))
+    return v.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), contacts.safe_name(F.concat("event_type", F.lit(" /.."), "user_id", F.lit("é"))).alias("name"))
 
 
 @query("""

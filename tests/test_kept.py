@@ -95,7 +95,7 @@ def test_coordinates_as_people_write_them(spark):
 def test_printed_numbers(spark):
     one = spark.range(1)
     text = lambda c: one.select(c.alias("x")).first().x
-    assert [text(imaging.distance_text(F.lit(float(m)))) for m in (12_345, 1005, 250.4, 12.34, 0.256)] == ["12 km", "1.00 km", "250 m", "12.3 m", "26 cm"]
+    assert [text(imaging.distance_text(F.lit(float(m)))) for m in (12_345, 1005, 250.4, 12.34, 0.256)] == ["12 km", "1.01 km", "250 m", "12.3 m", "26 cm"]
     assert [text(imaging.bridge_coordinate(F.lit(v), lat)) for v, lat in ((51.4205, True), (-3.155, False), (float("nan"), True))] == ["N5125.2300", "W00309.3000", ""]
     size = lambda *b: tuple(text(imaging.chart_size(*(F.lit(float(x)) for x in b))))
     assert size(52, 4, 52.1, 4.01) == (800, 1600) and size(52, 4, 52, 4) == (1600, 1600) and size(0, 0, 1, 1.5) == (1600, 1067)
