@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seabright.plans import catalogue_views, image_views, layer_views, plan_views, survey_views  # noqa: F401 - the others register their queries with the last
+from seabright.plans import catalogue_views, image_views, layer_views, plan_views, source_views, survey_views  # noqa: F401 - the others register their queries with the last
 
 FLAGSHIP = "band_summary"
 

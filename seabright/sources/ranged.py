@@ -27,12 +27,25 @@ SURE, LOOK = 6, 1 << 20
 ENDED = -1
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and its name there."""
+    uri = re.sub(r"^file:/*", "file:///", path)
+    return fs.FileSystem.from_uri(uri) if re.match(r"^[a-z0-9+.-]+:", uri) else (fs.LocalFileSystem(), uri)
+
+
+def write(path: str, data: bytes) -> None:
+    """A file, in place of any of that name; its folder is made."""
+    system, inner = _opened(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(data)
+
+
 class Ranged:
     """A file that is read by ranges; ``fetched`` counts the bytes."""
 
     def __init__(self, path: str):
-        uri = re.sub(r"^file:/*", "file:///", path)
-        system, inner = fs.FileSystem.from_uri(uri) if re.match(r"^[a-z0-9+.-]+:", uri) else (fs.LocalFileSystem(), uri)
+        system, inner = _opened(path)
         self.file = system.open_input_file(inner)
         self.length, self.fetched = self.file.size(), 0
 
