@@ -65,16 +65,17 @@ def test_rings_are_reported(spark):
 
 def test_moves_among_siblings(spark):
     rows = [layer(0, "x"), layer(1, "x1", "x"), layer(2, "x2", "x"), layer(3, "x3", "x"), layer(4, "y"), layer(5, "z"), layer(6, "z1", "z"), layer(7, "lost", "gone")]
-    df = frame(spark, rows).cache()
-    ask = lambda i, at: spark.createDataFrame([("p", i, at)], "project string, id string, at int")
     cases = {
         ("x", 2): (["y", "x", "x1", "x2", "x3", "z", "z1", "lost"], True), ("z", 0): (["z", "z1", "x", "x1", "x2", "x3", "y", "lost"], True), ("x1", 3): (["x", "x2", "x3", "x1", "y", "z", "z1", "lost"], True),
         ("x3", 0): (["x", "x3", "x1", "x2", "y", "z", "z1", "lost"], True), ("y", 9): (["x", "x1", "x2", "x3", "z", "z1", "lost", "y"], True),
         ("x1", 0): (None, False), ("x1", 1): (None, False), ("z1", 1): (None, False), ("lost", 0): (None, False), ("nobody", 1): (None, None), ("y", -1): (None, False),
     }
-    for (i, at), (order, moves) in cases.items():
-        assert ids(lt.moved(df, ask(i, at))) == (order or [r[2] for r in rows]), (i, at)
-        assert [r.moved for r in lt.moves(df, ask(i, at)).collect()] == ([] if moves is None else [moves]), (i, at)
+    lists = frame(spark, [(f"p{k}", *row[1:]) for k in range(len(cases)) for row in rows])
+    asked = spark.createDataFrame([(f"p{k}", i, at) for k, (i, at) in enumerate(cases)], "project string, id string, at int")
+    after, done = lt.moved(lists, asked).cache(), {r.project: r.moved for r in lt.moves(lists, asked).collect()}
+    for k, ((i, at), (order, moves)) in enumerate(cases.items()):
+        assert ids(after, f"p{k}") == (order or [r[2] for r in rows]), (i, at)
+        assert done.get(f"p{k}") == moves, (i, at)
 
 
 def test_removal_takes_what_is_under(spark):

@@ -232,5 +232,5 @@ def test_tow_models(spark):
     steps = [r.advance_m for r in navigation.advance(df.withColumnRenamed("seq", "row")).orderBy("row").collect()]
     assert steps[0] == 0 and abs(steps[1] - 2.2252) < 0.001
     turn = spark.createDataFrame([("d", i, float(i), (350.0 + 5 * i) % 360) for i in range(6)] + [("d", 9, 0.0, 99.0)], "dataset string, rec_id long, time double, heading double")
-    got = [r.heading for r in navigation.compass(turn, 1.0).orderBy("time").collect()]
+    got = [r.heading for r in navigation.compass(turn, 2.0).orderBy("time").collect()]
     assert got == [352.5, 355.0, 360.0, 365.0, 370.0, 372.5]
