@@ -7,7 +7,7 @@ cell are averaged; of colours the pixel that comes last in the file stays.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +213,33 @@ class Style:
     exaggeration: float = 6.0
 
 
+def _number(told: dict[str, str], name: str) -> float | None:
+    try:
+        return float(told[name])
+    except (KeyError, ValueError):
+        return None
+
+
+def overlaid(style: Style, told: dict[str, str]) -> Style:
+    """A style with what a request tells of it: ramp, reverse, min, max, shade, azimuth, elevation and exaggeration, each kept within its bounds. What is unknown or no number changes nothing."""
+    change: dict[str, object] = {}
+    if told.get("ramp") in RAMPS:
+        change["ramp"] = told["ramp"]
+    if "reverse" in told:
+        change["reverse"] = told["reverse"] in ("1", "true")
+    bounds = {"low": ("min", -math.inf, math.inf), "high": ("max", -math.inf, math.inf), "shade": ("shade", 0.0, 1.0), "azimuth": ("azimuth", -math.inf, math.inf), "elevation": ("elevation", 1.0, 89.0), "exaggeration": ("exaggeration", 0.0, math.inf)}
+    for field, (name, least, most) in bounds.items():
+        if (value := _number(told, name)) is not None:
+            change[field] = min(max(value, least), most)
+    return replace(style, **change)
+
+
+def grey_limits(told: dict[str, str], low: int = 0, high: int = 255) -> tuple[int, int]:
+    """The grey levels that a mosaic's ramp begins and ends at, with what a request tells of them (lo, hi)."""
+    at = lambda name, other: other if (value := _number(told, name)) is None else int(min(max(value, 0.0), 255.0))
+    return at("lo", low), at("hi", high)
+
+
 def shades(values: np.ndarray, metres: float, style: Style) -> np.ndarray:
     """Light on the inner pixels of a grid (row, column) with a rim of one: 0 to 1. A slope with a missing neighbour is level that way."""
     inner = values[1:-1, 1:-1]

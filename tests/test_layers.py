@@ -130,3 +130,11 @@ def test_colour_tiles(spark):
     image = np.zeros((256, 256, 4), np.uint8)
     image[5, 5], image[4, 150] = [127, 0, 10, 255], [9, 9, 9, 100]
     assert got[2, 0, 0] == encode(image)
+
+
+def test_styles_take_what_a_request_tells():
+    style = layers.Style(1.0, 9.0)
+    got = layers.overlaid(style, {"ramp": "viridis", "reverse": "true", "min": "2.5", "max": "x", "shade": "7", "elevation": "0", "exaggeration": "-1", "other": "1"})
+    assert got == layers.Style(2.5, 9.0, "viridis", True, 1.0, 315.0, 1.0, 0.0)
+    assert layers.overlaid(style, {"ramp": "none", "reverse": "0"}) == style and layers.overlaid(style, {}) == style
+    assert layers.grey_limits({"lo": "17.9", "hi": "999"}) == (17, 255) and layers.grey_limits({"hi": "-3"}, 5) == (5, 0) and layers.grey_limits({}) == (0, 255)
