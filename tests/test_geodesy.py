@@ -50,3 +50,17 @@ def test_acoustics(spark):
     assert abs(row.a - 164) < 8 and abs(row.b - 622) < 30
     assert abs(ac.temperature_from_sound_speed(ac.mackenzie(11.5, 34, 20), 34, 20) - 11.5) < 1e-6
     assert math.isclose(spark.range(1).select(ac.tvg_gain(F.lit(10.0), 10.0, 0.1, 1.0).alias("g")).first().g, 1.0)
+
+
+def test_the_sql_of_printed_places_has_the_whole_european_box(spark, tmp_path):
+    """From 34 to 72 degrees, both ends in it, as the query has it and the reference (crs.rs)."""
+    import duckdb
+
+    from seabright.plans import registry
+
+    spark.createDataFrame([(k,) for k in (1517, 2027, 4237, 119, 629)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["printed_places"](spark, str(tmp_path)).select("c_custkey", "bridge", "systems", "far").collect()
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(f"select c_custkey, bridge, systems, far from ({registry.ORACLE_SQL['printed_places']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and any("3035" in r.systems and r.bridge.startswith("N72") for r in got)
