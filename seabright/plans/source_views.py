@@ -127,11 +127,9 @@ with {v.PINGS} select dataset, rec_id as ping, 20 + rec_id % 4 // 2 as subsystem
 """)
 def packet_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XTF recordings in ranges of 64 KB, with bytes between packets."""
-    rows = xtf.read_xtf(spark, _recorded(spark, sf_dir, "xtf", _xtf), size=1 << 16)
-    index = xtf.index_rows(rows).select(F.col("path").alias("p"), F.col("offset").alias("o"), "validity", "interval_ns")
-    both = rows.drop("interval_ns").join(index, (F.col("path") == F.col("p")) & (F.col("offset") == F.col("o")))
+    rows = xtf.with_index(xtf.read_xtf(spark, _recorded(spark, sf_dir, "xtf", _xtf), size=1 << 16))
     total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x)
-    return both.select(
+    return rows.select(
         _dataset(), "ping", F.col("subsystem").cast("long").alias("subsystem"), F.col("channel").cast("long").alias("channel"), "time", "lat", "lon", "heading", F.col("validity").cast("long").alias("validity"), "interval_ns",
         F.col("nsamples").cast("long").alias("nsamples"), "frequency_hz", total.alias("total"),
     )

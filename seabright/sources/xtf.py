@@ -132,14 +132,19 @@ def read_xtf(spark: SparkSession, path: str, traces: bool = True, size: int = ra
     return rows.withColumns({"subsystem": 20 + F.shiftright("number", 1), "channel": F.col("number").bitwiseAND(1)})
 
 
-def index_rows(packets: DataFrame) -> DataFrame:
-    """Rows of ``read_xtf`` as an index has pings: which values are valid, and the time between samples that the slant range makes at the recorded speed of sound."""
+def with_index(packets: DataFrame) -> DataFrame:
+    """Rows of ``read_xtf`` with what an index derives: which values are valid, and the time between samples that the slant range makes at the recorded speed of sound."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     flag = lambda cond, bit: F.when(cond, bit).otherwise(0)
     validity = flag(F.col("altitude") > 0, ALTITUDE) + flag(finite("lat") & finite("lon"), POSITION) + flag(finite("heading"), HEADING)
     interval = F.when((F.col("nsamples") > 0) & (F.col("slant_range") > 0), F.floor(F.col("slant_range") / F.col("nsamples") * 2 / C_RECORDED * 1e9)).otherwise(0)
+    return packets.withColumns({"validity": validity, "interval_ns": interval})
+
+
+def index_rows(packets: DataFrame) -> DataFrame:
+    """Rows of ``read_xtf`` as an index has pings."""
     zero = {"f0": F.lit(0.0), "f1": F.lit(0.0), "weight": F.lit(0), "fmt": F.lit(0)}
-    return packets.withColumns({"validity": validity, "interval_ns": interval, "nsamples": F.least("nsamples", F.lit(65_535)), **zero}).select(*INDEX)
+    return with_index(packets).withColumns({"nsamples": F.least("nsamples", F.lit(65_535)), **zero}).select(*INDEX)
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:

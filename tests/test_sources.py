@@ -347,3 +347,10 @@ def test_pings_at_offsets(spark, tmp_path):
     wanted = spark.createDataFrame([(path, len(one)), (path, 5), (path, 10**6)], "path string, offset long")
     assert [(r.offset, r.subsystem, r.data) for r in jsf.pings_at(spark, str(tmp_path), wanted).collect()] == [(len(one), 21, [4.0])]
     assert jsf.index_degrees(31_500_000, 3) == 31.5 and jsf.index_degrees(31_500_000, 1) == 31.5 and np.isnan(jsf.degrees(1, 1))
+
+
+def test_packets_take_their_index_without_a_join(spark):
+    from seabright.plans import registry
+
+    plan = registry.QUERIES["packet_pings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
