@@ -33,20 +33,23 @@ def _written(rows: DataFrame, by: str, name, encode) -> None:
     rows.groupBy(by).applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
 
 
+#: What a sonar message tells here: (type, place in the message, value of the pings).
+_TOLD = [
+    ("<u2", 0, lambda p: jsf.MARKER), ("u1", 2, lambda p: 1), ("<u2", 4, lambda p: jsf.SONAR), ("u1", 7, lambda p: p["subsystem"]), ("u1", 8, lambda p: p["channel"]), ("<u4", 12, lambda p: 240 + 2 * (p["rec_id"] % 5 + 1)),
+    ("<i4", 16, lambda p: np.floor(p["time"])), ("<u4", 24, lambda p: p["rec_id"]), ("<u2", 46, lambda p: p["validity"]), ("<i4", 96, lambda p: np.floor(p["lon"] * 600_000 + 0.5)), ("<i4", 100, lambda p: np.floor(p["lat"] * 600_000 + 0.5)),
+    ("<i2", 104, lambda p: 2), ("<u2", 130, lambda p: p["rec_id"] % 5 + 1), ("<u4", 132, lambda p: p["interval_ns"]), ("<u2", 142, lambda p: p["f0"] // 10), ("<u2", 144, lambda p: p["f1"] // 10), ("<i4", 160, lambda p: p["rec_id"] % 30_000),
+    ("<i2", 184, lambda p: 1), ("<u2", 188, lambda p: p["heading"] * 100), ("<u4", 216, lambda p: p["rec_id"] % 1000),
+]
+
+
 def _jsf(part: pd.DataFrame) -> bytes:
-    out = []
-    for x in part.sort_values("rec_id").itertuples(index=False):
-        body = bytearray(240)
-        n, seconds = int(x.rec_id % 5 + 1), int(np.floor(x.time))
-        fields = (
-            ("i", 0, seconds), ("I", 8, x.rec_id), ("H", 30, x.validity), ("h", 34, 0), ("i", 80, int(np.floor(x.lon * 600_000 + 0.5))), ("i", 84, int(np.floor(x.lat * 600_000 + 0.5))), ("h", 88, 2), ("H", 114, n), ("I", 116, x.interval_ns),
-            ("H", 126, int(x.f0 // 10)), ("H", 128, int(x.f1 // 10)), ("i", 144, int(x.rec_id % 30_000)), ("h", 168, 1), ("H", 172, int(x.heading * 100)), ("I", 200, int(x.rec_id % 1000)),
-        )
-        for kind, at, value in fields:
-            struct.pack_into("<" + kind, body, at, value)
-        body += (np.arange(n) * 2 + x.rec_id % 7).astype("<i2").tobytes()
-        out.append(struct.pack("<HBBHBBBBHI", jsf.MARKER, 1, 0, jsf.SONAR, 0, int(x.subsystem), int(x.channel), 0, 0, len(body)) + bytes(body))
-    return b"".join(out)
+    part = part.sort_values("rec_id")
+    heads = np.zeros(len(part), np.dtype({"names": [str(at) for _, at, _ in _TOLD], "formats": [kind for kind, _, _ in _TOLD], "offsets": [at for _, at, _ in _TOLD], "itemsize": 256}))
+    for _, at, value in _TOLD:
+        heads[str(at)] = value(part)
+    samples = {(n, k): (np.arange(n) * 2 + k).astype("<i2").tobytes() for n in range(1, 6) for k in range(7)}
+    raw = heads.tobytes()
+    return b"".join(raw[256 * i : 256 * (i + 1)] + samples[rec_id % 5 + 1, rec_id % 7] for i, rec_id in enumerate(part["rec_id"].tolist()))
 
 
 def _recorded(spark: SparkSession, sf_dir: str, ending: str, encode) -> str:

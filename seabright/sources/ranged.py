@@ -161,12 +161,18 @@ def files_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
+def tasks_of(ranges: int, size: int, cores: int) -> int:
+    """Tasks for so many ranges of so many bytes in all: one for every ``RANGE`` bytes, so that their number follows the bytes and not the ranges, and some for each core where there is less."""
+    return min(10_000, max(1, min(ranges, max(4 * cores, -(-size // RANGE)))))
+
+
 def spans(spark: SparkSession, path: str, form: Format, size: int = RANGE) -> DataFrame:
-    """(path, length, at, end): walks from ``at`` to ``end`` that together are the walk of each file; each row is a task's work."""
+    """(path, length, at, end): walks from ``at`` to ``end`` that together are the walk of each file. A row is a range's work; short ranges share tasks, each of about ``RANGE`` bytes."""
     files = files_at(spark, path).where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("begin"))
     ranges = ranges.withColumn("end", F.least(F.col("begin") + size, "length"))
-    tasks = min(10_000, max(1, files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 1))
+    total = files.agg(F.sum(F.ceil(F.col("length") / size)).alias("ranges"), F.sum("length").alias("bytes")).first()
+    tasks = tasks_of(total["ranges"] or 0, total["bytes"] or 0, spark.sparkContext.defaultParallelism)
     one, many = ranges.where(F.col("length") <= size), ranges.where(F.col("length") > size)
     guessed = many.repartition(tasks, "path", "begin").mapInArrow(_guessed(form), "path string, length long, begin long, end long, at long, to long")
     stitched = guessed.groupBy("path").applyInPandas(_together(form), "path string, length long, at long, end long")
@@ -217,4 +223,5 @@ def rows_at(frame: DataFrame, schema: str, row: Callable[[str, Ranged, int], Ite
             yield from in_batches(found(batch), fields)
 
     places = frame.select("path", F.col("offset").cast("long").alias("offset")).where("path is not null and offset is not null").distinct()
-    return places.repartition("path", F.floor(F.col("offset") / size)).sortWithinPartitions("path", "offset").mapInArrow(run, schema)
+    tasks = max(4 * frame.sparkSession.sparkContext.defaultParallelism, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # told, or few narrow places would be put into one task
+    return places.repartition(tasks, "path", F.floor(F.col("offset") / size)).sortWithinPartitions("path", "offset").mapInArrow(run, schema)

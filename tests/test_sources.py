@@ -354,3 +354,14 @@ def test_packets_take_their_index_without_a_join(spark):
 
     plan = registry.QUERIES["packet_pings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_tasks_follow_bytes_not_ranges(spark, tmp_path):
+    """Many short ranges share tasks, and places asked for are dealt over several, however few bytes they are."""
+    assert ranged.tasks_of(162_000, 10 << 30, 12) == 160 and ranged.tasks_of(3, 200, 8) == 3 and ranged.tasks_of(0, 0, 8) == 1
+    raw = jsf_message(80, sonar_body([1, 2]))
+    for k in range(40):
+        (tmp_path / f"{k}.jsf").write_bytes(raw * 3)
+    rows = jsf.read_jsf(spark, str(tmp_path), traces=False, size=300)
+    assert rows.count() == 120 and rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert jsf.pings_at(spark, str(tmp_path), rows, size=300).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
