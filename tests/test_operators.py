@@ -234,3 +234,16 @@ def test_tow_models(spark):
     turn = spark.createDataFrame([("d", i, float(i), (350.0 + 5 * i) % 360) for i in range(6)] + [("d", 9, 0.0, 99.0)], "dataset string, rec_id long, time double, heading double")
     got = [r.heading for r in navigation.compass(turn, 2.0).orderBy("time").collect()]
     assert got == [352.5, 355.0, 360.0, 365.0, 370.0, 372.5]
+
+
+def test_courses_keep_their_places_far_from_the_origin(spark):
+    """Metres of a place on the earth have no digits left for a course of a few metres; those from the first fix do."""
+    seq = np.arange(40)
+    lat, lon = 52.5 + seq * 1e-4 + (seq * 5 % 7) * 1e-5, 4.0 + (seq * 11 % 13) * 1e-5 + seq * 5e-5
+    got = navigation.track(spark.createDataFrame([(1, s, s * 60.0, a, b) for s, a, b in zip(seq.tolist(), lat.tolist(), lon.tolist(), strict=True)], "dataset long, seq long, time double, lat double, lon double")).orderBy("seq").toPandas()
+    wide = np.longdouble
+    m, e2 = np.radians(lat.astype(wide).mean()), (1 / wide(298.257223563)) * (2 - 1 / wide(298.257223563))
+    north, east = (1 - e2) / (1 - e2 * np.sin(m) ** 2) ** wide(1.5), np.cos(m) / np.sqrt(1 - e2 * np.sin(m) ** 2)
+    a, b = np.maximum(seq - 2, 0), np.minimum(seq + 2, 39)
+    want = np.degrees(np.arctan2((lon.astype(wide)[b] - lon[a]) * east, (lat.astype(wide)[b] - lat[a]) * north))
+    assert np.abs(got["cog"].to_numpy() - want).max() < 2e-12
