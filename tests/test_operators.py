@@ -247,3 +247,14 @@ def test_courses_keep_their_places_far_from_the_origin(spark):
     a, b = np.maximum(seq - 2, 0), np.minimum(seq + 2, 39)
     want = np.degrees(np.arctan2((lon.astype(wide)[b] - lon[a]) * east, (lat.astype(wide)[b] - lat[a]) * north))
     assert np.abs(got["cog"].to_numpy() - want).max() < 2e-12
+
+
+def test_a_tow_is_followed_over_many_recordings_at_once(spark):
+    """No call for each recording; fixes before the first movement, and recordings that never move, are in the result."""
+    rows = [(d, n, 0.0 if n < 3 else (n - 2) * 10.0 * (d > 0), 0.0) for d in range(50) for n in range(6)] + [(None, 0, 1.0, 1.0)]
+    fixes = spark.createDataFrame(rows, "dataset long, seq long, x double, y double")
+    found = navigation.pursuit(fixes, 20.0, 5.0)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.dataset, r.seq): (round(r.fish_x, 6), round(r.fish_y, 6)) for r in found.collect()}
+    assert len(got) == len(rows) and got[None, 0] == (1.0, -19.0)
+    assert all(got[d, n] == ((-20.0 + max(n - 2, 0) * 10.0, 0.0) if d else (0.0, -20.0)) for d in range(50) for n in range(6))
