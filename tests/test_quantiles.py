@@ -41,3 +41,19 @@ def test_without_groups(spark):
     assert q.quantiles(df.limit(0), "v", {"m": 0.5}).collect()[0].m is None
     with pytest.raises(ValueError):
         q.quantiles(df, "v", {"m": 0.5}, rule="other")
+
+
+@pytest.mark.parametrize("name", ["stretched_grey", "quantile_conventions"])
+def test_queries_of_quantiles_hold_no_column_in_a_task(spark, name):
+    from seabright.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_curves_of_the_gain_lookup_go_to_the_samples(spark):
+    """Two sides would be two tasks for all samples."""
+    from seabright.plans import registry
+
+    plan = registry.QUERIES["angle_gain_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
