@@ -5,13 +5,16 @@ Reading is lenient: anything with a ``<gpx`` element is scanned for points; thos
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seabright.sources.common import rows_of_files
+from seabright.sources.common import rows_of
 
 SCHEMA = "path string, kind string, line int, line_name string, seq int, lat double, lon double, ele double, time string, name string, desc string"
 TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
@@ -19,21 +22,35 @@ ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 POINTS = {"trkpt": "track", "rtept": "route", "wpt": "waypoint"}
 
 
-def parse(text: str) -> list[dict]:
-    """Points of a document, in order. Raises ValueError where there is no ``<gpx`` element."""
-    if not re.search(r"<(?:\w+:)?gpx[\s>]", text):
-        raise ValueError("no gpx element")
-    out: list[dict] = []
-    line, names, point, seq, inner = -1, {}, None, 0, 0
+def _tags(pieces: Iterable[str]) -> Iterator[tuple[re.Match, str]]:
+    """Tags of a text that comes in pieces, each with the text since the tag before; no more is held than what no tag has ended yet."""
+    held, ended = "", False
+    pieces = iter(pieces)
+    while not ended:
+        piece = next(pieces, None)
+        ended, held = piece is None, held + (piece or "")
+        at = 0
+        for m in TAG.finditer(held):
+            yield m, held[at : m.start()]
+            at = m.end()
+        held = held[at:]
+
 
-    def add() -> None:
-        if abs(point["lat"]) <= 90 and abs(point["lon"]) <= 180:
-            out.append(point)
+def points(pieces: Iterable[str]) -> Iterator[dict]:
+    """Points of a document that comes in pieces, in order; those of a line are held until its name is known, or the line ends. Raises ValueError where there is no ``<gpx`` element."""
+    line, names, point, seq, inner, held, found = -1, {}, None, 0, "", [], False
 
-    for m in TAG.finditer(text):
+    def named(p: dict) -> dict:
+        return p | {"line_name": names.get(p["line"])}
+
+    for m, before in _tags(pieces):
         close, tag, attributes, empty = m[1], m[2].rpartition(":")[2], m[3], m[4]
+        found = found or (tag == "gpx" and not close)
+        said, whole = inner + before, None
+        inner = said + m[0] if close and tag not in POINTS else ""  # text goes over the end of an element, not over points
         if tag in ("trk", "rte") and not close:
-            line, seq = line + 1, 0
+            yield from map(named, held)
+            held, line, seq = [], line + 1, 0
         elif tag in POINTS and not close:
             at = {k: a or b for k, a, b in ATTRIBUTE.findall(attributes)}
             try:
@@ -43,15 +60,11 @@ def parse(text: str) -> list[dict]:
                 continue
             seq += 1
             if empty:
-                add()
-                point = None
+                whole, point = point, None
         elif tag in POINTS and point is not None:
-            add()
-            point = None
-        elif not close:
-            inner = m.end()
-        elif tag in ("ele", "time", "name", "desc"):
-            said = html.unescape(re.sub(r"^<!\[CDATA\[(.*)\]\]>$", r"\1", text[inner : m.start()].strip(), flags=re.S))
+            whole, point = point, None
+        elif close and tag in ("ele", "time", "name", "desc"):
+            said = html.unescape(re.sub(r"^<!\[CDATA\[(.*)\]\]>$", r"\1", said.strip(), flags=re.S))
             if point is None and tag == "name" and line >= 0:
                 names.setdefault(line, said)
             elif point is not None:
@@ -59,15 +72,34 @@ def parse(text: str) -> list[dict]:
                     point[tag] = float(said) if tag == "ele" else said
                 except ValueError:
                     pass
-    for p in out:
-        p["line_name"] = names.get(p["line"])
-    return out
+        if whole is not None and abs(whole["lat"]) <= 90 and abs(whole["lon"]) <= 180:
+            held.append(whole)
+        if held and (line in names or line < 0):
+            yield from map(named, held)
+            held = []
+    yield from map(named, held)
+    if not found:
+        raise ValueError("no gpx element")
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Points of all documents at ``path``; a document without a gpx element fails the read."""
+def parse(text: str) -> list[dict]:
+    """Points of a document, in order. Raises ValueError where there is no ``<gpx`` element."""
+    return list(points([text]))
+
 
-    return rows_of_files(spark, path, SCHEMA, lambda name, raw: ({"path": name} | p for p in parse(raw.decode("utf-8", "replace"))))
+def _pieces(raw: pa.Scalar, size: int = 1 << 20) -> Iterator[str]:
+    """The text of a document a piece at a time; its bytes stay where they are."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    view = memoryview(raw.as_buffer())
+    for at in range(0, len(view), size):
+        yield decoder.decode(view[at : at + size])
+    yield decoder.decode(b"", True)
+
+
+def read_gpx(spark: SparkSession, path: str) -> DataFrame:
+    """Points of all documents at ``path``; a document without a gpx element fails the read. A document's bytes are held once, its text and points by pieces."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return rows_of(files, SCHEMA, lambda batch: zip(batch.column("path").to_pylist(), batch.column("content"), strict=True), lambda name, raw: ({"path": name} | p for p in points(_pieces(raw))))
 
 
 def escaped(text: Column) -> Column:

@@ -365,3 +365,16 @@ def test_tasks_follow_bytes_not_ranges(spark, tmp_path):
     rows = jsf.read_jsf(spark, str(tmp_path), traces=False, size=300)
     assert rows.count() == 120 and rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert jsf.pings_at(spark, str(tmp_path), rows, size=300).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_document_is_read_by_pieces():
+    """Points come while the text does, in pieces of any size; a name after the points of its line still counts."""
+    point = '<trkpt lat="1" lon="2"><name>a &amp; b</name></trkpt>'
+    late = f"<gpx><trk>{point * 3}<name>late</name></trk><trk><name>x</name>{point}</trk></gpx>"
+    for size in (1, 7, 1000):
+        got = list(gpx.points(late[k : k + size] for k in range(0, len(late), size)))
+        assert got == gpx.parse(late) and [(p["line"], p["seq"], p["line_name"], p["name"]) for p in got] == [(0, 0, "late", "a & b"), (0, 1, "late", "a & b"), (0, 2, "late", "a & b"), (1, 0, "x", "a & b")]
+    asked = []
+    pieces = (asked.append(k) or p for k, p in enumerate(["<gpx><trk><name>x</name>", *[point] * 100]))
+    next(gpx.points(pieces))
+    assert len(asked) < 4
