@@ -258,3 +258,9 @@ def test_a_tow_is_followed_over_many_recordings_at_once(spark):
     got = {(r.dataset, r.seq): (round(r.fish_x, 6), round(r.fish_y, 6)) for r in found.collect()}
     assert len(got) == len(rows) and got[None, 0] == (1.0, -19.0)
     assert all(got[d, n] == ((-20.0 + max(n - 2, 0) * 10.0, 0.0) if d else (0.0, -20.0)) for d in range(50) for n in range(6))
+
+
+def test_tasks_of_courses_follow_the_fixes(spark, monkeypatch):
+    monkeypatch.setattr(navigation, "FIXES_A_TASK", 10)
+    fixes = spark.range(300).selectExpr("id % 30 as dataset", "id div 30 as seq", "id * 1.0D as time", "52.5D as lat", "4.0D + id * 1e-5 as lon")
+    assert "REPARTITION_BY_NUM" in navigation.track(fixes)._jdf.queryExecution().executedPlan().toString() and navigation._dealt(fixes).rdd.getNumPartitions() == 30
