@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,42 @@ def test_cross_polytope_small(spark):
     got = found(cross_polytope.cross_polytope_top_k(apart, query, probes=1, tables=1))  # no bucket in common: all rows are compared
     assert [i for i, _ in got[0]] == [2, 1]
     assert abs(got[0][1][1] - cosine([1.0, 0.0], [-1.0, 0.1])) < 1e-12
+
+
+def test_cross_polytope_does_not_depend_on_the_number_of_rows(spark):
+    rng = np.random.default_rng(11)
+    near, far = np.zeros((300, 64)), np.zeros((3000, 64))
+    near[:, :32], far[:, 32:] = rng.normal(size=(300, 32)), rng.normal(size=(3000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(near)]
+    more = [(5 * i + 1001, v.tolist()) for i, v in enumerate(far)]  # at right angles to all of the others; no queries
+    alone, among = (found(cross_polytope.cross_polytope_top_k(make(spark, x), F.col("vec_id") % 5 == 0)) for x in (rows, rows + more))
+    assert len(alone) == 60 and among == alone
+
+
+def test_a_cell_returns_the_best_of_all_last_hashes():
+    rng = np.random.default_rng(2)
+    rows, own = rng.integers(-127, 128, (300, 8)).astype(np.int8), rng.integers(-127, 128, (2, 8)).astype(np.int8)
+    stored = pa.table({"id": pa.array(range(300), pa.int64()), "small": [v.tobytes() for v in rows], "last": pa.array(np.arange(300) % 3, pa.int32())})
+    asked = lambda floor: pa.table({"id": pa.array([1000, 1001], pa.int64()), "small": [v.tobytes() for v in own], "lasts": pa.array([[0, 1, 2], [1]], pa.list_(pa.int32())), "floor": pa.array(floor, pa.float32())})
+    a, b = own.astype(float), rows.astype(float)
+    score = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)[None]
+    score[1, np.arange(300) % 3 != 1] = -9
+    got = cross_polytope._met(24)(asked([None, None]), stored).to_pydict()
+    for q in (0, 1):
+        assert [v for i, v in zip(got["query_id"], got["vec_id"], strict=True) if i == 1000 + q] == np.argsort(-score[q])[:24].tolist()
+    floor = np.sort(score[0])[-10] - 1e-6
+    got = cross_polytope._met(24)(asked([floor, 2.0]), stored).to_pydict()
+    assert got["query_id"] == [1000] * 10 and got["vec_id"] == np.argsort(-score[0])[:10].tolist()
+
+
+def test_buckets_within_a_loss_are_all_of_them():
+    x = np.random.default_rng(3).normal(size=(10, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = [cross_polytope.signed_axes(x, 64 + i, 9) for i in range(2)]
+    losses = [(y.max(axis=1)[:, None] - y) ** 2 for y in near]
+    whole = losses[0][:, :, None] + losses[1][:, None, :]
+    most = np.quantile(whole.reshape(10, -1), 0.2, axis=1)
+    row, group, last, over = cross_polytope.buckets_within(near, most, 1000)
+    assert np.array_equal(np.stack([row, group, last]), np.stack(np.nonzero(whole <= most[:, None, None]))) and not over.any()
+    assert cross_polytope.buckets_within(near, most, 5)[3].all()
+    assert (cross_polytope.losses_of_neighbours(near, np.ones(10), 7, 1, 9) == 0).all()  # the vector itself is in its best bucket
