@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seabright.llm.common import TwoGenerations, release_memory
+from seabright.llm.common import release_memory
 
 #: White space for str.split() but ordinary characters for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -38,23 +39,30 @@ MOST_IDS = 4_000_000
 AT_ONCE = 2_000_000
 #: Characters that are split by the pattern above; chunks with others are left to the library.
 PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+ALL_PLAIN = re.compile(r"[ -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
 
 class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers, equal to the library's on the whole text.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its white-space chunks in order.
-    Chunks are kept with their ids; those not yet known are encoded many at a time.
+    Chunks and words are kept with their ids; those not yet known are encoded many at a time. A cache of over ``cache_entries`` is emptied before the next call.
     """
 
     _of: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str, cache_entries: int = 100_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.words = TwoGenerations(cache_entries), TwoGenerations(cache_entries)
+        self.cache_entries, self.known, self.words = cache_entries, {}, {" ": BETWEEN}
         self.mark = self._library(MARK)
+        #: Whether a token of an id ends a word; None where the model does not tell.
+        self.ends = None
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def at(cls, path: str) -> ChunkEncoder:
@@ -65,57 +73,55 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         """Empty the caches, so that an idle worker holds no more than the tokenizer."""
-        for cache in (self.known, self.words):
-            cache.clear()
-            cache.old = {}
+        self.known, self.words = {}, {" ": BETWEEN}
         release_memory()
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words that hold neither white space nor the mark, many to a call."""
-        out = {}
+    def _learn_words(self, words: list[str], single: bool) -> dict[str, bytes]:
+        """Ids of distinct words that hold neither white space nor the mark, many to a call. ``single``: each is one word to the library too, whose last token tells its end."""
+        out, told = {}, single and self.ends is not None
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.frombuffer(self._library(f" {MARK} ".join(part)), "<u4")
-            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]), len(ids))
+            raw = self._library((" " if told else f" {MARK} ").join(part))
+            ids = np.frombuffer(raw, "<u4")
+            if told:
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                begins = np.append(0, ends[:-1])
+            else:
+                ends = np.append(np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]), len(ids))
+                begins = np.append(0, ends[:-1] + 1)
             assert len(ends) == len(part)
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                out[word] = raw[4 * begin : 4 * end]
-                begin = end + 1
+            out.update(zip(part, [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        whole = {c for c in chunks if "<|" in c or MARK in c}
-        plain = [c for c in chunks if PLAIN.fullmatch(c) and c not in whole]
-        other = chunks.difference(whole, plain)  # each is a word to the library
-        tokens = WORDS.findall(" ".join(plain).lower())  # lower case is one character for one here
-        needed = other.union(tokens)
-        needed.discard(" ")
+        plain, text = list(chunks), " ".join(chunks)
+        whole, other = set(), set()
+        if "<|" in text or not ALL_PLAIN.fullmatch(text):
+            whole = {c for c in chunks if "<|" in c or MARK in c}
+            plain = [c for c in chunks if PLAIN.fullmatch(c) and c not in whole]
+            other = chunks.difference(whole, plain)  # each is a word to the library
+            text = " ".join(plain)
+        tokens = WORDS.findall(text.lower())  # lower case is one character for one here
         words = self.words
-        unknown = words.unknown(needed)
-        got = {w: words[w] for w in needed - unknown}
-        for w, v in self._learn_words(list(unknown)).items():
-            got[w] = v
-            words.put(w, v)
-        got[" "] = BETWEEN
-        raw = b"".join(map(got.__getitem__, tokens))
+        if len(words) > self.cache_entries:
+            words = self.words = {" ": BETWEEN}
+        words.update(self._learn_words([w for w in set(tokens) if w not in words], True))
+        raw = b"".join(map(words.__getitem__, tokens))
         ends = [*(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(BETWEEN, "<u4")[0])).tolist(), len(raw)]
         self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=False))
-        self.known.update((c, got[c]) for c in other)
+        self.known.update(self._learn_words(list(other), False))
         self.known.update((c, self._library(c)) for c in whole)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the caller passes about as much text as may be split at once."""
         split = [None if ODD_SPACE.search(t) else _lower(t).split() for t in texts]
-        distinct = set().union(*(s for s in split if s))
+        if len(self.known) > self.cache_entries:
+            self.known = {}
         known = self.known
-        if len(known) + len(distinct) > known.limit:  # all of this call's chunks are young while it runs
-            known.old = dict(known)
-            known.clear()
-        self._learn(known.unknown(distinct))
+        self._learn(set(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s))))
         get = known.__getitem__
         return [self._library(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 

@@ -132,3 +132,15 @@ def test_round_trip(documents, nothing):
     back = byte_bpe.decode_documents(byte_bpe.encode_documents(documents, BYTE, P.PATTERN), BYTE, P.PATTERN)
     assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == sorted((r.doc_id or 0, r.text or "") for r in documents.collect())
     assert byte_bpe.round_trip_digests(nothing, BYTE, P.PATTERN).count() == 0
+
+
+def test_the_library_sees_each_word_once():
+    encoder, seen = packing.ChunkEncoder(WORD), []
+    library = encoder._library
+    encoder._library = lambda text: seen.append(library(text)) or seen[-1]
+    letters = np.random.default_rng(4).integers(97, 123, (180_000, 9)).astype(np.uint8)
+    words = sorted({bytes(w).decode() for w in letters})
+    texts = [" ".join(words[at::3]) for at in range(3)]
+    out = [encoder.encode([t])[0] for t in [*texts, *texts]]
+    assert out[:3] == out[3:] and sum(map(len, seen)) == sum(map(len, out[:3]))
+    assert np.frombuffer(out[1][:400], "<u4").tolist() == ids(texts[1][:2000])[:100]
