@@ -180,8 +180,28 @@ def cell_sums(points: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"gx": cells // tall + x0, "gy": cells % tall + y0, "sum": sums[0], "wgt": sums[1], "hits": sums[2].astype(np.int64)})
 
 
-#: Strokes that one group paints, and points that are held before they are summed by cell.
-CHUNK, MOST_POINTS = 512, 2_000_000
+#: Strokes that one group paints, and points that are held before they are summed by cell (some 150 bytes each then; Spark adds up a task's sums before it shuffles them).
+CHUNK, MOST_POINTS = 512, 200_000
+
+
+def painted(batches):
+    """Sums by cell of the strokes in frames of dataset, chunk, stroke, own, usable, gains and samples, which come in that order; of about ``MOST_POINTS`` points at a time."""
+    group, before, held, size = None, None, [], 0
+    for part in batches:
+        for r in part.itertuples(index=False):
+            if (r.dataset, r.chunk) != group:
+                group, before = (r.dataset, r.chunk), None
+            across, now = np.asarray(r.across), np.stack([getattr(r, f) for f in FIELDS])
+            now[2] *= np.where(across < 0, r.port_gain, r.stbd_gain)
+            if r.own and r.usable and len(across):
+                held.append(stroke_points(across, now, before))
+                size += held[-1].shape[1]
+            before = (across, now) if r.usable else None
+            if size > MOST_POINTS:
+                yield cell_sums(np.concatenate(held, axis=1))
+                held, size = [], 0
+    if held:
+        yield cell_sums(np.concatenate(held, axis=1))
 
 
 def paint(laid: DataFrame, gains: DataFrame) -> DataFrame:
@@ -197,26 +217,8 @@ def paint(laid: DataFrame, gains: DataFrame) -> DataFrame:
     rows = laid.join(told, ["dataset", "stroke"]).withColumn("c", F.explode(F.when(F.col("next") > F.col("chunk"), kept).otherwise(F.slice(kept, 1, 1))))
     rows = rows.select("dataset", F.col("c.chunk").alias("chunk"), "stroke", F.col("c.own").alias("own"), "usable", "port_gain", "stbd_gain", *(F.col(f"samples.{f}").alias(f) for f in ("across", *FIELDS)))
 
-    def run(batches):
-        group, before, held, size = None, None, [], 0
-        for part in batches:
-            for r in part.itertuples(index=False):
-                if (r.dataset, r.chunk) != group:
-                    group, before = (r.dataset, r.chunk), None
-                across, now = np.asarray(r.across), np.stack([getattr(r, f) for f in FIELDS])
-                now[2] *= np.where(across < 0, r.port_gain, r.stbd_gain)
-                if r.own and r.usable and len(across):
-                    held.append(stroke_points(across, now, before))
-                    size += held[-1].shape[1]
-                before = (across, now) if r.usable else None
-                if size > MOST_POINTS:
-                    yield cell_sums(np.concatenate(held, axis=1))
-                    held, size = [], 0
-        if held:
-            yield cell_sums(np.concatenate(held, axis=1))
-
     dealt = rows.repartition("dataset", "chunk").sortWithinPartitions("dataset", "chunk", "stroke")
-    cells = dealt.mapInPandas(run, "gx long, gy long, sum double, wgt double, hits long")
+    cells = dealt.mapInPandas(painted, "gx long, gy long, sum double, wgt double, hits long")
     return cells.groupBy("gx", "gy").agg(F.sum("sum").alias("sum"), F.sum("wgt").alias("wgt"), F.least(F.sum("hits"), F.lit(65535)).alias("hits"))
 
 
