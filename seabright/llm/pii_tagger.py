@@ -169,13 +169,14 @@ class Tagger:
         return np.concatenate([out[:, 0], out[::-1, 1]], axis=2)  # time, batch, both states
 
     def ready(self) -> None:
-        """Lay the weights out for decoding, in single precision: windows stand in the last axis, and the gates' sums are scaled already."""
+        """Lay the weights out for decoding, in single precision: by gate, and the characters of both directions in one row, so that one copy fetches a character's share of all cells of a gate; the gates' sums are scaled already."""
         H = self.hidden
         scale, shift = np.ones(4 * H), np.zeros(4 * H)
         scale[: 3 * H], shift[: 3 * H] = 0.2, 0.5
         single = lambda a: np.ascontiguousarray(a, np.float32)
+        by_gate = lambda a: single(a.reshape(2, -1, 4, H).transpose(2, 0, 1, 3))
         self.fast = {
-            "x": single(((self.p["x"] + self.p["b"]) * scale + shift).transpose(0, 2, 1)), "h": single((self.p["h"] * scale).transpose(0, 2, 1)),
+            "x": by_gate((self.p["x"] + self.p["b"]) * scale + shift).reshape(4, -1, H), "h": by_gate(self.p["h"] * scale),
             "o": single(self.p["o"].T), "ob": single(self.p["ob"]), "t": single(self.p["t"]),
         }
 
@@ -184,15 +185,14 @@ class Tagger:
         if not hasattr(self, "fast"):
             self.ready()
         p, H, (batch, width) = self.fast, self.hidden, x.shape
-        steps = np.ascontiguousarray(x.T).astype(np.intp)
-        out = np.empty((width, 2, H, batch), np.float32)
-        h, c, tc = (np.zeros((2, H, batch), np.float32) for _ in range(3))
-        z, own = (np.empty((2, 4 * H, batch), np.float32) for _ in range(2))
-        gates, i, f, o, g = z[:, : 3 * H], z[:, :H], z[:, H : 2 * H], z[:, 2 * H : 3 * H], z[:, 3 * H :]
+        steps = np.stack([x.T, x.T[::-1] + np.uint8(CLASSES)], axis=1).astype(np.intp)
+        out = np.empty((width, 2, batch, H), np.float32)
+        h, c, tc = (np.zeros((2, batch, H), np.float32) for _ in range(3))
+        z, own = (np.empty((4, 2, batch, H), np.float32) for _ in range(2))
+        gates, (i, f, o, g) = z[:3], z
         for t in range(width):
-            np.take(p["x"][0], steps[t], axis=1, out=own[0], mode="clip")
-            np.take(p["x"][1], steps[width - 1 - t], axis=1, out=own[1], mode="clip")
-            np.matmul(p["h"], h, out=z)
+            p["x"].take(steps[t], axis=1, out=own, mode="clip")
+            np.matmul(h, p["h"], out=z)
             z += own
             np.clip(gates, 0, 1, out=gates)
             np.tanh(g, out=g)
@@ -201,31 +201,34 @@ class Tagger:
             c += i
             np.tanh(c, out=tc)
             h = np.multiply(o, tc, out=out[t])
-        return p["o"][:, :H] @ out[:, 0] + p["o"][:, H:] @ out[::-1, 1] + p["ob"][:, None]
-
-    def may_hold(self, e: np.ndarray) -> np.ndarray:
-        """Windows whose best path can leave the outside tag: in all others no tag gains more over outside than its two steps could add."""
-        step = self.fast["t"]
-        gain = 2 * (step.max() - step[0, 0])
-        return (e[:, 1:].max(axis=1) - e[:, 0] + gain >= 0).any(axis=0)
+        ahead, back = out[:, 0].transpose(0, 2, 1), out[::-1, 1].transpose(0, 2, 1)
+        scores = np.empty((width, TAGS, batch), np.float32)
+        for t in range(0, width, 8):  # few enough to stay in the processor's cache
+            some = np.matmul(p["o"][:, :H], ahead[t : t + 8], out=scores[t : t + 8])
+            some += p["o"][:, H:] @ back[t : t + 8]
+            some += p["ob"][:, None]
+        return scores
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tags of each window (Viterbi, where a window may hold any)."""
-        scores = self.emissions(x)
+        """The best tags of each window (Viterbi): best scores forward, and steps back only where the path that stays outside is not the best."""
+        best, step = self.emissions(x), self.fast["t"]
         tags = np.zeros(x.shape, np.int8)
-        some = np.flatnonzero(self.may_hold(scores))
+        outside = best[0, 0].copy()
+        ways, most = np.empty((TAGS, *best.shape[1:]), np.float32), np.empty(best.shape[1:], np.float32)
+        for t in range(1, len(best)):
+            outside += step[0, 0]
+            outside += best[t, 0]
+            np.add(best[t - 1][:, None], step[:, :, None], out=ways)
+            best[t] += ways.max(axis=0, out=most)
+        some = np.flatnonzero(best[-1].max(axis=0) > outside)
         if not len(some):
             return tags
-        e, step = scores[:, :, some], self.fast["t"]
-        score, back = e[0], np.empty(e.shape, np.int8)
-        for t in range(1, len(e)):
-            ways = score[:, None] + step[:, :, None]
-            back[t] = ways.argmax(axis=0)
-            score = ways.max(axis=0) + e[t]
-        now, rows = score.argmax(axis=0), np.arange(len(some))
-        for t in range(len(e) - 1, -1, -1):
+        best = best[:, :, some]
+        now = best[-1].argmax(axis=0)
+        tags[some, -1] = now
+        for t in range(len(best) - 2, -1, -1):
+            now = (best[t] + step[:, now]).argmax(axis=0)
             tags[some, t] = now
-            now = back[t][now, rows]
         return tags
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
