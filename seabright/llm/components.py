@@ -39,7 +39,7 @@ SMALLEST_HUB = 5000
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of ``edges`` (u, v); the root is the least node of its component.
+    """(node, root) of every node of ``edges`` (u, v) that is not a root itself; the root is the least node of its component.
 
     Each round is written to shared storage, so lineage stays short; rounds grow with the logarithm of the diameter.
     """

@@ -225,7 +225,8 @@ def _linked(words: int, seed: int, least: float, columns: int = 4096):
 
 def _across_roots(docs: DataFrame, marked: DataFrame, rooted: DataFrame, kin: DataFrame, words: int, seed: int, least: float, tile: int) -> DataFrame:
     """(u, v): links that join roots of a family, a family being roots that ``kin`` joins. Tiles hold up to about ``tile`` nodes, of one large root or of several small ones."""
-    family = connected_components(kin).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    found = connected_components(kin).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    family = found.unionByName(found.select(F.col("family").alias("root"), "family").distinct())  # the root that names a family is of it
     members = materialize(rooted.select("node", "root").distinct().join(family, "root"), "families")
     counts = members.groupBy("family", "root").agg(F.count("*").alias("n"))
     small = F.when(F.col("n") <= tile, F.col("n")).otherwise(0)

@@ -61,6 +61,27 @@ def test_components_are_those_of_all_pairs(spark):
         assert sorted(map(tuple, got), key=str) == want, options
 
 
+def starred(groups=4, copies=30, n=120, edits=5, seed=21):
+    """Groups of an original and copies of it, each alike to the original but not to the other copies."""
+    rng, texts = random.Random(seed), []
+    for g in range(groups):
+        base = [f"g{g}x{i}" for i in range(n)]
+        texts.append(" ".join(base))
+        for c in range(copies):
+            changed = set(rng.sample(range(1, n, 4), edits))
+            texts.append(" ".join(f"g{g}c{c}x{i}" if i in changed else w for i, w in enumerate(base)))
+    return texts
+
+
+def test_copies_that_only_the_original_links_are_one_group(spark):
+    rows = list(enumerate(starred()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    assert len({r[2] for r in want}) == 4
+    for options in ({}, {"tile": 8, "radius": None}):
+        assert sorted(map(tuple, minmax.minmax_components(docs, words=2, **options).collect()), key=str) == want, options
+
+
 def test_no_link_is_missed_at_the_threshold(spark):
     """Pairs of sets at a similarity of exactly 0.8 or a little more, of every size."""
     rng, rows = random.Random(9), []

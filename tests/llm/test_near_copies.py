@@ -56,6 +56,21 @@ def test_components_are_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def test_copies_that_only_the_original_links_are_one_group(spark):
+    rng, texts = random.Random(21), []
+    for g in range(4):
+        base = [f"g{g}x{i}" for i in range(150)]
+        texts.append(" ".join(base))
+        for c in range(30):
+            changed = set(rng.sample(range(7, 150, 12), 3))
+            texts.append(" ".join(f"g{g}c{c}x{i}" if i in changed else w for i, w in enumerate(base)))
+    assert len(set(plain_components(texts))) == 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (4, 4096):
+        got = {r.doc_id: r.component for r in near_copies.near_copy_components(docs, tile=tile).collect()}
+        assert [len({got[i] for i in range(k, k + 31)}) for k in range(0, 124, 31)] == [1] * 4
+
+
 def test_every_component_keeps_one_row(spark):
     rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "k l m n o p"), (None, "k l m n o p"), (3, "a b c d e f"), (3, "a b c d e f")]
     kept = near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
