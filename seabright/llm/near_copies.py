@@ -217,7 +217,8 @@ def _linked(words: int, seed: int, least: float, columns: int = 4096):
         _, label = np.unique(root, return_inverse=True)
         kept = _merge(label, one[i], two[j])
         u, v = node[one[i[kept]]], node[two[j[kept]]]
-        release_memory()
+        if len(row) + both.size > 500_000:  # small families come by thousands, and this takes longer than most of them
+            release_memory()
         return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
     return run
